@@ -1,0 +1,20 @@
+"""Adjacency lists for callers that want them; no algorithm holds one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from islets.sources.edges import distinct_edges
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """``(id, nbr)`` rows: each vertex with each of its neighbours once."""
+    return distinct_edges(edges)
+
+
+def adjacency_lists(edges: DataFrame) -> DataFrame:
+    """``(id, neighbours)`` with a sorted array; a hub's array must fit in one row."""
+    return distinct_edges(edges).groupBy("id").agg(
+        F.array_sort(F.collect_list("nbr")).alias("neighbours")
+    )
