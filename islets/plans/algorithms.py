@@ -215,6 +215,13 @@ def _is_star_forest(graph: Graph, table: Table) -> bool:
     return links + centres == graph.count
 
 
+def _labels_of_stars(stars: DataFrame) -> DataFrame:
+    """Labels from a star forest; the links have one row per leaf, so only centres are shuffled."""
+    links = stars.where(F.col("id") != F.col("nbr"))
+    centres = links.select(F.col("nbr").alias("id"), F.col("nbr").alias("component")).distinct()
+    return links.select("id", F.col("nbr").alias("component")).unionByName(centres)
+
+
 def ccf(run: Rounds, graph: Graph) -> DataFrame:
     """Iterate and deduplicate until no vertex has a new pair to tell, i.e. all links are stars."""
     graph.count = graph.linked_vertices().count()
@@ -227,10 +234,7 @@ def ccf(run: Rounds, graph: Graph) -> DataFrame:
         pairs = _replace(run, pairs if pairs is not graph.table else None, new)
         frame, rows = pairs.frame, pairs.rows
         if _is_star_forest(graph, pairs):
-            break
-    return frame.select("id", F.col("nbr").alias("component")).unionByName(
-        frame.select(F.col("nbr").alias("id"), F.col("nbr").alias("component")).distinct()
-    )
+            return _labels_of_stars(frame)
 
 
 def ccmr(run: Rounds, graph: Graph) -> DataFrame:
@@ -278,7 +282,7 @@ def _alternate(run: Rounds, graph: Graph, frame: DataFrame, rows: int) -> Table:
 def alternating(run: Rounds, graph: Graph) -> DataFrame:
     graph.count = graph.linked_vertices().count()
     stars = _alternate(run, graph, graph.edges(), graph.links)
-    return stars.frame.select("id", F.col("nbr").alias("component"))
+    return _labels_of_stars(stars.frame)
 
 
 def alternating_hub_split(
@@ -304,7 +308,7 @@ def alternating_hub_split(
     )
     stars = _alternate(run, graph, table.frame, table.rows)
     run.work.drop(table)
-    return drop_virtual(stars.frame.select("id", F.col("nbr").alias("component")))
+    return drop_virtual(_labels_of_stars(stars.frame))
 
 
 def sgc(run: Rounds, graph: Graph) -> DataFrame:

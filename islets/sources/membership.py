@@ -55,17 +55,14 @@ def co_occurrence_degrees(members: DataFrame, *, limit: int | None = None) -> Da
     return pairs.where("pairs > 0")
 
 
-def membership_counts(members: DataFrame) -> DataFrame:
+def membership_counts(members: DataFrame, *, limit: int | None = None) -> DataFrame:
     """One row ``(edges, vertices)``: membership rows, and vertices that share an arc."""
-    arcs = members.groupBy("arc").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("vertex").alias("least"),
-        F.max("vertex").alias("most"),
+    zero = F.lit(0).cast("long")
+    rows = members.agg(F.count(F.lit(1)).alias("edges"), zero.alias("vertices"))
+    ends = co_occurrence_edges(members, limit=limit).select(
+        F.explode(F.array("src", "dst")).alias("id")
+    )
+    linked = ends.distinct().agg(zero.alias("edges"), F.count(F.lit(1)).alias("vertices"))
+    return rows.unionByName(linked).agg(
+        F.sum("edges").alias("edges"), F.sum("vertices").alias("vertices")
     )
-    rows = arcs.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("edges"))
-    linked = co_occurrence_edges(members).select(F.explode(F.array("src", "dst")).alias("id"))
-    return rows.select("edges", F.lit(0).cast("long").alias("vertices")).unionByName(
-        linked.distinct().agg(
-            F.lit(0).cast("long").alias("edges"), F.count(F.lit(1)).alias("vertices")
-        )
-    ).agg(F.sum("edges").alias("edges"), F.sum("vertices").alias("vertices"))
