@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from islets.operators.lookup import lookup
+from islets.operators.lookup import SAFE, Hubs, kept, lookup
 
 
-def cluster_messages(clusters: DataFrame, *, limit: int | None = None) -> DataFrame:
+def cluster_messages(clusters: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
     id, member, m = F.col("id"), F.col("member"), F.col("m")
-    least = clusters.groupBy("id").agg(F.min("member").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = lookup(clusters, least.select("id", "m"), "id", limit, counts=least)
+    sizes = clusters.groupBy("id").agg(F.min("member").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = kept(sizes, hubs)
+    joined = lookup(clusters, least.select("id", "m"), "id", hubs, counts=least)
     sent = joined.select(
         F.inline(
             F.array(
@@ -23,6 +24,6 @@ def cluster_messages(clusters: DataFrame, *, limit: int | None = None) -> DataFr
     return sent.unionByName(least.select("id", m.alias("member")))
 
 
-def hash_to_min_round(clusters: DataFrame, *, limit: int | None = None) -> DataFrame:
+def hash_to_min_round(clusters: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
     """One round on rows ``(id, member)``."""
-    return cluster_messages(clusters, limit=limit).distinct()
+    return cluster_messages(clusters, hubs=hubs).distinct()

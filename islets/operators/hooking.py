@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from islets.operators.lookup import lookup
+from islets.operators.lookup import SAFE, Hubs, kept, lookup
 
 
 def forest_init(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,11 @@ def forest_init(edges: DataFrame) -> DataFrame:
     )
 
 
-def star_detection(parents: DataFrame, *, limit: int | None = None) -> DataFrame:
+def star_detection(parents: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
     """``(id, parent, is_star)``: whether the vertex lies in a tree of depth one at most."""
     parent, grandparent = F.col("parent"), F.col("grandparent")
     above = parents.select(F.col("id").alias("parent"), parent.alias("grandparent"))
-    deep = lookup(parents, above, "parent", limit).where(parent != grandparent)
+    deep = lookup(parents, above, "parent", hubs).where(parent != grandparent)
     marked = (
         deep.select(F.explode(F.array("id", "grandparent")).alias("id"))
         .distinct()
@@ -41,7 +41,7 @@ def star_detection(parents: DataFrame, *, limit: int | None = None) -> DataFrame
     )
     own = parents.join(marked, "id", "left")
     over = marked.select(F.col("id").alias("parent"), F.col("marked").alias("parent_marked"))
-    flagged = lookup(own, over, "parent", limit, how="left")
+    flagged = lookup(own, over, "parent", hubs, how="left")
     return flagged.select(
         "id",
         "parent",
@@ -54,7 +54,7 @@ def min_neighbour_parent(
     parents: DataFrame,
     *,
     unconditional: bool = False,
-    limit: int | None = None,
+    hubs: Hubs | None = SAFE,
     degrees: DataFrame | None = None,
 ) -> DataFrame:
     """``(id, cand)``: per tree, the least parent seen across an edge of one of its vertices.
@@ -66,8 +66,8 @@ def min_neighbour_parent(
     at_id = parents.select("id", F.col("parent").alias("here"))
     at_nbr = parents.select(F.col("id").alias("nbr"), F.col("parent").alias("there"))
     as_nbr = degrees.select(F.col("id").alias("nbr"), "n") if degrees is not None else None
-    one_end = lookup(edges, at_id, "id", limit, counts=degrees)
-    ends = lookup(one_end, at_nbr, "nbr", limit, counts=as_nbr)
+    one_end = lookup(edges, at_id, "id", hubs, counts=degrees)
+    ends = lookup(one_end, at_nbr, "nbr", hubs, counts=as_nbr)
     if unconditional:
         ends = ends.where(here != there)
     seen = ends.select(
@@ -100,10 +100,11 @@ def unconditional_star_hook(stars: DataFrame, candidates: DataFrame) -> DataFram
     return _hook(stars, candidates, conditional=False)
 
 
-def canonical_label(parents: DataFrame, *, limit: int | None = None) -> DataFrame:
+def canonical_label(parents: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
     """``(id, component)``: each root replaced by the least vertex of its tree."""
-    least = parents.groupBy("parent").agg(
+    trees = parents.groupBy("parent").agg(
         F.min("id").alias("component"), F.count(F.lit(1)).alias("n")
     )
-    joined = lookup(parents, least.drop("n"), "parent", limit, counts=least)
+    least = kept(trees, hubs)
+    joined = lookup(parents, least.drop("n"), "parent", hubs, counts=least)
     return joined.select("id", "component")

@@ -4,13 +4,15 @@ A plain equi-join sends all rows of one key to one task.  Every join of the grap
 row per key on one side, so keys with too many rows ("hubs") need no shuffle at all: their few
 table rows are broadcast and the many rows stay where they are.  The other keys are shuffled.
 
-How many hubs can there be?  A hub holds more than ``limit`` rows, hence there are fewer than
-``rows / limit`` of them, and ``hub_limit`` picks ``limit >= rows / MAX_HUBS``.  What is broadcast is
-thus below ``MAX_HUBS`` rows of a few longs, whatever the size of the graph.
+What is broadcast is bounded whatever the size of the graph: the ``MAX_HUBS`` largest keys at most.
+A key that is not among them holds less than ``1 / MAX_HUBS`` of all rows, which one task can take.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,34 +20,55 @@ HUB_ROWS = 4_000_000
 """Rows of one key that a single task may receive."""
 
 MAX_HUBS = 100_000
-"""Upper bound on the number of broadcast keys."""
+"""Most keys that are broadcast, each with a few longs."""
+
+
+def _as_it_is(frame: DataFrame) -> DataFrame:
+    return frame
+
+
+@dataclass(frozen=True)
+class Hubs:
+    """How a step treats keys with more than ``limit`` rows.
+
+    ``keep`` may write a per-key frame and return it read back: the split reads it several times.
+    Where a step takes ``hubs=None``, its caller knows that no key can have too many rows.
+    """
+
+    limit: int = HUB_ROWS
+    keep: Callable[[DataFrame], DataFrame] = _as_it_is
+
+
+SAFE = Hubs()
 
 
-def hub_limit(rows: int, hub_rows: int = HUB_ROWS) -> int | None:
-    """Row count above which a key is a hub; ``None`` if ``rows`` is so small that none can be."""
-    limit = max(hub_rows, rows // MAX_HUBS)
-    return None if rows <= limit else limit
+def kept(per_key: DataFrame, hubs: Hubs | None) -> DataFrame:
+    return per_key if hubs is None else hubs.keep(per_key)
 
 
 def lookup(
     rows: DataFrame,
     table: DataFrame,
     key: str,
-    limit: int | None = None,
+    hubs: Hubs | None = SAFE,
     how: str = "inner",
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (unique on ``key``).
 
-    ``limit`` comes from :func:`hub_limit`.  ``counts`` is a frame ``(key, n)`` of rows per key, for
-    callers that have it already.
+    ``counts`` is a frame ``(key, n)`` of rows per key, for callers that have it already.
     """
-    if limit is None:
+    if hubs is None:
         return rows.join(table, key, how)
+    per_key = counts
+    if per_key is None:
+        per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # The key breaks ties, so that every evaluation picks the same hubs.
+    largest = per_key.where(F.col("n") > hubs.limit).orderBy(F.col("n").desc(), key).limit(MAX_HUBS)
     if counts is None:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hubs = F.broadcast(counts.where(F.col("n") > limit).select(key))
-    hub_table = F.broadcast(table.join(hubs, key, "left_semi"))
-    at_hubs = rows.join(hubs, key, "left_semi").join(hub_table, key, how)
-    elsewhere = rows.join(hubs, key, "left_anti").join(table, key, how)
+        largest = hubs.keep(largest)
+    hub_keys = F.broadcast(largest.select(key))
+    hub_table = F.broadcast(table.join(hub_keys, key, "left_semi"))
+    at_hubs = rows.join(hub_keys, key, "left_semi").join(hub_table, key, how)
+    elsewhere = rows.join(hub_keys, key, "left_anti").join(table, key, how)
     return at_hubs.unionByName(elsewhere)

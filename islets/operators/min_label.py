@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from islets.operators.lookup import lookup
+from islets.operators.lookup import SAFE, Hubs, lookup
 
 
 def label_messages(
     labels: DataFrame,
     edges: DataFrame,
     *,
-    limit: int | None = None,
+    hubs: Hubs | None = SAFE,
     degrees: DataFrame | None = None,
 ) -> DataFrame:
     """Rows ``(id, label, prev)``: what each vertex keeps, and what it hears from its neighbours.
@@ -25,7 +25,7 @@ def label_messages(
     news = labels.where("changed") if "changed" in labels.columns else labels
     spoken = news.select(F.col("id").alias("nbr"), "label")
     counts = degrees.select(F.col("id").alias("nbr"), "n") if degrees is not None else None
-    heard = lookup(edges, spoken, "nbr", limit, counts=counts).select(
+    heard = lookup(edges, spoken, "nbr", hubs, counts=counts).select(
         "id", "label", F.lit(None).cast(labels.schema["label"].dataType).alias("prev")
     )
     return kept.unionByName(heard)
@@ -40,6 +40,6 @@ def merge_labels(messages: DataFrame, *extra) -> DataFrame:
     )
 
 
-def hash_min_round(labels: DataFrame, edges: DataFrame, *, limit: int | None = None) -> DataFrame:
+def hash_min_round(labels: DataFrame, edges: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
     """One synchronous round over symmetric ``edges``: ``(id, label)`` to ``(id, label)``."""
-    return merge_labels(label_messages(labels, edges, limit=limit)).select("id", "label")
+    return merge_labels(label_messages(labels, edges, hubs=hubs)).select("id", "label")

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from islets.operators.lookup import HUB_ROWS, lookup
+from islets.operators.lookup import HUB_ROWS, SAFE, Hubs, kept, lookup
 from islets.operators.rows import both_directions, emit, local_minimum, pair
 
 
-def large_star(edges: DataFrame, *, limit: int | None = None, dedup: bool = True) -> DataFrame:
+def large_star(edges: DataFrame, *, hubs: Hubs | None = SAFE, dedup: bool = True) -> DataFrame:
     """Link each larger neighbour, and the vertex itself, to the least id around the vertex."""
     id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
     known = both_directions(edges)
-    around = local_minimum(known)
-    joined = lookup(known, around.select("id", "m"), "id", limit, counts=around)
+    around = kept(local_minimum(known), hubs)
+    joined = lookup(known, around.select("id", "m"), "id", hubs, counts=around)
     sent = joined.where(nbr > id).select(nbr.alias("id"), m.alias("nbr")).unionByName(
         around.select("id", m.alias("nbr"))
     )
@@ -22,7 +22,7 @@ def large_star(edges: DataFrame, *, limit: int | None = None, dedup: bool = True
 
 
 def small_star(
-    edges: DataFrame, *, limit: int | None = None, dedup: bool = True, oriented: bool = False
+    edges: DataFrame, *, hubs: Hubs | None = SAFE, dedup: bool = True, oriented: bool = False
 ) -> DataFrame:
     """Link each smaller neighbour, and the vertex itself, to the least of the smaller neighbours.
 
@@ -31,8 +31,8 @@ def small_star(
     id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
     if not oriented:
         edges = edges.select(F.greatest(id, nbr).alias("id"), F.least(id, nbr).alias("nbr"))
-    around = local_minimum(edges)
-    joined = lookup(edges, around.select("id", "m"), "id", limit, counts=around)
+    around = kept(local_minimum(edges), hubs)
+    joined = lookup(edges, around.select("id", "m"), "id", hubs, counts=around)
     sent = joined.select(nbr.alias("id"), m.alias("nbr")).unionByName(
         around.select("id", m.alias("nbr"))
     )
@@ -44,7 +44,7 @@ def split_hubs(
     *,
     degree: int = HUB_ROWS,
     salts: int | None = None,
-    limit: int | None = None,
+    hubs: Hubs | None = SAFE,
 ) -> DataFrame:
     """Spread the neighbours of vertices with more than ``degree`` of them over virtual vertices.
 
@@ -54,8 +54,8 @@ def split_hubs(
     and neighbours go by hash; with it, the number is fixed and neighbours go by remainder.
     """
     id, nbr, n = F.col("id"), F.col("nbr"), F.col("n")
-    degrees = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup(edges, degrees, "id", limit, counts=degrees)
+    degrees = kept(edges.groupBy("id").agg(F.count(F.lit(1)).alias("n")), hubs)
+    joined = lookup(edges, degrees, "id", hubs, counts=degrees)
     if salts is None:
         spread = F.pmod(F.xxhash64(nbr), F.ceil(n / F.lit(degree)))
     else:

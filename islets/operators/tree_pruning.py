@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from islets.operators.lookup import lookup
+from islets.operators.lookup import SAFE, Hubs, kept, lookup
 from islets.operators.rows import emit, local_minimum, pair
 
 
 def min_selection(
-    live: DataFrame, *, edge_pruning: bool = True, limit: int | None = None, dedup: bool = True
+    live: DataFrame, *, edge_pruning: bool = True, hubs: Hubs | None = SAFE, dedup: bool = True
 ) -> DataFrame:
     """Each vertex tells itself and its neighbours the least id around it.
 
@@ -22,14 +22,15 @@ def min_selection(
     who hear of it anyway.  Vertices without another neighbour send nothing.
     """
     id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
-    around = live.groupBy("id").agg(
+    seen = live.groupBy("id").agg(
         F.least(id, F.min("nbr")).alias("m"),
         F.count(F.lit(1)).alias("n"),
         F.max(nbr != id).alias("linked"),
     )
+    around = kept(seen, hubs)
     senders = around.where("linked").select("id", "m")
     speaking = senders.where(m < id) if edge_pruning else senders
-    told = lookup(live, speaking, "id", limit, counts=around)
+    told = lookup(live, speaking, "id", hubs, counts=around)
     sent = senders.select("id", m.alias("nbr")).unionByName(
         told.select(nbr.alias("id"), m.alias("nbr"))
     )
@@ -40,7 +41,7 @@ def prune_links(
     heard: DataFrame,
     *,
     oblivious_seed: bool = False,
-    limit: int | None = None,
+    hubs: Hubs | None = SAFE,
     dedup: bool = True,
 ) -> DataFrame:
     """New links of the live graph: every minimum a vertex heard of is linked to the least of them.
@@ -49,9 +50,10 @@ def prune_links(
     fewer rows per round, but many more rounds on long paths.
     """
     id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
-    around = heard.groupBy("id").agg(F.min("nbr").alias("m"), F.count(F.lit(1)).alias("n"))
+    minima = heard.groupBy("id").agg(F.min("nbr").alias("m"), F.count(F.lit(1)).alias("n"))
+    around = kept(minima, hubs)
     torn = around.where("n > 1")
-    joined = lookup(heard, torn.select("id", "m"), "id", limit, counts=around)
+    joined = lookup(heard, torn.select("id", "m"), "id", hubs, counts=around)
     if oblivious_seed:
         sent = emit(joined, pair(nbr, m, when=nbr != m)).unionByName(
             torn.select(m.alias("id"), m.alias("nbr"))
@@ -96,9 +98,9 @@ def prepare_propagation(tree_edges: DataFrame) -> DataFrame:
     return merged.select("id", F.coalesce("parent", "id").alias("parent"))
 
 
-def pointer_jump(parents: DataFrame, *, limit: int | None = None, with_old: bool = False) -> DataFrame:
+def pointer_jump(parents: DataFrame, *, hubs: Hubs | None = SAFE, with_old: bool = False) -> DataFrame:
     """Replace each parent by the parent's parent; ``with_old`` keeps the former in ``old``."""
     above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grandparent"))
-    jumped = lookup(parents, above, "parent", limit)
+    jumped = lookup(parents, above, "parent", hubs)
     old = [F.col("parent").alias("old")] if with_old else []
     return jumped.select("id", F.col("grandparent").alias("parent"), *old)

@@ -23,7 +23,7 @@ from islets.operators.hooking import (
     star_detection,
     unconditional_star_hook,
 )
-from islets.operators.lookup import hub_limit
+from islets.operators.lookup import Hubs
 from islets.operators.min_label import label_messages, merge_labels
 from islets.operators.rows import local_minimum
 from islets.operators.stars import (
@@ -52,20 +52,20 @@ def _replace(run: Rounds, old: Table | None, new: Table) -> Table:
     return new
 
 
-def _edge_degrees(run: Rounds, graph: Graph, limit: int | None) -> DataFrame | None:
-    """Vertices above ``limit`` edges, counted once for loops that join the same edges each round."""
-    if limit is None:
+def _edge_degrees(run: Rounds, graph: Graph, hubs: Hubs | None) -> DataFrame | None:
+    """Vertices with many edges, counted once for loops that join the same edges each round."""
+    if hubs is None:
         return None
     counts = graph.symmetric().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return run.work.save(counts.where(F.col("n") > limit), "hubs").frame
+    return run.work.save(counts.where(F.col("n") > hubs.limit), "hubs").frame
 
 
 def propagate(run: Rounds, parents: Table) -> Table:
     """Point every vertex of a forest at its root: pointers double their reach each round."""
     while True:
         run.next_round()
-        limit = run.hub_limit(parents.rows)
-        jumped = pointer_jump(parents.frame, limit=limit, with_old=True)
+        hubs = run.hubs(parents.rows)
+        jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
         table = run.work.save(
             jumped, "propagate", drop=("old",), moved=F.col("old") != F.col("parent")
         )
@@ -88,9 +88,9 @@ def tree_pruning(
     ``oblivious_seed`` is a flag or the set of rounds (from 0) in which it holds.  Below
     ``finish_threshold`` live rows the rest runs in one partition.
     """
-    limit = run.hub_limit(2 * graph.links)
+    hubs = run.hubs(2 * graph.links)
     messages = min_selection(
-        graph.symmetric(), edge_pruning=edge_pruning, limit=limit, dedup=False
+        graph.symmetric(), edge_pruning=edge_pruning, hubs=hubs, dedup=False
     )
     heard = run.step("min_selection", messages)
     rounds: list[Table] = []
@@ -105,7 +105,7 @@ def tree_pruning(
         links = prune_links(
             heard.frame,
             oblivious_seed=oblivious,
-            limit=run.hub_limit(heard.rows),
+            hubs=run.hubs(heard.rows),
             dedup=False,
         )
         if run.fuse(4 * heard.rows):
@@ -116,7 +116,7 @@ def tree_pruning(
         if heard.rows <= finish_threshold:
             live = live.coalesce(1)
         messages = min_selection(
-            live, edge_pruning=edge_pruning, limit=run.hub_limit(live_rows), dedup=False
+            live, edge_pruning=edge_pruning, hubs=run.hubs(live_rows), dedup=False
         )
         heard = run.step("min_selection", messages)
         if written is not None:
@@ -149,8 +149,8 @@ def tree_pruning_opt(
 
 def hash_min(run: Rounds, graph: Graph) -> DataFrame:
     """Spread labels until none changes; only changed labels are sent again."""
-    limit = run.hub_limit(2 * graph.links)
-    degrees = _edge_degrees(run, graph, limit)
+    hubs = run.hubs(2 * graph.links)
+    degrees = _edge_degrees(run, graph, hubs)
     first = local_minimum(graph.symmetric()).select(
         "id", F.col("m").alias("label"), (F.col("m") < F.col("id")).alias("changed")
     )
@@ -158,7 +158,7 @@ def hash_min(run: Rounds, graph: Graph) -> DataFrame:
     while labels.counts["changed"]:
         run.next_round()
         messages = label_messages(
-            labels.frame, graph.symmetric(), limit=limit, degrees=degrees
+            labels.frame, graph.symmetric(), hubs=hubs, degrees=degrees
         )
         new = run.step("hash_min", messages, merge_labels, changed=F.col("changed"))
         labels = _replace(run, labels, new)
@@ -178,7 +178,7 @@ def hash_to_min(run: Rounds, graph: Graph) -> DataFrame:
     clusters = run.save("start", start)
     while True:
         run.next_round()
-        sent = cluster_messages(clusters.frame, limit=run.hub_limit(clusters.rows))
+        sent = cluster_messages(clusters.frame, hubs=run.hubs(clusters.rows))
         # Rows of before join the deduplicating shuffle, which so compares both states exactly.
         tagged = sent.withColumn("fresh", F.lit(True)).unionByName(
             clusters.frame.withColumn("fresh", F.lit(False))
@@ -229,7 +229,7 @@ def ccf(run: Rounds, graph: Graph) -> DataFrame:
     frame, rows = graph.edges(), graph.links
     while True:
         run.next_round()
-        messages = ccf_iterate(frame, limit=run.hub_limit(2 * rows))
+        messages = ccf_iterate(frame, hubs=run.hubs(2 * rows))
         new = run.step("ccf", messages, links=F.col("id") != F.col("nbr"))
         pairs = _replace(run, pairs if pairs is not graph.table else None, new)
         frame, rows = pairs.frame, pairs.rows
@@ -247,7 +247,7 @@ def ccmr(run: Rounds, graph: Graph) -> DataFrame:
     frame, rows = graph.symmetric(), 2 * graph.links
     while True:
         run.next_round()
-        messages = ccmr_messages(frame, limit=run.hub_limit(rows))
+        messages = ccmr_messages(frame, hubs=run.hubs(rows))
         new = run.step("ccmr", messages, merge, drop=("more",), more=F.col("more"))
         state = _replace(run, state, new)
         frame, rows = state.frame, state.rows
@@ -263,13 +263,13 @@ def _alternate(run: Rounds, graph: Graph, frame: DataFrame, rows: int) -> Table:
     state: Table | None = None
     while True:
         run.next_round()
-        links = large_star(frame, limit=run.hub_limit(2 * rows), dedup=False)
+        links = large_star(frame, hubs=run.hubs(2 * rows), dedup=False)
         if run.fuse(4 * rows):
             large, large_rows, written = links.distinct(), 4 * rows, None
         else:
             written = run.step("large_star", links)
             large, large_rows = written.frame, written.rows
-        links = small_star(large, limit=run.hub_limit(large_rows), dedup=False, oriented=True)
+        links = small_star(large, hubs=run.hubs(large_rows), dedup=False, oriented=True)
         new = run.step("small_star", links, links=F.col("id") != F.col("nbr"))
         if written is not None:
             run.work.drop(written)
@@ -295,7 +295,7 @@ def alternating_hub_split(
     """Star alternation after splitting vertices with more than ``hub_degree`` neighbours."""
     degree = hub_degree or run.hub_rows
     split = split_hubs(
-        graph.symmetric(), degree=degree, salts=salts, limit=run.hub_limit(2 * graph.links)
+        graph.symmetric(), degree=degree, salts=salts, hubs=run.hubs(2 * graph.links)
     )
     table = run.save(
         "split_hubs", as_vertex_pairs(split), virtual=F.col("nbr.salt") > 0
@@ -314,15 +314,15 @@ def alternating_hub_split(
 def sgc(run: Rounds, graph: Graph) -> DataFrame:
     """Hook stars onto each other and jump, until a jump moves no pointer."""
     edges = graph.edges()
-    edge_limit = run.hub_limit(2 * graph.links)
-    degrees = _edge_degrees(run, graph, edge_limit)
+    edge_hubs = run.hubs(2 * graph.links)
+    degrees = _edge_degrees(run, graph, edge_hubs)
     parents = run.save("forest_init", forest_init(graph.symmetric()))
-    limit = run.hub_limit(parents.rows)
+    hubs = run.hubs(parents.rows)
 
     def hook(parents: DataFrame, unconditional: bool) -> DataFrame:
-        stars = star_detection(parents, limit=limit)
+        stars = star_detection(parents, hubs=hubs)
         candidates = min_neighbour_parent(
-            edges, parents, unconditional=unconditional, limit=edge_limit, degrees=degrees
+            edges, parents, unconditional=unconditional, hubs=edge_hubs, degrees=degrees
         )
         if unconditional:
             return unconditional_star_hook(stars, candidates)
@@ -334,7 +334,7 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
         parents = _replace(run, parents, hooked)
         hooked = run.save("unconditional_star_hook", hook(parents.frame, True))
         parents = _replace(run, parents, hooked)
-        jumped = pointer_jump(parents.frame, limit=limit, with_old=True)
+        jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
         table = run.work.save(
             jumped, "pointer_jump", drop=("old",), moved=F.col("old") != F.col("parent")
         )
@@ -342,7 +342,7 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
         parents = _replace(run, parents, table)
         if not table.counts["moved"]:
             break
-    return canonical_label(parents.frame, limit=limit)
+    return canonical_label(parents.frame, hubs=hubs)
 
 
 ALGORITHMS = {

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from islets.operators.lookup import HUB_ROWS, hub_limit
+from islets.operators.lookup import HUB_ROWS, Hubs
 from islets.plans.workspace import Table, Workspace
 
 
@@ -56,11 +56,19 @@ class Rounds:
         self.hub_rows = hub_rows
         self.work = Workspace(spark, algorithm)
         self.records: list[StepRecord] = []
+        self._per_key: list[Table] = []
         self.rounds = 0
         self._last = time.monotonic()
 
-    def hub_limit(self, rows: int) -> int | None:
-        return hub_limit(rows, self.hub_rows)
+    def hubs(self, rows: int) -> Hubs | None:
+        """How a step over at most ``rows`` rows treats hubs; none can be among few rows."""
+        return None if rows <= self.hub_rows else Hubs(self.hub_rows, self._keep)
+
+    def _keep(self, per_key: DataFrame) -> DataFrame:
+        """Write a per-key frame until the step that reads it has been written itself."""
+        table = self.work.save(per_key, "per-key")
+        self._per_key.append(table)
+        return table.frame
 
     def next_round(self) -> None:
         self.rounds += 1
@@ -75,7 +83,7 @@ class Rounds:
         Large steps, and steps with statistics, are written one by one: the hub split of
         :func:`islets.operators.lookup.lookup` reads its input several times.
         """
-        return not self.collect_stats and self.hub_limit(rows) is None
+        return not self.collect_stats and self.hubs(rows) is None
 
     def step(
         self,
@@ -113,6 +121,9 @@ class Rounds:
         self._record(name, table.frame, messages)
 
     def _record(self, name: str, frame: DataFrame, messages: int | None) -> None:
+        for per_key in self._per_key:
+            self.work.drop(per_key)
+        self._per_key.clear()
         now = time.monotonic()
         record = StepRecord(len(self.records), name, round(1000 * (now - self._last)))
         if self.collect_stats:

@@ -24,9 +24,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         raise ValueError(
             "set spark.checkpoint.dir to a folder that all executors share, such as one on HDFS"
         )
-    root = "file:" + tempfile.mkdtemp(prefix="islets-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    spark.sparkContext.setCheckpointDir("file:" + tempfile.mkdtemp(prefix="islets-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 @dataclass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from islets.operators.lookup import lookup
+from islets.operators.lookup import SAFE, Hubs, lookup
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -37,16 +37,16 @@ def largest_component(sizes: DataFrame) -> DataFrame:
 
 
 def largest_component_edges(
-    edges: DataFrame, labels: DataFrame, *, limit: int | None = None
+    edges: DataFrame, labels: DataFrame, *, hubs: Hubs | None = SAFE
 ) -> DataFrame:
     """Both directions of the edges ``(src, dst)`` inside the largest component, copies kept."""
     top = F.broadcast(largest_component(component_sizes(labels)).select("component"))
     inside = labels.join(top, "component", "left_semi").select(F.col("id").alias("dst"))
     # Both ends of an edge share their component, so one end decides for both directions.
-    kept = lookup(edges, inside, "dst", limit, how="left_semi")
+    within = lookup(edges, inside, "dst", hubs, how="left_semi")
     ends = F.struct(F.col("src"), F.col("dst"))
     back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return kept.select(F.inline(F.array(ends, back)))
+    return within.select(F.inline(F.array(ends, back)))
 
 
 def degree_stats(adjacency: DataFrame) -> DataFrame:

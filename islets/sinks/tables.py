@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from islets.operators.lookup import SAFE, Hubs
 from islets.reports.components import component_sizes, largest_component_edges, size_distribution
 
 
@@ -39,10 +40,10 @@ def write_largest_component(
     *,
     format: str = "text",
     mode: str = "errorifexists",
-    limit: int | None = None,
+    hubs: Hubs | None = SAFE,
 ) -> None:
     """Lines ``src dst`` for the edges of the largest component, both directions."""
-    write_edges(largest_component_edges(edges, labels, limit=limit), path, format=format, mode=mode)
+    write_edges(largest_component_edges(edges, labels, hubs=hubs), path, format=format, mode=mode)
 
 
 def write_distribution(
