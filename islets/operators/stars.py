@@ -6,18 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from islets.operators.lookup import HUB_ROWS, SAFE, Hubs, kept, lookup
-from islets.operators.rows import both_directions, emit, local_minimum, pair
+from islets.operators.rows import emit, local_minimum, pair
 
 
-def large_star(edges: DataFrame, *, hubs: Hubs | None = SAFE, dedup: bool = True) -> DataFrame:
-    """Link each larger neighbour, and the vertex itself, to the least id around the vertex."""
+def orient(edges: DataFrame) -> DataFrame:
+    """Each row with its larger end first."""
+    id, nbr = F.col("id"), F.col("nbr")
+    return edges.select(F.greatest(id, nbr).alias("id"), F.least(id, nbr).alias("nbr"))
+
+
+def large_star(
+    edges: DataFrame, *, hubs: Hubs | None = SAFE, dedup: bool = True, oriented: bool = False
+) -> DataFrame:
+    """Link each larger neighbour, and the vertex itself, to the least id around the vertex.
+
+    With the larger end of an edge first, a vertex that has a row of its own finds the least id
+    there, and one without is the least itself.  So each edge is needed in one direction only: its
+    smaller end is looked up, and what is found there goes to the larger end.  ``oriented`` states
+    that no row has ``id < nbr``.
+    """
     id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
-    known = both_directions(edges)
-    around = kept(local_minimum(known), hubs)
-    joined = lookup(known, around.select("id", "m"), "id", hubs, counts=around)
-    sent = joined.where(nbr > id).select(nbr.alias("id"), m.alias("nbr")).unionByName(
-        around.select("id", m.alias("nbr"))
-    )
+    edges = edges if oriented else orient(edges)
+    below = kept(edges.groupBy("id").agg(F.min("nbr").alias("m")), hubs)
+    at_nbr = below.select(F.col("id").alias("nbr"), "m")
+    joined = lookup(edges, at_nbr, "nbr", hubs, how="left")
+    sent = emit(
+        joined,
+        pair(id, F.coalesce(m, nbr), when=id > nbr),
+        pair(nbr, nbr, when=m.isNull()),
+    ).unionByName(below.select("id", m.alias("nbr")))
     return sent.distinct() if dedup else sent
 
 
@@ -26,11 +43,10 @@ def small_star(
 ) -> DataFrame:
     """Link each smaller neighbour, and the vertex itself, to the least of the smaller neighbours.
 
-    ``oriented`` states that no row has ``id < nbr``, as in the output of :func:`large_star`.
+    ``oriented`` as in :func:`large_star`, whose output is so.
     """
     id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
-    if not oriented:
-        edges = edges.select(F.greatest(id, nbr).alias("id"), F.least(id, nbr).alias("nbr"))
+    edges = edges if oriented else orient(edges)
     around = kept(local_minimum(edges), hubs)
     joined = lookup(edges, around.select("id", "m"), "id", hubs, counts=around)
     sent = joined.select(nbr.alias("id"), m.alias("nbr")).unionByName(

@@ -30,6 +30,7 @@ from islets.operators.stars import (
     as_vertex_pairs,
     drop_virtual,
     large_star,
+    orient,
     small_star,
     split_hubs,
     star_labels,
@@ -61,11 +62,14 @@ def _edge_degrees(run: Rounds, graph: Graph, hubs: Hubs | None) -> DataFrame | N
 
 
 def propagate(run: Rounds, parents: Table) -> Table:
-    """Point every vertex of a forest at its root: pointers double their reach each round."""
+    """Point every vertex of a forest at its root: pointers double their reach with each jump."""
     while True:
         run.next_round()
         hubs = run.hubs(parents.rows)
-        jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
+        once = parents.frame
+        if run.fuse(2 * parents.rows):
+            once = pointer_jump(once, hubs=hubs)
+        jumped = pointer_jump(once, hubs=hubs, with_old=True)
         table = run.work.save(
             jumped, "propagate", drop=("old",), moved=F.col("old") != F.col("parent")
         )
@@ -263,7 +267,7 @@ def _alternate(run: Rounds, graph: Graph, frame: DataFrame, rows: int) -> Table:
     state: Table | None = None
     while True:
         run.next_round()
-        links = large_star(frame, hubs=run.hubs(2 * rows), dedup=False)
+        links = large_star(frame, hubs=run.hubs(rows), dedup=False, oriented=True)
         if run.fuse(4 * rows):
             large, large_rows, written = links.distinct(), 4 * rows, None
         else:
@@ -306,7 +310,7 @@ def alternating_hub_split(
     graph.count = (
         table.frame.select(F.explode(F.array("id", "nbr")).alias("id")).distinct().count()
     )
-    stars = _alternate(run, graph, table.frame, table.rows)
+    stars = _alternate(run, graph, orient(table.frame), table.rows)
     run.work.drop(table)
     return drop_virtual(_labels_of_stars(stars.frame))
 
