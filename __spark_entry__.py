@@ -122,7 +122,8 @@ def part_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents_run(spark: SparkSession, sf_dir: str, **options):
     ids = _table(spark, sf_dir, "documents").select("doc_id")
-    return run_components(docs(spark, sf_dir), vertices=ids, dataset="docs", **options)
+    edges = docs(spark, sf_dir)
+    return run_components(edges, "alternating", vertices=ids, dataset="docs", **options)
 
 
 def _linked(edges: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def _on(graph, step):
 
 
 def _on_labels(graph, report):
-    return lambda spark, sf_dir: report(connected_components(graph(spark, sf_dir)))
+    return lambda spark, sf_dir: report(connected_components(graph(spark, sf_dir), "alternating"))
 
 
 def _on_sizes(graph, report):
@@ -299,7 +300,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # whole jobs
         "cc_documents": lambda spark, sf_dir: _documents_run(spark, sf_dir).labels,
-        "cc_cust_order": _whole_job(cust_order, "alternating"),
+        "cc_cust_order": _whole_job(cust_order, "tree_pruning_opt"),
         "cc_tree_pruning": _whole_job(event_user, "tree_pruning"),
         "cc_tree_pruning_opt": _whole_job(event_user, "tree_pruning_opt", finish_threshold=1000),
         "cc_tree_pruning_oblivious": _whole_job(
@@ -480,12 +481,12 @@ FROM st LEFT JOIN cd ON st.id = cd.id""",
 
 
 # Documents of one text form a star around the least of them: one round, in which the large-star
-# step links each to the centre and the small-star step repeats the rows.
+# step sends each leaf the centre twice and the small-star step once.
 DOC_STARS = """groups AS (SELECT count(*) n FROM documents GROUP BY md5(text) HAVING count(*) > 1),
 totals AS (SELECT sum(n)::BIGINT v, count(*) c, max(n) w FROM groups)"""
 DOC_MESSAGES = f"""{DOC_STARS},
-sent AS (SELECT 1 AS step, (v - c) + v AS n, v AS receivers FROM totals
-         UNION ALL SELECT 2, 2 * v, v FROM totals)"""
+sent AS (SELECT 1 AS step, 2 * (v - c) AS n, v - c AS receivers FROM totals
+         UNION ALL SELECT 2, v - c, v - c FROM totals)"""
 DOC_LABELS = """labels AS (
   SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY md5(text)) AS component FROM documents),
 sizes AS (SELECT component, count(*) AS size FROM labels GROUP BY component)"""
@@ -660,11 +661,12 @@ SELECT count(*) AS vertices, sum(n)::BIGINT AS edges, sum(n)::DOUBLE / count(*)
         ),
         "step_activity": _with(
             DOC_STARS,
-            """steps AS (SELECT 0 AS step, 2.0 * (v - c) AS edges, w - 1 AS degree, v FROM totals
-  UNION ALL SELECT 1, v, 1, v FROM totals UNION ALL SELECT 2, v, 1, v FROM totals)""",
-            select="""SELECT 'docs' AS dataset, step::INTEGER AS step, v AS activeVertices,
-  100.0::DOUBLE AS activeVerticesNormalized, 'alternating' AS algorithm,
-  edges::DOUBLE AS activeEdges, edges::DOUBLE / v AS meanDegree, degree::INTEGER AS degreeMax
+            """steps AS (SELECT 0 AS step, 2 * (v - c) AS edges, w - 1 AS degree, v AS active, v FROM totals
+  UNION ALL SELECT 1, v - c, 1, v - c, v FROM totals
+  UNION ALL SELECT 2, v - c, 1, v - c, v FROM totals)""",
+            select="""SELECT 'docs' AS dataset, step::INTEGER AS step, active AS activeVertices,
+  round(100.0::DOUBLE * active / v, 2) AS activeVerticesNormalized, 'alternating' AS algorithm,
+  edges::DOUBLE AS activeEdges, edges::DOUBLE / active AS meanDegree, degree::INTEGER AS degreeMax
 FROM steps""",
         ),
         "step_messages": _with(

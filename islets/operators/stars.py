@@ -16,40 +16,56 @@ def orient(edges: DataFrame) -> DataFrame:
 
 
 def large_star(
-    edges: DataFrame, *, hubs: Hubs | None = SAFE, dedup: bool = True, oriented: bool = False
+    edges: DataFrame,
+    *,
+    hubs: Hubs | None = SAFE,
+    dedup: bool = True,
+    oriented: bool = False,
+    loops: bool = True,
 ) -> DataFrame:
     """Link each larger neighbour, and the vertex itself, to the least id around the vertex.
 
     With the larger end of an edge first, a vertex that has a row of its own finds the least id
     there, and one without is the least itself.  So each edge is needed in one direction only: its
     smaller end is looked up, and what is found there goes to the larger end.  ``oriented`` states
-    that no row has ``id < nbr``.
+    that no row has ``id < nbr``.  Without ``loops``, local minima are not stated by a row that links
+    them to themselves.
     """
     id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
     edges = edges if oriented else orient(edges)
     below = kept(edges.groupBy("id").agg(F.min("nbr").alias("m")), hubs)
     at_nbr = below.select(F.col("id").alias("nbr"), "m")
     joined = lookup(edges, at_nbr, "nbr", hubs, how="left")
-    sent = emit(
-        joined,
-        pair(id, F.coalesce(m, nbr), when=id > nbr),
-        pair(nbr, nbr, when=m.isNull()),
-    ).unionByName(below.select("id", m.alias("nbr")))
+    if loops:
+        found = emit(
+            joined,
+            pair(id, F.coalesce(m, nbr), when=id > nbr),
+            pair(nbr, nbr, when=m.isNull()),
+        )
+    else:
+        found = joined.select("id", F.coalesce(m, nbr).alias("nbr"))
+    sent = found.unionByName(below.select("id", m.alias("nbr")))
     return sent.distinct() if dedup else sent
 
 
 def small_star(
-    edges: DataFrame, *, hubs: Hubs | None = SAFE, dedup: bool = True, oriented: bool = False
+    edges: DataFrame,
+    *,
+    hubs: Hubs | None = SAFE,
+    dedup: bool = True,
+    oriented: bool = False,
+    loops: bool = True,
 ) -> DataFrame:
     """Link each smaller neighbour, and the vertex itself, to the least of the smaller neighbours.
 
-    ``oriented`` as in :func:`large_star`, whose output is so.
+    ``oriented`` and ``loops`` as in :func:`large_star`, whose output is oriented.
     """
     id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
     edges = edges if oriented else orient(edges)
     around = kept(local_minimum(edges), hubs)
     joined = lookup(edges, around.select("id", "m"), "id", hubs, counts=around)
-    sent = joined.select(nbr.alias("id"), m.alias("nbr")).unionByName(
+    found = joined if loops else joined.where(nbr != m)
+    sent = found.select(nbr.alias("id"), m.alias("nbr")).unionByName(
         around.select("id", m.alias("nbr"))
     )
     return sent.distinct() if dedup else sent

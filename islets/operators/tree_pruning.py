@@ -37,8 +37,19 @@ def min_selection(
     return sent.distinct() if dedup else sent
 
 
+def heard_minima(heard: DataFrame) -> DataFrame:
+    """``(id, m, n, named)``: the least minimum a vertex heard of, how many it heard of, and whether
+    itself is among them.  Both halves of the pruning step start from these."""
+    return heard.groupBy("id").agg(
+        F.min("nbr").alias("m"),
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.col("nbr") == F.col("id")).alias("named"),
+    )
+
+
 def prune_links(
     heard: DataFrame,
+    minima: DataFrame | None = None,
     *,
     oblivious_seed: bool = False,
     hubs: Hubs | None = SAFE,
@@ -47,11 +58,11 @@ def prune_links(
     """New links of the live graph: every minimum a vertex heard of is linked to the least of them.
 
     ``oblivious_seed`` keeps the other minima from the least one, which then only knows itself:
-    fewer rows per round, but many more rounds on long paths.
+    fewer rows per round, but many more rounds on long paths.  ``minima`` is the result of
+    :func:`heard_minima`, for callers that have it written.
     """
     id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
-    minima = heard.groupBy("id").agg(F.min("nbr").alias("m"), F.count(F.lit(1)).alias("n"))
-    around = kept(minima, hubs)
+    around = kept(heard_minima(heard), hubs) if minima is None else minima
     torn = around.where("n > 1")
     joined = lookup(heard, torn.select("id", "m"), "id", hubs, counts=around)
     if oblivious_seed:
@@ -63,12 +74,10 @@ def prune_links(
     return sent.distinct() if dedup else sent
 
 
-def prune_tree_edges(heard: DataFrame) -> DataFrame:
+def prune_tree_edges(heard: DataFrame | None = None, minima: DataFrame | None = None) -> DataFrame:
     """``(id, parent)`` for each vertex that nobody named as a minimum: it leaves the live graph."""
-    around = heard.groupBy("id").agg(
-        F.min("nbr").alias("parent"), F.max(F.col("nbr") == F.col("id")).alias("named")
-    )
-    return around.where(~F.col("named")).select("id", "parent")
+    around = heard_minima(heard) if minima is None else minima
+    return around.where(~F.col("named")).select("id", F.col("m").alias("parent"))
 
 
 def merge_forest(forest: DataFrame, tree_edges: DataFrame) -> DataFrame:

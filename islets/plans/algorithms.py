@@ -36,6 +36,7 @@ from islets.operators.stars import (
     star_labels,
 )
 from islets.operators.tree_pruning import (
+    heard_minima,
     min_selection,
     pointer_jump,
     prepare_propagation,
@@ -71,7 +72,7 @@ def propagate(run: Rounds, parents: Table) -> Table:
             once = pointer_jump(once, hubs=hubs)
         jumped = pointer_jump(once, hubs=hubs, with_old=True)
         table = run.work.save(
-            jumped, "propagate", drop=("old",), moved=F.col("old") != F.col("parent")
+            jumped, "propagate", drop=("old",), moved=F.count_if(F.col("old") != F.col("parent"))
         )
         run.record("propagate", table, table.rows)
         parents = _replace(run, parents, table)
@@ -97,6 +98,7 @@ def tree_pruning(
         graph.symmetric(), edge_pruning=edge_pruning, hubs=hubs, dedup=False
     )
     heard = run.step("min_selection", messages)
+    tree_edges: list[DataFrame] = []
     rounds: list[Table] = []
     while heard.rows:
         run.next_round()
@@ -105,18 +107,24 @@ def tree_pruning(
             if isinstance(oblivious_seed, bool)
             else len(rounds) in oblivious_seed
         )
-        rounds.append(heard)
-        links = prune_links(
-            heard.frame,
-            oblivious_seed=oblivious,
-            hubs=run.hubs(heard.rows),
-            dedup=False,
-        )
+        hubs = run.hubs(heard.rows)
         if run.fuse(4 * heard.rows):
+            links = prune_links(heard.frame, oblivious_seed=oblivious, hubs=hubs, dedup=False)
             live, live_rows, written = links.distinct(), 2 * heard.rows, None
+            tree_edges.append(prune_tree_edges(heard.frame))
+            rounds.append(heard)
         else:
+            # What both halves of the step start from is written, so that what the vertices heard
+            # is aggregated once and goes as soon as the links are there.
+            minima = run.work.save(heard_minima(heard.frame), "minima")
+            links = prune_links(
+                heard.frame, minima.frame, oblivious_seed=oblivious, hubs=hubs, dedup=False
+            )
             written = run.step("prune", links)
             live, live_rows = written.frame, written.rows
+            tree_edges.append(prune_tree_edges(minima=minima.frame))
+            rounds.append(minima)
+            run.work.drop(heard)
         if heard.rows <= finish_threshold:
             live = live.coalesce(1)
         messages = min_selection(
@@ -125,8 +133,9 @@ def tree_pruning(
         heard = run.step("min_selection", messages)
         if written is not None:
             run.work.drop(written)
-    tree_edges = reduce(DataFrame.unionByName, [prune_tree_edges(h.frame) for h in rounds])
-    forest = run.save("prepare_propagation", prepare_propagation(tree_edges))
+    forest = run.save(
+        "prepare_propagation", prepare_propagation(reduce(DataFrame.unionByName, tree_edges))
+    )
     for table in rounds:
         run.work.drop(table)
     roots = propagate(run, forest)
@@ -158,13 +167,13 @@ def hash_min(run: Rounds, graph: Graph) -> DataFrame:
     first = local_minimum(graph.symmetric()).select(
         "id", F.col("m").alias("label"), (F.col("m") < F.col("id")).alias("changed")
     )
-    labels = run.save("start", first, changed=F.col("changed"))
+    labels = run.save("start", first, changed=F.count_if("changed"))
     while labels.counts["changed"]:
         run.next_round()
         messages = label_messages(
             labels.frame, graph.symmetric(), hubs=hubs, degrees=degrees
         )
-        new = run.step("hash_min", messages, merge_labels, changed=F.col("changed"))
+        new = run.step("hash_min", messages, merge_labels, changed=F.count_if("changed"))
         labels = _replace(run, labels, new)
     return labels.frame.select("id", F.col("label").alias("component"))
 
@@ -173,55 +182,53 @@ def hash_to_min(run: Rounds, graph: Graph) -> DataFrame:
     """Exchange clusters until no row comes or goes."""
 
     def merge(messages, *extra):
-        return messages.groupBy("id", "member").agg(
-            F.max("fresh").alias("now"), (~F.min("fresh")).alias("before"), *extra
-        )
+        if not extra:
+            return messages.distinct()
+        return messages.groupBy("id", "member").agg(*extra)
 
+    checksum = F.bit_xor(F.xxhash64("id", "member"))
     start = graph.symmetric().select("id", F.col("nbr").alias("member"))
     start = start.unionByName(graph.linked_vertices().select("id", F.col("id").alias("member")))
-    clusters = run.save("start", start)
+    clusters = run.save("start", start, checksum=checksum)
     while True:
         run.next_round()
         sent = cluster_messages(clusters.frame, hubs=run.hubs(clusters.rows))
-        # Rows of before join the deduplicating shuffle, which so compares both states exactly.
-        tagged = sent.withColumn("fresh", F.lit(True)).unionByName(
-            clusters.frame.withColumn("fresh", F.lit(False))
-        )
-        new = run.step(
-            "hash_to_min",
-            tagged,
-            merge,
-            keep=F.col("now"),
-            drop=("now", "before"),
-            sent=F.col("fresh"),
-            changed=F.col("now") != F.col("before"),
-            kept=F.col("now"),
-        )
-        new.rows = new.counts["kept"]
+        new = run.step("hash_to_min", sent, merge, checksum=checksum)
+        unchanged = _same_rows(clusters, new)
         clusters = _replace(run, clusters, new)
-        if not new.counts["changed"]:
+        if unchanged:
             break
     return clusters.frame.groupBy("id").agg(F.min("member").alias("component"))
 
 
-def _is_star_forest(graph: Graph, table: Table) -> bool:
-    """Whether the links of a state are stars, one per component.
+def _same_rows(before: Table, after: Table) -> bool:
+    """Whether two tables of distinct rows are the same set.
+
+    Counts and checksums, known from writing, tell most rounds apart; only if they agree are the
+    rows compared.
+    """
+    if before.rows != after.rows or before.counts["checksum"] != after.counts["checksum"]:
+        return False
+    gone = before.frame.join(after.frame, before.frame.columns, "left_anti")
+    return gone.isEmpty()
+
 
-    Let L be the links ``id <> nbr``, C their distinct ``nbr`` and D their distinct ``id``.  Links go
-    from larger to smaller ids and touch all n vertices, so every vertex outside D is in C:
-    L >= D and C >= n - D.  Hence L + C >= n, with equality only if every id has one link and no
-    centre has a link itself.  Most rounds fail on L alone, which the write has counted.
+def _is_star_forest(graph: Graph, links: Table) -> bool:
+    """Whether distinct links from larger to smaller ids are stars, one per component.
+
+    Let L be the number of links, C of their distinct ``nbr`` and D of their distinct ``id``.  Links
+    touch all n vertices, so every vertex outside D is in C: L >= D and C >= n - D.  Hence
+    L + C >= n, with equality only if every id has one link and no centre has a link itself.
+    Most rounds fail on L alone, which the write has counted.
     """
-    links = table.counts["links"]
-    if links >= graph.count:
+    if links.rows >= graph.count:
         return False
-    centres = table.frame.where(F.col("id") != F.col("nbr")).select("nbr").distinct().count()
-    return links + centres == graph.count
+    centres = links.frame.select("nbr").distinct().count()
+    return links.rows + centres == graph.count
 
 
-def _labels_of_stars(stars: DataFrame) -> DataFrame:
+def _labels_of_stars(links: DataFrame) -> DataFrame:
     """Labels from a star forest; the links have one row per leaf, so only centres are shuffled."""
-    links = stars.where(F.col("id") != F.col("nbr"))
     centres = links.select(F.col("nbr").alias("id"), F.col("nbr").alias("component")).distinct()
     return links.select("id", F.col("nbr").alias("component")).unionByName(centres)
 
@@ -234,7 +241,7 @@ def ccf(run: Rounds, graph: Graph) -> DataFrame:
     while True:
         run.next_round()
         messages = ccf_iterate(frame, hubs=run.hubs(2 * rows))
-        new = run.step("ccf", messages, links=F.col("id") != F.col("nbr"))
+        new = run.step("ccf", messages)
         pairs = _replace(run, pairs if pairs is not graph.table else None, new)
         frame, rows = pairs.frame, pairs.rows
         if _is_star_forest(graph, pairs):
@@ -252,7 +259,7 @@ def ccmr(run: Rounds, graph: Graph) -> DataFrame:
     while True:
         run.next_round()
         messages = ccmr_messages(frame, hubs=run.hubs(rows))
-        new = run.step("ccmr", messages, merge, drop=("more",), more=F.col("more"))
+        new = run.step("ccmr", messages, merge, drop=("more",), more=F.count_if("more"))
         state = _replace(run, state, new)
         frame, rows = state.frame, state.rows
         if not state.counts["more"]:
@@ -267,14 +274,18 @@ def _alternate(run: Rounds, graph: Graph, frame: DataFrame, rows: int) -> Table:
     state: Table | None = None
     while True:
         run.next_round()
-        links = large_star(frame, hubs=run.hubs(rows), dedup=False, oriented=True)
+        links = large_star(
+            frame, hubs=run.hubs(rows), dedup=False, oriented=True, loops=False
+        )
         if run.fuse(4 * rows):
-            large, large_rows, written = links.distinct(), 4 * rows, None
+            large, large_rows, written = links.distinct(), 2 * rows, None
         else:
             written = run.step("large_star", links)
             large, large_rows = written.frame, written.rows
-        links = small_star(large, hubs=run.hubs(large_rows), dedup=False, oriented=True)
-        new = run.step("small_star", links, links=F.col("id") != F.col("nbr"))
+        links = small_star(
+            large, hubs=run.hubs(large_rows), dedup=False, oriented=True, loops=False
+        )
+        new = run.step("small_star", links)
         if written is not None:
             run.work.drop(written)
         state = _replace(run, state, new)
@@ -302,7 +313,7 @@ def alternating_hub_split(
         graph.symmetric(), degree=degree, salts=salts, hubs=run.hubs(2 * graph.links)
     )
     table = run.save(
-        "split_hubs", as_vertex_pairs(split), virtual=F.col("nbr.salt") > 0
+        "split_hubs", as_vertex_pairs(split), virtual=F.count_if(F.col("nbr.salt") > 0)
     )
     if not table.counts["virtual"]:
         run.work.drop(table)
@@ -340,7 +351,7 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
         parents = _replace(run, parents, hooked)
         jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
         table = run.work.save(
-            jumped, "pointer_jump", drop=("old",), moved=F.col("old") != F.col("parent")
+            jumped, "pointer_jump", drop=("old",), moved=F.count_if(F.col("old") != F.col("parent"))
         )
         run.record("pointer_jump", table, table.rows)
         parents = _replace(run, parents, table)

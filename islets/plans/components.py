@@ -13,7 +13,7 @@ from islets.plans.graph import load_graph
 from islets.plans.rounds import Rounds, StepRecord
 from islets.plans.workspace import Workspace
 
-DEFAULT_ALGORITHM = "alternating"
+DEFAULT_ALGORITHM = "tree_pruning_opt"
 
 
 @dataclass

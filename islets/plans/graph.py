@@ -66,7 +66,7 @@ def load_graph(run: Rounds, edges: DataFrame, vertices: DataFrame | None, src: s
         F.greatest(a, b).alias("id"), F.least(a, b).alias("nbr")
     )
     table = run.work.save(
-        oriented.distinct(), "edges", loops=(F.col("id") == F.col("nbr"))
+        oriented.distinct(), "edges", loops=F.count_if(F.col("id") == F.col("nbr"))
     )
     if vertices is not None:
         first = vertices.columns[0]

@@ -91,19 +91,15 @@ class Rounds:
         messages: DataFrame,
         merge: Callable[..., DataFrame] = merge_rows,
         *extra: Column,
-        keep: Column | None = None,
         drop: tuple[str, ...] = (),
-        sent: Column | None = None,
         **counts: Column,
     ) -> Table:
         """Merge the messages of a step per receiver, write the result, and record the step."""
         if self.collect_stats:
-            extra += (F.count(F.lit(1) if sent is None else F.when(sent, 1)).alias("copies"),)
-            counts["copies"] = F.col("copies")
+            extra += (F.count(F.lit(1)).alias("copies"),)
+            counts["copies"] = F.sum("copies")
             drop += ("copies",)
-        table = self.work.save(
-            merge(messages, *extra), name, keep=keep, drop=drop, **counts
-        )
+        table = self.work.save(merge(messages, *extra), name, drop=drop, **counts)
         self.record(name, table, table.counts.get("copies"))
         return table
 

@@ -46,21 +46,21 @@ class Workspace:
         self.folder = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._written = 0
 
-    def save(self, frame: DataFrame, name: str, *, keep: Column | None = None,
-             drop: tuple[str, ...] = (), **counts: Column) -> Table:
-        """Write a frame in one job that also counts its rows and sums up ``counts``.
+    def save(
+        self, frame: DataFrame, name: str, *, drop: tuple[str, ...] = (), **counts: Column
+    ) -> Table:
+        """Write a frame in one job that also counts its rows and evaluates ``counts``.
 
-        Rows outside ``keep`` and columns in ``drop`` are counted but not written.
+        ``counts`` are aggregates, NULL counting as 0.  Columns in ``drop`` are counted but not
+        written.  Counting takes place in the tasks that write, whose
+        results Spark takes once each even if tasks or executors fail.
         """
         self._written += 1
         path = f"{self.folder}/{self._written:04d}-{name}"
         seen = Observation()
         metrics = [F.count(F.lit(1)).alias("rows")]
-        metrics += [F.sum(value.cast("long")).alias(key) for key, value in counts.items()]
-        out = frame.observe(seen, *metrics)
-        if keep is not None:
-            out = out.where(keep)
-        out = out.drop(*drop)
+        metrics += [value.alias(key) for key, value in counts.items()]
+        out = frame.observe(seen, *metrics).drop(*drop)
         out.write.parquet(path)
         try:
             found = {key: value or 0 for key, value in seen.get.items()}

@@ -76,7 +76,7 @@ def test_empty(spark, algorithm):
 def test_incomplete_rows_and_isolated_vertices(spark):
     edges = frame(spark, [(1, 2), (3, None), (None, 4), (5, 5)])
     vertices = frame(spark, [(2,), (9,), (9,), (None,)], "v int")
-    labels = connected_components(edges, vertices=vertices)
+    labels = connected_components(edges, vertices=vertices, collect_stats=True)
     assert as_dict(labels) == {1: 1, 2: 1, 5: 5, 9: 9}
 
 

@@ -61,7 +61,7 @@ class Session:
 
 
 def test_tables_go_to_the_shared_folder_of_the_session(spark):
-    run = run_components(registered.cust_order(spark, SF_DIR))
+    run = run_components(registered.cust_order(spark, SF_DIR), "alternating")
     shared = spark.conf.get("spark.checkpoint.dir")
     assert run.work.folder.startswith(f"{shared}/alternating-")
     assert run.labels.count() == 1650
@@ -92,9 +92,9 @@ def test_plan_does_not_grow_with_rounds(spark):
 
 def test_save_counts_what_it_writes(spark):
     frame = spark.range(10).withColumn("odd", F.col("id") % 2 == 1)
-    table = Workspace(spark, "t").save(frame, "t", drop=("odd",), odd=F.col("odd"))
+    table = Workspace(spark, "t").save(frame, "t", drop=("odd",), odd=F.count_if("odd"))
     assert (table.rows, table.counts["odd"], table.frame.columns) == (10, 5, ["id"])
-    nothing = Workspace(spark, "t").save(frame.where("id > 99"), "t", odd=F.col("odd"))
+    nothing = Workspace(spark, "t").save(frame.where("id > 99"), "t", odd=F.count_if("odd"))
     assert (nothing.rows, nothing.counts["odd"], nothing.frame.count()) == (0, 0, 0)
 
 

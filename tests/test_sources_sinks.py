@@ -100,7 +100,7 @@ def test_ties_go_to_the_smallest_label(spark):
 
 
 def test_text_sinks(spark, example, tmp_path):
-    run = run_components(example, dataset="example", collect_stats=True)
+    run = run_components(example, "alternating", dataset="example", collect_stats=True)
     write_labels(run.labels, str(tmp_path / "labels"))
     assert lines(spark, tmp_path / "labels") == [
         "1 1", "2 1", "3 1", "4 1", "5 1", "6 1", "7 7", "8 7",
@@ -124,7 +124,7 @@ def test_run_reports(spark, example):
     activity = rows(step_activity(run))
     assert activity[0] == ("example", 0, 8, 100.0, "hash_min", 12.0, 1.5, 2)
     assert [row[1] for row in activity] == list(range(len(run.steps)))
-    assert all(row[3] == row[4] * 2 for row in rows(step_messages(run)))
+    assert all(row[4] == row[3] * 2 for row in rows(step_messages(run)))
     assert len(rows(step_times(run))) == len(run.steps)
     summary = run_summary(run).first().asDict()
     assert (summary["ccNumber"], summary["ccMaxSize"]) == (2, 6)
