@@ -82,6 +82,12 @@ from islets.sources.membership import (
     parse_membership_lines,
 )
 
+try:  # the operators on text, and the pipeline made of them, may be left out
+    import corpus_pipeline
+    from islets.llm import registry as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 HUB_DEGREE = 35
 SALTS = 4
 
@@ -296,7 +302,8 @@ def entry(spark: SparkSession) -> DataFrame:
     return _documents_run(spark, "/root/testdata/sf0.001").labels
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries for the graph operators."""
     return {
         # whole jobs
         "cc_documents": lambda spark, sf_dir: _documents_run(spark, sf_dir).labels,
@@ -492,7 +499,7 @@ DOC_LABELS = """labels AS (
 sizes AS (SELECT component, count(*) AS size FROM labels GROUP BY component)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def library_sql() -> dict[str, str]:
     on_parts = partial(_with, _edges(ORDER_PART))
     on_events = partial(_with, _edges(EVENT_USER))
     largest = """SELECT g.src, g.dst FROM g JOIN labels ON g.dst = labels.id
@@ -706,3 +713,19 @@ FROM sent""",
     ):
         oracle[name] = _label_query(EVENT_USER)
     return oracle
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = library_queries()
+    if llm:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    found = library_sql()
+    if llm:
+        found |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -36,13 +36,13 @@ def _rows(columns, rows):
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(registered.library_queries()))
 def test_query_matches_sql(spark, duck, name):
     begin = time.time()
-    frame = registered.queries()[name](spark, SF_DIR)
+    frame = registered.library_queries()[name](spark, SF_DIR)
     found = [tuple(row) for row in frame.collect()]
     print(f"{name}: {len(found)} rows, {time.time() - begin:.1f} s")
-    sql = registered.oracle_sql().get(name)
+    sql = registered.library_sql().get(name)
     if sql is None:
         assert name == "step_times" and found
         return
