@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from islets.llm.shared import safe_name, whole, without_space, words
+from islets.llm.shared import safe_name, saved, scratch, whole, without_space, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -100,6 +100,8 @@ def line_frequency_rules(
     limits = frequent_lines(docs, text=text, host=host, share=share, least=least)
     own = ("host__", "frequent__", "body__", "lines__", "word__", "grams__", "placed__")
     of, frequent, body, lines, word, grams, placed = (safe_name(docs, x) for x in own)
+    # written, so that Spark knows its size before it plans the join: texts are shuffled only if it is large
+    limits = saved(scratch(docs.sparkSession, "quality-rules"), limits, "limits")
     limits = limits.select(F.col("host").alias(of), F.col("frequent").alias(frequent))
     joined = (
         docs.join(limits, docs[host].eqNullSafe(limits[of]), "left")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from islets.llm import exact_dedup, mixing, quality_rules
+from islets.llm import dart_minhash, exact_dedup, mixing, packing, quality_rules
 
 
 def queries():
     return {
         "op2_exact_dedup": exact_dedup.query,
         "op3_mixing": mixing.query,
+        "op7_dart_minhash": dart_minhash.query,
+        "op4_packing": packing.query,
         "op6_quality_rules": quality_rules.query,
     }
 
