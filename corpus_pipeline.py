@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from islets.llm import exact_dedup, mixing, quality_rules
+from islets.llm import dart_minhash, exact_dedup, mixing, packing, quality_rules
 from islets.llm.shared import saved, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,7 +24,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
     kept = exact_dedup.stateful_dedup(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each group of near duplicates."""
+    groups = dart_minhash.near_duplicates(docs)
+    kept = groups.where(F.col("id").isNull() | (F.col("id") == F.col("group_id"))).select("id").distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +40,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies."""
+    return packing.pack(docs, packing.tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 #: Rows with stages that SQL cannot express (near duplicates, packing), so there is no SQL.
 ORACLE_SQL = None
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", rules),
     ("exact_dedup", exact),
+    ("near_dedup", near),
     ("mixing", mix),
+    ("packing", pack),
 ]
 
 
