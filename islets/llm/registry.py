@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from islets.llm import dart_minhash, exact_dedup, mixing, packing, quality_rules
+from islets.llm import dart_minhash, exact_dedup, mixing, packing, page_differencing, quadratic_discriminant, quality_rules, substring_dedup, toxic_neighbours
 
 
 def queries():
     return {
+        "op1_substring_dedup": substring_dedup.query,
         "op2_exact_dedup": exact_dedup.query,
         "op3_mixing": mixing.query,
         "op7_dart_minhash": dart_minhash.query,
         "op4_packing": packing.query,
+        "op5_page_differencing": page_differencing.query,
+        "op8_quadratic_discriminant": quadratic_discriminant.query,
+        "op10_toxic_neighbours": toxic_neighbours.query,
         "op6_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": exact_dedup.SQL, "op6_quality_rules": quality_rules.SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.SQL,
+        "op2_exact_dedup": exact_dedup.SQL,
+        "op6_quality_rules": quality_rules.SQL,
+    }
