@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from islets.llm import dart_minhash, exact_dedup, mixing, packing, page_differencing, quadratic_discriminant, quality_rules, substring_dedup, toxic_neighbours
+from islets.llm import dart_minhash, exact_dedup, line_edit_join, mixing, packing, page_differencing, quadratic_discriminant, quality_rules, substring_dedup, toxic_neighbours
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op5_page_differencing": page_differencing.query,
         "op8_quadratic_discriminant": quadratic_discriminant.query,
         "op10_toxic_neighbours": toxic_neighbours.query,
+        "op9_line_edit_join": line_edit_join.query,
         "op6_quality_rules": quality_rules.query,
     }
 
@@ -24,4 +25,5 @@ def oracle_sql():
         "op1_substring_dedup": substring_dedup.SQL,
         "op2_exact_dedup": exact_dedup.SQL,
         "op6_quality_rules": quality_rules.SQL,
+        "op9_line_edit_join": line_edit_join.SQL,
     }
