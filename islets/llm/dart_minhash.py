@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from islets import connected_components
@@ -32,6 +32,8 @@ from islets.llm.shared import read, saved, scratch, whole
 
 #: Cells of the grid in rank: [0, 2**LOW), then doubling.
 LOW = -7
+#: Members of a bucket's largest component that each member outside it is tested against first.
+SAMPLE = 8
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(12)])
 
 
@@ -127,7 +129,10 @@ def shingles(texts: list[bytes], width: int, weighted: bool = False):
 
 
 def sign(docs: DataFrame, *, width: int, bands: int, rows: int, weighted: bool, id_col: str, text: str) -> DataFrame:
-    """``id, digest, n`` (shingles), ``bands`` (one hash per band) of each row."""
+    """``id, d1, d2`` (digest of the words), ``n`` (shingles), ``bands`` (one hash each), ``sketch`` of each row.
+
+    The sketch has four bits of each coordinate, 16 in a long.
+    """
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +143,11 @@ def sign(docs: DataFrame, *, width: int, bands: int, rows: int, weighted: bool,
             for r in range(rows):
                 keys = mix(keys ^ signed[:, r::rows][:, :bands], r)
             n = np.bincount(owner, minlength=len(texts))
+            nibbles = np.zeros((len(texts), -(-k // 16) * 16), U)
+            nibbles[:, :k] = mix(signed, 5) & U(15)
+            packed = (nibbles.reshape(len(texts), -1, 16) << (U(4) * np.arange(16, dtype=U))).sum(axis=2, dtype=U)
+            wide = packed.shape[1]
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, wide, dtype=np.int32)), pa.array(packed.astype(np.int64).ravel()))
             # equal words give equal digests
             words, bounds = word_hashes(texts)
             whole_text = Windows(words)
@@ -145,10 +155,10 @@ def sign(docs: DataFrame, *, width: int, bands: int, rows: int, weighted: bool,
             digest = [whole_text.hash(bounds[:-1], length, seed).astype(np.int64) for seed in (11, 12)]
             flat = pa.array(keys.astype(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digest[0]), pa.array(digest[1]), pa.array(n), lists], names=["id", "d1", "d2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digest[0]), pa.array(digest[1]), pa.array(n), lists, sketch], names=["id", "d1", "d2", "n", "bands", "sketch"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), whole(text).alias("text"))
-    return chosen.mapInArrow(run, "id long, d1 long, d2 long, n long, bands array<long>")
+    return chosen.mapInArrow(run, "id long, d1 long, d2 long, n long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, *, width: int) -> DataFrame:
@@ -200,7 +210,7 @@ def near_duplicates(
     spark = docs.sparkSession
     work = scratch(spark, "near-dedup")
     signed = saved(work, sign(docs, width=width, bands=bands, rows=rows, weighted=weighted, id_col=id_col, text=text), "signed")
-    classes = signed.groupBy("d1", "d2").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("d1", "d2").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = saved(work, classes.where("class IS NOT NULL"), "classes")
     members = classes.where("n > 0").select("class", "n", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -212,18 +222,16 @@ def near_duplicates(
     sets = _sets_of(docs, in_play, width=width, id_col=id_col, text=text)
     sets = saved(work, sets, "sets")
     links = saved(work, verified(tested, sets, threshold), "links")
-    number = 0
-    while True:  # then whatever could still join two components
-        number += 1
-        labels = saved(work, _components(links, in_play), "labels")
-        more = _untested(members, labels, classes, threshold, hubs=number == 1)
-        more = saved(work, more.join(tested, ["a", "b"], "left_anti"), "pairs")
+    labels = saved(work, _components(links, in_play), "labels")
+    for step in ("first", "some", "all"):  # whatever could still join two components
+        more = saved(work, _untested(members, labels, classes, threshold, bands * rows, step).join(tested, ["a", "b"], "left_anti"), "pairs-" + step)
         if more.isEmpty():
-            if number > 1:
-                break
             continue
+        found = saved(work, verified(more, sets, threshold), "links")
         tested = tested.unionByName(more)
-        links = links.unionByName(saved(work, verified(more, sets, threshold), "links"))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = saved(work, _components(links, in_play), "labels")
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     groups = classes.select("class", "d1", "d2").join(labels, "class", "left").join(degree, "class", "left")
     groups = saved(work, groups.select("d1", "d2", F.col("class").alias("class_id"), F.coalesce("group", "class").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "groups")
@@ -247,23 +255,52 @@ def _components(links: DataFrame, vertices: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("class"), F.col("component").alias("group"))
 
 
-def _untested(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, *, hubs: bool) -> DataFrame:
+def _differ(a: str, b: str, k: int) -> Column:
+    """In how many coordinates two sketches differ."""
+    out = F.lit(0)
+    for i in range(-(-k // 16)):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        out = out + F.bit_count(x)
+    return out
+
+
+def most_differences(k: int, threshold: float) -> int:
+    """Coordinates of k in which sketches of similarity ``threshold`` differ, but for a chance of 2e-6."""
+    p = (1 - threshold) * 15 / 16
+    return int(k * p + 4.7 * (k * p * (1 - p)) ** 0.5) + 1
+
+
+def _untested(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, k: int, step: str) -> DataFrame:
     """Pairs that share a bucket but no component.
 
-    With ``hubs`` each member against its bucket's hub.  Else each member outside the bucket's
-    largest component against the members of all other components: a bucket whose members are linked
+    ``first``: each member against its bucket's first member.  ``some``: each member outside the
+    bucket's largest component against SAMPLE members of that one, other ones in each bucket.  ``all``:
+    each such member against the members of all other components.  Sizes and sketches that rule the
+    similarity out are dropped inside the join.  A bucket whose members are linked
     gives no pair, so the pairs follow the members that stay apart, not the square of the bucket.
     """
     placed = members.join(labels, "class")
-    if hubs:
+    if step == "first":
         hub = labels.select(F.col("class").alias("hub"), F.col("group").alias("hub_group"))
         return placed.join(hub, "hub").where("group <> hub_group").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
     parts = placed.groupBy("band", "key", "group").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("band", "key").agg(F.max(F.struct("m", "group")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     placed = placed.join(main.select("band", "key", F.col("main.group").alias("main")), ["band", "key"])
     apart = placed.where("group <> main").select("band", "key", F.col("class").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"))
+    if step == "some":
+        draw = F.struct(F.xxhash64("class", "band"), "class", "group", "n")
+        kept = [F.min(F.when(F.pmod(F.xxhash64("class", "key"), F.lit(SAMPLE)) == i, draw)).alias(f"s{i}") for i in range(SAMPLE)]
+        drawn = placed.where("group = main").groupBy("band", "key").agg(*kept)
+        placed = drawn.select("band", "key", F.explode(F.array(*[f"s{i}" for i in range(SAMPLE)])).alias("s")).where("s IS NOT NULL").select("band", "key", "s.class", "s.group", "s.n")
+    sketches = classes.select("class", "sketch")
+    apart = apart.join(sketches.select(F.col("class").alias("x"), F.col("sketch").alias("sx")), "x")
+    placed = placed.join(sketches, "class")
     pairs = apart.join(placed, ["band", "key"]).where(
-        (F.col("gx") != F.col("group")) & (F.least("n", "nx") >= threshold * F.greatest("n", "nx"))
+        (F.col("gx") != F.col("group"))
+        & (F.least("n", "nx") >= threshold * F.greatest("n", "nx"))
+        & (_differ("sx", "sketch", k) <= most_differences(k, threshold))
     )
     return pairs.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
 
