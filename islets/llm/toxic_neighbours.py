@@ -33,8 +33,10 @@ from islets.llm.shared import read, saved, scratch, whole
 MAX_EXAMPLES = 20_000
 #: At most this many terms, those with the greatest ratio.
 MAX_TERMS = 4_000
-#: Least log likelihood ratio of a term (the 0.999 quantile for one degree of freedom is 10.8).
-LEAST_RATIO = 10.83
+#: Least log likelihood ratio of a term: chance passes it once in 10,000 times (one degree of freedom).
+LEAST_RATIO = 15.1
+#: How many times as frequent a term is in examples of label 1; common words of long texts are not.
+LEAST_LIFT = 3.0
 LEAD = 5
 NEIGHBOURS = 15
 BLOCK = 64
@@ -91,7 +93,7 @@ def choose_terms(examples: DataFrame) -> DataFrame:
         part(a, (a + b) * n1 / total) + part(b, (a + b) * n0 / total)
         + part(n1 - a, (total - a - b) * n1 / total) + part(n0 - b, (total - a - b) * n0 / total)
     )
-    chosen = found.where((a / n1 > b / n0) & (a > 1)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    chosen = found.where((a / n1 > LEAST_LIFT * b / n0) & (a > 1)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
     # a term counts for as much as it tells the classes apart, besides being rare
     idf = F.log((total + 1) / (a + b + 0.5)) * (a / n1) / (a / n1 + b / n0)
     return chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term", idf.alias("idf"))
@@ -144,21 +146,36 @@ class BlockMaxIndex:
         if not known:
             return []
         bound = sum(v * self.most[t] for t, v in known)
-        best: list[tuple[float, int, float]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best) >= k and bound[block] < best[k - 1][0] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for t, v in known:
-                places, weights, cuts = self.postings[t]
-                a, b = cuts[block], cuts[block + 1]
-                scores[places[a:b] - block * BLOCK] += v * weights[a:b]
-            for i in np.flatnonzero(scores > 0).tolist():
-                place = block * BLOCK + i
-                best.append((round(float(scores[i]), 12), int(self.ids[place]), float(self.labels[place])))
-            best.sort(key=lambda e: (-e[0], e[1]))
-            del best[k:]
-        return best
+        order = np.argsort(-bound, kind="stable")
+        # the k-th best of the most promising blocks is what any other block has to reach
+        places, scores = self._exact(known, order[:4])
+        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        rest = order[4:]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-9)]
+        if len(rest):
+            more, found = self._exact(known, rest)
+            places, scores = np.concatenate([places, more]), np.concatenate([scores, found])
+        scores = np.round(scores, 12)
+        best = np.lexsort((self.ids[places], -scores))[:k]
+        return [(float(scores[i]), int(self.ids[places[i]]), float(self.labels[places[i]])) for i in best]
+
+    def _exact(self, known: list[tuple[int, float]], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the examples in some blocks that share a term with the text."""
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        scores = np.zeros(self.blocks * BLOCK)
+        for t, v in known:
+            places, weights, cuts = self.postings[t]
+            if len(blocks) <= 4:
+                for block in blocks.tolist():
+                    a, b = cuts[block], cuts[block + 1]
+                    if a < b:
+                        scores[places[a:b]] += v * weights[a:b]
+            else:
+                scores[places] += v * weights
+        places = np.flatnonzero(scores > 0)
+        places = places[wanted[places // BLOCK]]
+        return places, scores[places]
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
         """The share of label 1 among the neighbours, weighted by cosine, and the neighbours' ids."""
