@@ -293,6 +293,12 @@ def _run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_summary(run, custom_column="all documents").select(*SUMMARY_COLUMNS)
 
 
+def _step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which steps were timed; the times themselves differ from run to run."""
+    times = step_times(_documents_run(spark, sf_dir))
+    return times.select("dataset", "algorithm", "step", (F.col("time") >= 0).alias("timed"))
+
+
 def _step_report(report, **options):
     return lambda spark, sf_dir: report(_documents_run(spark, sf_dir, **options))
 
@@ -309,7 +315,7 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cc_documents": lambda spark, sf_dir: _documents_run(spark, sf_dir).labels,
         "cc_cust_order": _whole_job(cust_order, "tree_pruning_opt"),
         "cc_tree_pruning": _whole_job(event_user, "tree_pruning"),
-        "cc_tree_pruning_opt": _whole_job(event_user, "tree_pruning_opt", finish_threshold=1000),
+        "cc_tree_pruning_opt": _whole_job(event_user, "tree_pruning_opt", oblivious_seed={0}),
         "cc_tree_pruning_oblivious": _whole_job(
             order_part, "tree_pruning_opt", oblivious_seed=True
         ),
@@ -380,7 +386,9 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # reports
         "degree_stats": _on(order_part, lambda edges: degree_stats(distinct_edges(edges))),
         "component_sizes": _on_labels(cust_order, component_sizes),
-        "component_counts": _on_sizes(docs, component_counts),
+        "component_counts": lambda spark, sf_dir: component_counts(
+            component_sizes(_documents_run(spark, sf_dir).labels)
+        ),
         "max_component_size": _on_sizes(cust_order, max_component_size),
         "size_distribution": _on_sizes(cust_order, size_distribution),
         "largest_component": _on_sizes(cust_order, largest_component),
@@ -388,7 +396,7 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_summary": _run_summary,
         "step_activity": _step_report(step_activity, collect_stats=True),
         "step_messages": _step_report(step_messages, collect_stats=True),
-        "step_times": _step_report(step_times),
+        "step_times": _step_times,
         # sinks, read back as lines
         "write_labels": _written(_write_labels, "labels"),
         "write_edges": _written(_write_edges, "edges"),
@@ -642,9 +650,9 @@ d AS (SELECT s, count(*) n FROM e GROUP BY s)
 SELECT count(*) AS vertices, sum(n)::BIGINT AS edges, sum(n)::DOUBLE / count(*) AS mean_degree,
        max(n) AS max_degree FROM d""",
         "component_sizes": _label_query(CUST_ORDER, "SELECT component, size FROM sizes"),
-        "component_counts": _label_query(
-            DOCS,
-            """SELECT count(*) AS components,
+        "component_counts": _with(
+            DOC_LABELS,
+            select="""SELECT count(*) AS components,
   count(*) FILTER (size <> 1) AS components_without_singletons FROM sizes""",
         ),
         "max_component_size": _label_query(CUST_ORDER, "SELECT max(size) AS max_size FROM sizes"),
@@ -663,7 +671,7 @@ SELECT count(*) AS vertices, sum(n)::BIGINT AS edges, sum(n)::DOUBLE / count(*)
             select="""SELECT 'alternating' AS algorithmName, 'docs' AS dataset,
   (SELECT sum(n)::BIGINT FROM sent) AS reduceInputMessageNumber,
   (SELECT 2 * sum(n)::BIGINT FROM sent) AS reduceInputSize, count(*) AS ccNumber,
-  count(*) FILTER (size <> 1) AS ccNumberNoIsolatedVertices, max(size)::INTEGER AS ccMaxSize,
+  count(*) FILTER (size <> 1) AS ccNumberNoIsolatedVertices, max(size) AS ccMaxSize,
   'all documents' AS customColumn FROM sizes""",
         ),
         "step_activity": _with(
@@ -673,9 +681,11 @@ SELECT count(*) AS vertices, sum(n)::BIGINT AS edges, sum(n)::DOUBLE / count(*)
   UNION ALL SELECT 2, v - c, 1, v - c, v FROM totals)""",
             select="""SELECT 'docs' AS dataset, step::INTEGER AS step, active AS activeVertices,
   round(100.0::DOUBLE * active / v, 2) AS activeVerticesNormalized, 'alternating' AS algorithm,
-  edges::DOUBLE AS activeEdges, edges::DOUBLE / active AS meanDegree, degree::INTEGER AS degreeMax
+  edges::DOUBLE AS activeEdges, edges::DOUBLE / active AS meanDegree, degree::BIGINT AS degreeMax
 FROM steps""",
         ),
+        "step_times": """SELECT 'docs' AS dataset, 'alternating' AS algorithm, step, true AS timed
+FROM (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS step) WHERE EXISTS (SELECT * FROM documents)""",
         "step_messages": _with(
             DOC_MESSAGES,
             select="""SELECT 'docs' AS dataset, 'alternating' AS algorithm, step::INTEGER AS step,

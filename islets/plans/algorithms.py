@@ -67,10 +67,7 @@ def propagate(run: Rounds, parents: Table) -> Table:
     while True:
         run.next_round()
         hubs = run.hubs(parents.rows)
-        once = parents.frame
-        if run.fuse(2 * parents.rows):
-            once = pointer_jump(once, hubs=hubs)
-        jumped = pointer_jump(once, hubs=hubs, with_old=True)
+        jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
         table = run.work.save(
             jumped, "propagate", drop=("old",), moved=F.count_if(F.col("old") != F.col("parent"))
         )
@@ -86,12 +83,10 @@ def tree_pruning(
     *,
     edge_pruning: bool = False,
     oblivious_seed: bool | Collection[int] = False,
-    finish_threshold: int = 0,
 ) -> DataFrame:
     """Alternate min selection and pruning until no live row is left, then propagate.
 
-    ``oblivious_seed`` is a flag or the set of rounds (from 0) in which it holds.  Below
-    ``finish_threshold`` live rows the rest runs in one partition.
+    ``oblivious_seed`` is a flag or the set of rounds (from 0) in which it holds.
     """
     hubs = run.hubs(2 * graph.links)
     messages = min_selection(
@@ -108,31 +103,21 @@ def tree_pruning(
             else len(rounds) in oblivious_seed
         )
         hubs = run.hubs(heard.rows)
-        if run.fuse(4 * heard.rows):
-            links = prune_links(heard.frame, oblivious_seed=oblivious, hubs=hubs, dedup=False)
-            live, live_rows, written = links.distinct(), 2 * heard.rows, None
-            tree_edges.append(prune_tree_edges(heard.frame))
-            rounds.append(heard)
-        else:
-            # What both halves of the step start from is written, so that what the vertices heard
-            # is aggregated once and goes as soon as the links are there.
-            minima = run.work.save(heard_minima(heard.frame), "minima")
-            links = prune_links(
-                heard.frame, minima.frame, oblivious_seed=oblivious, hubs=hubs, dedup=False
-            )
-            written = run.step("prune", links)
-            live, live_rows = written.frame, written.rows
-            tree_edges.append(prune_tree_edges(minima=minima.frame))
-            rounds.append(minima)
-            run.work.drop(heard)
-        if heard.rows <= finish_threshold:
-            live = live.coalesce(1)
+        # What both halves of the step start from is written, so that what the vertices heard
+        # is aggregated once and goes as soon as the links are there.
+        minima = run.work.save(heard_minima(heard.frame), "minima")
+        links = prune_links(
+            heard.frame, minima.frame, oblivious_seed=oblivious, hubs=hubs, dedup=False
+        )
+        live = run.step("prune", links)
+        tree_edges.append(prune_tree_edges(minima=minima.frame))
+        rounds.append(minima)
+        run.work.drop(heard)
         messages = min_selection(
-            live, edge_pruning=edge_pruning, hubs=run.hubs(live_rows), dedup=False
+            live.frame, edge_pruning=edge_pruning, hubs=run.hubs(live.rows), dedup=False
         )
         heard = run.step("min_selection", messages)
-        if written is not None:
-            run.work.drop(written)
+        run.work.drop(live)
     forest = run.save(
         "prepare_propagation", prepare_propagation(reduce(DataFrame.unionByName, tree_edges))
     )
@@ -148,7 +133,6 @@ def tree_pruning_opt(
     *,
     edge_pruning: bool = True,
     oblivious_seed: bool | Collection[int] = False,
-    finish_threshold: int = 0,
 ) -> DataFrame:
     """Tree pruning with edge pruning, and its further options."""
     return tree_pruning(
@@ -156,7 +140,6 @@ def tree_pruning_opt(
         graph,
         edge_pruning=edge_pruning,
         oblivious_seed=oblivious_seed,
-        finish_threshold=finish_threshold,
     )
 
 
@@ -277,17 +260,12 @@ def _alternate(run: Rounds, graph: Graph, frame: DataFrame, rows: int) -> Table:
         links = large_star(
             frame, hubs=run.hubs(rows), dedup=False, oriented=True, loops=False
         )
-        if run.fuse(4 * rows):
-            large, large_rows, written = links.distinct(), 2 * rows, None
-        else:
-            written = run.step("large_star", links)
-            large, large_rows = written.frame, written.rows
+        large = run.step("large_star", links)
         links = small_star(
-            large, hubs=run.hubs(large_rows), dedup=False, oriented=True, loops=False
+            large.frame, hubs=run.hubs(large.rows), dedup=False, oriented=True, loops=False
         )
         new = run.step("small_star", links)
-        if written is not None:
-            run.work.drop(written)
+        run.work.drop(large)
         state = _replace(run, state, new)
         frame, rows = state.frame, state.rows
         if _is_star_forest(graph, state):

@@ -43,7 +43,7 @@ def run_components(
     dst: str = "dst",
     dataset: str = "",
     collect_stats: bool = False,
-    max_rounds: int = 1000,
+    max_rounds: int | None = None,
     hub_rows: int = HUB_ROWS,
     **options,
 ) -> ComponentRun:

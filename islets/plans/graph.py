@@ -70,8 +70,7 @@ def load_graph(run: Rounds, edges: DataFrame, vertices: DataFrame | None, src: s
     )
     if vertices is not None:
         first = vertices.columns[0]
-        vertices = vertices.where(F.col(first).isNotNull()).select(
-            F.col(first).cast(table.frame.schema["id"].dataType).alias("id")
-        )
+        # of two whole-number types the union takes the wider one
+        vertices = vertices.where(F.col(first).isNotNull()).select(F.col(first).alias("id"))
     loops = table.counts["loops"]
     return Graph(table, table.rows - loops, loops, vertices)

@@ -46,7 +46,7 @@ class Rounds:
         algorithm: str,
         *,
         collect_stats: bool = False,
-        max_rounds: int = 1000,
+        max_rounds: int | None = None,
         hub_rows: int = HUB_ROWS,
     ):
         self.spark = spark
@@ -72,19 +72,11 @@ class Rounds:
 
     def next_round(self) -> None:
         self.rounds += 1
-        if self.rounds > self.max_rounds:
+        if self.max_rounds is not None and self.rounds > self.max_rounds:
             raise NotConverged(
                 f"{self.algorithm} did not converge within {self.max_rounds} rounds"
             )
 
-    def fuse(self, rows: int) -> bool:
-        """Whether two steps over at most ``rows`` rows may share one plan.
-
-        Large steps, and steps with statistics, are written one by one: the hub split of
-        :func:`islets.operators.lookup.lookup` reads its input several times.
-        """
-        return not self.collect_stats and self.hubs(rows) is None
-
     def step(
         self,
         name: str,

@@ -7,6 +7,7 @@ next round plans from a plain scan with known size, so Spark can size joins and
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError(
             "set spark.checkpoint.dir to a folder that all executors share, such as one on HDFS"
         )
@@ -62,14 +63,14 @@ class Workspace:
         metrics += [value.alias(key) for key, value in counts.items()]
         out = frame.observe(seen, *metrics).drop(*drop)
         out.write.parquet(path)
+        table = self.spark.read.schema(out.schema).parquet(path)
         try:
             found = {key: value or 0 for key, value in seen.get.items()}
-        except Exception as error:  # the optimizer proved the frame empty and dropped the counter
-            if "assertion failed" not in str(error):
+        except Exception:  # no metrics: only a frame that the optimizer proved empty drops the counter
+            if not table.isEmpty():
                 raise
             found = {}
         rows = found.pop("rows", 0)
-        table = self.spark.read.schema(out.schema).parquet(path)
         return Table(table, path, rows, {key: found.get(key, 0) for key in counts})
 
     def drop(self, table: Table) -> None:

@@ -13,7 +13,7 @@ from islets.reports.components import component_sizes
 
 ACTIVITY_SCHEMA = (
     "dataset string, step int, activeVertices long, activeVerticesNormalized double, "
-    "algorithm string, activeEdges double, meanDegree double, degreeMax int"
+    "algorithm string, activeEdges double, meanDegree double, degreeMax long"
 )
 MESSAGE_SCHEMA = (
     "dataset string, algorithm string, step int, messageNumber long, messageSize long, "
@@ -80,7 +80,7 @@ def run_summary(run: ComponentRun, custom_column: str = "") -> DataFrame:
     found = component_sizes(run.labels).agg(
         F.count(F.lit(1)).alias("ccNumber"),
         F.count_if(F.col("size") != 1).alias("ccNumberNoIsolatedVertices"),
-        F.coalesce(F.max("size"), F.lit(0)).cast("int").alias("ccMaxSize"),
+        F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("ccMaxSize"),
     )
     return found.select(
         F.lit(run.algorithm).alias("algorithmName"),

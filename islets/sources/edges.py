@@ -53,10 +53,12 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """The adjacency as rows ``(id, nbr)``: both directions, without copies.
 
-    Copies are removed per undirected edge, before the directions double the rows.
+    Copies are removed per undirected edge, before the directions double the rows.  Rows with
+    a NULL end are no edges.
     """
     src, dst = F.col("src"), F.col("dst")
-    once = edges.select(F.greatest(src, dst).alias("id"), F.least(src, dst).alias("nbr")).distinct()
+    whole = edges.where(src.isNotNull() & dst.isNotNull())
+    once = whole.select(F.greatest(src, dst).alias("id"), F.least(src, dst).alias("nbr")).distinct()
     id, nbr = F.col("id"), F.col("nbr")
     forth = F.struct(id.alias("id"), nbr.alias("nbr"))
     back = F.when(id != nbr, F.struct(nbr.alias("id"), id.alias("nbr")))
@@ -64,8 +66,12 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def graph_counts(edges: DataFrame) -> DataFrame:
-    """One row ``(edges, vertices)``: input rows, copies counted, and distinct ids."""
-    ends = edges.select(
+    """One row ``(edges, vertices)``: input rows, copies counted, and distinct ids.
+
+    Rows with a NULL end are no edges.
+    """
+    whole = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    ends = whole.select(
         F.inline(
             F.array(
                 F.struct(F.col("src").alias("id"), F.lit(1).cast("long").alias("edge")),

@@ -10,14 +10,20 @@ from islets.sources.edges import INTEGER
 
 
 def parse_membership_lines(lines: DataFrame) -> DataFrame:
-    """``(vertex, arc)`` from lines ``vertex,arc``; lines without an integer vertex are dropped."""
+    """``(vertex, arc)`` from lines ``vertex,arc``; lines without an integer vertex are dropped.
+
+    So are lines that end after the comma; an empty arc counts if a further field follows.
+    """
     fields = F.split(F.col(lines.columns[0]), ",")
     vertex = F.try_element_at(fields, F.lit(1))
+    # trailing empty fields are no fields
+    has_arc = F.size(F.split(F.regexp_replace(F.col(lines.columns[0]), ",+$", ""), ",")) >= 2
     parsed = lines.select(
         F.when(vertex.rlike(INTEGER), vertex.try_cast("bigint")).alias("vertex"),
         F.try_element_at(fields, F.lit(2)).alias("arc"),
+        has_arc.alias("has_arc"),
     )
-    return parsed.where(F.col("vertex").isNotNull() & F.col("arc").isNotNull())
+    return parsed.where(F.col("vertex").isNotNull() & F.col("arc").isNotNull() & F.col("has_arc")).drop("has_arc")
 
 
 def read_membership(spark: SparkSession, path: str | list[str]) -> DataFrame:

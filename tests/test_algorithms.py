@@ -39,7 +39,6 @@ def test_hub_split_gives_the_same(spark, algorithm):
         {"oblivious_seed": True},
         {"oblivious_seed": {0, 1, 4}},
         {"edge_pruning": False, "oblivious_seed": True},
-        {"finish_threshold": 10_000},
     ],
     ids=str,
 )

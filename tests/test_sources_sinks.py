@@ -143,3 +143,39 @@ def test_message_reports_need_statistics(spark, example):
     with pytest.raises(ValueError, match="collect_stats"):
         step_messages(run)
     assert run_summary(run).first()["reduceInputMessageNumber"] == 0
+
+
+def test_lines_that_end_after_the_comma_are_no_memberships(spark):
+    from islets.sources.membership import parse_membership_lines
+
+    lines = spark.createDataFrame([("5,",), ("6,",), ("7,a",), ("8,,x",), ("9",), ("b,a",), ("10,,,",)], "value string")
+    assert sorted(map(tuple, parse_membership_lines(lines).collect())) == [(7, "a"), (8, "")]
+
+
+def test_null_ends_are_no_edges(spark):
+    edges = spark.createDataFrame([(3, None), (1, 2), (None, None)], "src long, dst long")
+    assert sorted(map(tuple, distinct_edges(edges).collect())) == [(1, 2), (2, 1)]
+    assert tuple(graph_counts(edges).first()) == (1, 2)
+
+
+def test_wider_vertices_are_not_narrowed(spark):
+    from islets import connected_components
+
+    edges = spark.createDataFrame([(1, 2)], "src int, dst int")
+    found = connected_components(edges, vertices=spark.createDataFrame([(1 << 40,)], "id long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (1 << 40, 1 << 40)]
+
+
+def test_missing_metrics_do_not_empty_a_table(spark, monkeypatch):
+    import pytest
+    from pyspark.sql import Observation
+
+    from islets.plans.workspace import Workspace
+
+    def missing(self):
+        raise RuntimeError("assertion failed")
+
+    monkeypatch.setattr(Observation, "get", property(missing))
+    with pytest.raises(RuntimeError):
+        Workspace(spark, "metrics").save(spark.range(3), "rows")
+    assert Workspace(spark, "metrics").save(spark.range(0), "rows").rows == 0
