@@ -22,8 +22,14 @@ from pyspark.sql import functions as F
 
 from islets.llm.shared import read, saved, scratch, whole, without_space
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore."
+#: Settings of the stream: state on disk, checkpointed by its changes, and closed after each batch, so
+#: that executors hold no files and memory of partitions that they do not work on.
+SETTINGS = {
+    STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+    STATE + "unloadOnCommit": "true",
+}
 
 #: Parts into which the check of one group is split.
 SALTS = 32
@@ -31,12 +37,14 @@ SALTS = 32
 
 @contextmanager
 def _disk_backed_state(spark: SparkSession):
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def arrivals(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
