@@ -34,6 +34,8 @@ from islets.llm.shared import read, saved, scratch, whole
 LOW = -7
 #: Members of a bucket's largest component that each member outside it is tested against first.
 SAMPLE = 8
+#: Bits of an odd sketch.
+ODD = 512
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(12)])
 
 
@@ -129,10 +131,7 @@ def shingles(texts: list[bytes], width: int, weighted: bool = False):
 
 
 def sign(docs: DataFrame, *, width: int, bands: int, rows: int, weighted: bool, id_col: str, text: str) -> DataFrame:
-    """``id, d1, d2`` (digest of the words), ``n`` (shingles), ``bands`` (one hash each), ``sketch`` of each row.
-
-    The sketch has four bits of each coordinate, 16 in a long.
-    """
+    """``id, d1, d2`` (digest of the words), ``n`` (shingles), ``bands`` (one hash each) of each row."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +142,6 @@ def sign(docs: DataFrame, *, width: int, bands: int, rows: int, weighted: bool,
             for r in range(rows):
                 keys = mix(keys ^ signed[:, r::rows][:, :bands], r)
             n = np.bincount(owner, minlength=len(texts))
-            nibbles = np.zeros((len(texts), -(-k // 16) * 16), U)
-            nibbles[:, :k] = mix(signed, 5) & U(15)
-            packed = (nibbles.reshape(len(texts), -1, 16) << (U(4) * np.arange(16, dtype=U))).sum(axis=2, dtype=U)
-            wide = packed.shape[1]
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, wide, dtype=np.int32)), pa.array(packed.astype(np.int64).ravel()))
             # equal words give equal digests
             words, bounds = word_hashes(texts)
             whole_text = Windows(words)
@@ -155,23 +149,49 @@ def sign(docs: DataFrame, *, width: int, bands: int, rows: int, weighted: bool,
             digest = [whole_text.hash(bounds[:-1], length, seed).astype(np.int64) for seed in (11, 12)]
             flat = pa.array(keys.astype(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digest[0]), pa.array(digest[1]), pa.array(n), lists, sketch], names=["id", "d1", "d2", "n", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digest[0]), pa.array(digest[1]), pa.array(n), lists], names=["id", "d1", "d2", "n", "bands"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), whole(text).alias("text"))
-    return chosen.mapInArrow(run, "id long, d1 long, d2 long, n long, bands array<long>, sketch array<long>")
+    return chosen.mapInArrow(run, "id long, d1 long, d2 long, n long, bands array<long>")
+
+
+def odd_sketches(found: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Level and two sketches of ODD bits of each of n sets.
+
+    A bit tells whether an odd number of the elements fall on it, so two sketches differ in at most
+    as many bits as the sets differ in elements.  At level l an element is taken with a chance of
+    4**-l; a set is sketched at the first level that leaves about ODD elements, and at the next one.
+    """
+    size = np.bincount(owner, minlength=n)
+    level = np.ceil(np.log2(np.maximum(size / ODD, 1.0)) / 2.0).astype(np.int64)
+    draw, place = mix(found, 7), (mix(found, 8) % U(ODD)).astype(np.int64)
+    out = np.zeros((n, 2 * ODD // 64), np.int64)
+    cuts = np.searchsorted(owner, np.arange(0, n + 1024, 1024))
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        rows = owner[a:b] - 1024 * i
+        here = min(1024, n - 1024 * i)
+        for j in (0, 1):
+            mask = (U(1) << (U(2) * (level[owner[a:b]] + j).astype(U))) - U(1)
+            taken = (draw[a:b] & mask) == 0
+            odd = np.bincount(rows[taken] * ODD + place[a:b][taken], minlength=here * ODD) & 1
+            bits = np.packbits(odd.astype(np.uint8).reshape(here, ODD), axis=1, bitorder="little")
+            out[1024 * i : 1024 * i + here, j * ODD // 64 : (j + 1) * ODD // 64] = bits.view("<i8")
+    return level, out
 
 
 def shingle_sets(docs: DataFrame, *, width: int) -> DataFrame:
-    """``id, set`` (sorted 64-bit hashes as bytes) of rows ``id, text``."""
+    """``id, set`` (sorted 64-bit hashes as bytes), ``level, sketch`` (odd sketches) of rows ``id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches, 0, 1):
             found, _, owner = shingles(texts, width)
             cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
             sets = [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["id", "set"])
+            level, odd = odd_sketches(found, owner, len(texts))
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, odd.shape[1], dtype=np.int32)), pa.array(odd.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary()), pa.array(level.astype(np.int32)), sketch], names=["id", "set", "level", "sketch"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "id long, set binary, level int, sketch array<long>")
 
 
 def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -210,7 +230,7 @@ def near_duplicates(
     spark = docs.sparkSession
     work = scratch(spark, "near-dedup")
     signed = saved(work, sign(docs, width=width, bands=bands, rows=rows, weighted=weighted, id_col=id_col, text=text), "signed")
-    classes = signed.groupBy("d1", "d2").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = signed.groupBy("d1", "d2").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = saved(work, classes.where("class IS NOT NULL"), "classes")
     members = classes.where("n > 0").select("class", "n", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -224,7 +244,7 @@ def near_duplicates(
     links = saved(work, verified(tested, sets, threshold), "links")
     labels = saved(work, _components(links, in_play), "labels")
     for step in ("first", "some", "all"):  # whatever could still join two components
-        more = saved(work, _untested(members, labels, classes, threshold, bands * rows, step).join(tested, ["a", "b"], "left_anti"), "pairs-" + step)
+        more = saved(work, _untested(members, labels, sets, threshold, step).join(tested, ["a", "b"], "left_anti"), "pairs-" + step)
         if more.isEmpty():
             continue
         found = saved(work, verified(more, sets, threshold), "links")
@@ -255,31 +275,32 @@ def _components(links: DataFrame, vertices: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("class"), F.col("component").alias("group"))
 
 
-def _differ(a: str, b: str, k: int) -> Column:
-    """In how many coordinates two sketches differ."""
-    out = F.lit(0)
-    for i in range(-(-k // 16)):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        out = out + F.bit_count(x)
-    return out
-
-
-def most_differences(k: int, threshold: float) -> int:
-    """Coordinates of k in which sketches of similarity ``threshold`` differ, but for a chance of 2e-6."""
-    p = (1 - threshold) * 15 / 16
-    return int(k * p + 4.7 * (k * p * (1 - p)) ** 0.5) + 1
+def may_be_similar(threshold: float) -> Column:
+    """Whether rows ``nx, lx, sx`` and ``n, level, sketch`` (shingles, odd sketches) can reach the threshold.
 
-
-def _untested(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, k: int, step: str) -> DataFrame:
+    Sets of that similarity differ in at most (1 - t) / (1 + t) of their sizes' sum.  At level 0 the
+    bound is exact; at the others it is passed by chance with less than 1e-6 (Poisson tail).
+    """
+    level = F.greatest("lx", "level")
+    differ = F.lit(0)
+    for i in range(ODD // 64):
+        x = F.get("sx", (level - F.col("lx")) * (ODD // 64) + i)
+        y = F.get("sketch", (level - F.col("level")) * (ODD // 64) + i)
+        differ = differ + F.bit_count(x.bitwiseXOR(y))
+    most = (F.col("nx") + F.col("n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    taken = most * F.pow(F.lit(4.0), -level)
+    sizes = F.least("n", "nx") >= threshold * F.greatest("n", "nx")
+    return sizes & (differ <= F.when(level == 0, most).otherwise(taken + 5 * F.sqrt(taken) + 6))
+
+
+def _untested(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float, step: str) -> DataFrame:
     """Pairs that share a bucket but no component.
 
     ``first``: each member against its bucket's first member.  ``some``: each member outside the
     bucket's largest component against SAMPLE members of that one, other ones in each bucket.  ``all``:
-    each such member against the members of all other components.  Sizes and sketches that rule the
-    similarity out are dropped inside the join.  A bucket whose members are linked
-    gives no pair, so the pairs follow the members that stay apart, not the square of the bucket.
+    each such member against the members of all other components, from one side only.  Sizes and
+    odd sketches that rule the similarity out are dropped inside the join.  A bucket whose members
+    are linked gives no pair, so the pairs follow the members that stay apart and may be similar.
     """
     placed = members.join(labels, "class")
     if step == "first":
@@ -294,14 +315,12 @@ def _untested(members: DataFrame, labels: DataFrame, classes: DataFrame, thresho
         kept = [F.min(F.when(F.pmod(F.xxhash64("class", "key"), F.lit(SAMPLE)) == i, draw)).alias(f"s{i}") for i in range(SAMPLE)]
         drawn = placed.where("group = main").groupBy("band", "key").agg(*kept)
         placed = drawn.select("band", "key", F.explode(F.array(*[f"s{i}" for i in range(SAMPLE)])).alias("s")).where("s IS NOT NULL").select("band", "key", "s.class", "s.group", "s.n")
-    sketches = classes.select("class", "sketch")
-    apart = apart.join(sketches.select(F.col("class").alias("x"), F.col("sketch").alias("sx")), "x")
-    placed = placed.join(sketches, "class")
-    pairs = apart.join(placed, ["band", "key"]).where(
-        (F.col("gx") != F.col("group"))
-        & (F.least("n", "nx") >= threshold * F.greatest("n", "nx"))
-        & (_differ("sx", "sketch", k) <= most_differences(k, threshold))
-    )
+    apart = apart.join(sets.select(F.col("id").alias("x"), F.col("level").alias("lx"), F.col("sketch").alias("sx")), "x")
+    placed = placed.join(sets.select(F.col("id").alias("class"), "level", "sketch"), "class")
+    fits = (F.col("gx") != F.col("group")) & may_be_similar(threshold)
+    if step == "all":  # of two members outside, the lesser id looks for the greater
+        fits = ((F.col("group") == F.col("main")) | (F.col("x") < F.col("class"))) & fits
+    pairs = apart.join(placed, ["band", "key"]).where(fits)
     return pairs.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
 
 
