@@ -469,3 +469,20 @@ def test_pipeline(spark):
     assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] > 0
     packed = corpus_pipeline.run(spark, SF_DIR)
     assert packed.where("length > 1024 or length < 1").isEmpty()
+
+
+def test_odd_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    sizes = [0, 1, 5, 300, 512, 513, 3000] * 200
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in sizes]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    level, odd = dart_minhash.odd_sketches(np.concatenate(sets), owner, len(sets))
+    assert [int(x) for x in level[:7]] == [0, 0, 0, 0, 0, 1, 2]
+    half = dart_minhash.ODD // 64
+    for i in range(0, len(sets) - 8, 7):
+        for a, b in ((i + 2, i + 3), (i + 3, i + 4), (i + 4, i + 11), (i, i + 1)):
+            bits = sum(int(x).bit_count() for x in (odd[a, :half] ^ odd[b, :half]).view(np.uint64))
+            assert bits <= len(np.setxor1d(sets[a], sets[b]))
+    empty = dart_minhash.odd_sketches(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+    assert len(empty[0]) == 0 and empty[1].shape == (0, 2 * half)
