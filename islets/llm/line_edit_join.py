@@ -1,7 +1,8 @@
 """Line dedup: segment-partition edit join, in DataFrame functions only.
 
 Two lines are alike if they are equal, or if their edit distance is at most ``tau`` and both have at
-least ``least`` code points (in very short lines an edit changes everything).  A line goes if an
+least ``least`` code points (in very short lines an edit changes everything).  ``tau`` is a number, or
+steps of (least length of the longer line, edits), rising in both.  A line goes if an
 earlier line, in the order of document id and line number, is equal to it or alike.
 
 Of two lines within ``tau`` edits, one keeps at least one of the ``tau`` + 1 even segments of the
@@ -30,6 +31,8 @@ from islets.llm.shared import read, saved, scratch, whole
 
 TAU = 1
 LEAST = 20
+#: Edits by the length of the longer line: one for each 20 code points, up to five (a word, a date).
+STEPS = ((20, 1), (40, 2), (60, 3), (80, 4), (100, 5))
 #: Groups of letters whose counts bound the edit distance.
 GROUPS = ("en", "ta", "oi", "rs", "hd", "lu", "cm", " .")
 
@@ -41,28 +44,48 @@ def occurrences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
     return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.reverse("line")).alias("h2"))
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 0); the last ones are longer by one."""
-    short = F.floor(length / (tau + 1)).cast("int")
-    longer = length - short * (tau + 1)  # so many segments, at the end
-    before = F.greatest(F.lit(i - tau - 1) + longer, F.lit(0))  # longer ones before this
-    return (F.lit(i) * short + before + 1).cast("int"), F.when(F.lit(i) >= tau + 1 - longer, short + 1).otherwise(short).cast("int")
+def _plan(low: int, steps: tuple[tuple[int, int], ...], least: int) -> list[tuple[int, int, int, int]]:
+    """Keys of a line of ``low`` code points: ``tau``, how much shorter the other line is, segment, offset.
 
-
-def keys(line: Column, tau: int, least: int) -> Column:
-    """Keys of a line: structs of ``key`` and ``own`` (whether it is a key of the line's own segments)."""
-    size = F.length(line)
+    A line is indexed for each ``tau`` that a line longer by up to ``tau`` has, and probes with its own.
+    """
     found = []
-    for shorter in range(tau + 1):
-        length = size - shorter
-        for i in range(tau + 1):
-            start, width = _segment(length, i, tau)
-            for off in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
-                at = start + off
-                fits = (length >= least) & (at >= 1) & (at + width - 1 <= size)
-                key = F.xxhash64(length, F.lit(i), F.substring(line, at, width))
-                found.append(F.when(fits, F.struct(key.alias("key"), F.lit(shorter == 0 and off == 0).alias("own"))))
-    return F.filter(F.array(*found), lambda k: k.isNotNull())
+    for k, (start, tau) in enumerate(steps):
+        stop = steps[k + 1][0] if k + 1 < len(steps) else None
+        if low < least or low < start - tau or (stop and low >= stop):
+            continue
+        for shorter in range(tau + 1 if low >= start else 1):
+            for i in range(tau + 1):
+                for off in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
+                    own = shorter == 0 and off == 0
+                    if own or (low >= start and low - shorter >= least):
+                        found.append((tau, shorter, i, off))
+    return found
+
+
+def with_keys(lines: DataFrame, steps: tuple[tuple[int, int], ...], least: int) -> DataFrame:
+    """Rows of ``lines`` for each ``key``; ``own``: whether it is a key of the line's own segments."""
+    size = F.length("line")
+    cuts = sorted({n for start, tau in steps for n in range(start - tau, start + tau + 1)} | set(range(least, least + steps[0][1] + 1)))
+    plan, last = F.lit(None).cast("array<bigint>"), []
+    for low in cuts:  # the plan is the same up to the next cut
+        rows = [tau << 24 | shorter << 16 | i << 8 | off + tau for tau, shorter, i, off in _plan(low, steps, least)]
+        if rows != last:
+            plan, last = F.when(size >= low, F.expr(f"array({', '.join(f'{row}L' for row in rows)})")).otherwise(plan), rows
+    keyed = lines.where(size >= least).withColumn("p", F.explode(plan))
+    tau, shorter, i = (F.shiftright("p", n).bitwiseAND(F.lit(255)).cast("int") for n in (24, 16, 8))
+    off = F.col("p").bitwiseAND(F.lit(255)).cast("int") - tau
+    keyed = keyed.withColumns({"tau": tau, "shorter": shorter, "i": i, "off": off})
+    length, parts = size - F.col("shorter"), F.col("tau") + 1
+    # even segments; the last ones are longer by one
+    short = F.floor(length / parts).cast("int")
+    longer = length - short * parts
+    at = F.col("i") * short + F.greatest(F.col("i") - parts + longer, F.lit(0)) + 1 + F.col("off")
+    width = short + (F.col("i") >= parts - longer).cast("int")
+    keyed = keyed.withColumns({"at": at.cast("int"), "width": width.cast("int")}).where((F.col("at") >= 1) & (F.col("at") + F.col("width") - 1 <= size))
+    key = F.xxhash64("tau", length, "i", F.substring(F.col("line"), F.col("at"), F.col("width")))
+    own = (F.col("shorter") == 0) & (F.col("off") == 0)
+    return keyed.withColumns({"key": key, "own": own}).drop("p", "tau", "shorter", "i", "off", "at", "width")
 
 
 def _bag(line: Column) -> Column:
@@ -81,14 +104,23 @@ def _bag_distance(a: Column, b: Column) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def similar_lines(lines: DataFrame, work, *, tau: int = TAU, least: int = LEAST) -> DataFrame:
+def allowed(size: Column, steps: tuple[tuple[int, int], ...]) -> Column:
+    """The edits that a pair may have by the length of its longer line."""
+    out = F.lit(0)
+    for start, tau in steps:
+        out = F.when(size >= start, tau).otherwise(out)
+    return out
+
+
+def similar_lines(lines: DataFrame, work, *, tau: int | tuple[tuple[int, int], ...] = TAU, least: int = LEAST) -> DataFrame:
     """Links between different lines: ``a1, a2, b1, b2`` (the two hashes of both, a before b)."""
-    keyed = lines.where(F.length("line") >= least).select("h1", F.explode(keys(F.col("line"), tau, least)).alias("k"))
-    keyed = keyed.select("h1", "k.key", "k.own")
+    steps = ((least, tau),) if isinstance(tau, int) else tuple(tau)
+    tau = max(t for _, t in steps)
+    keyed = with_keys(lines.select("h1", "line"), steps, least).select("h1", "key", "own")
     met = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own"))
     met = saved(work, met.where("own AND low <> high").select("key"), "keys")
-    again = lines.where(F.length("line") >= least).select("h1", "h2", _bag(F.col("line")).alias("bag"), F.explode(keys(F.col("line"), tau, least)).alias("k"))
-    again = again.select("h1", "h2", "bag", "k.key", "k.own").join(met, "key", "left_semi").distinct()
+    again = with_keys(lines.select("h1", "h2", "line", _bag(F.col("line")).alias("bag")), steps, least)
+    again = again.select("h1", "h2", "bag", "key", "own").join(met, "key", "left_semi").distinct()
     again = saved(work, again, "probes")
     left = again.where("own").select("key", F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("bag").alias("xbag"))
     right = again.select("key", F.col("h1").alias("y1"), F.col("h2").alias("y2"), F.col("bag").alias("ybag"))
@@ -101,11 +133,11 @@ def similar_lines(lines: DataFrame, work, *, tau: int = TAU, least: int = LEAST)
     texts = saved(work, texts, "texts")
     a = texts.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("line").alias("a"))
     b = texts.select(F.col("h1").alias("y1"), F.col("h2").alias("y2"), F.col("line").alias("b"))
-    checked = pairs.join(a, ["x1", "x2"]).join(b, ["y1", "y2"]).where(F.levenshtein("a", "b", tau) >= 0)
+    checked = pairs.join(a, ["x1", "x2"]).join(b, ["y1", "y2"]).where(F.levenshtein("a", "b", tau).between(0, allowed(F.greatest(F.length("a"), F.length("b")), steps)))
     return checked.select(F.col("x1").alias("a1"), F.col("x2").alias("a2"), F.col("y1").alias("b1"), F.col("y2").alias("b2"))
 
 
-def line_dedup(docs: DataFrame, *, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, *, tau: int | tuple[tuple[int, int], ...] = TAU, least: int = LEAST, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line: ``id, line_no, class_id, class_line, n_copies, n_links, kept``.
 
     The class is named by the place of the first of the equal lines; ``n_links`` counts the other
@@ -137,6 +169,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents"), tau=STEPS).withColumnRenamed("id", "doc_id")
+
+
 #: The rule itself; pairs of lines of nearly one length are compared one by one.
 SQL = r"""
 WITH l AS (
@@ -161,3 +197,43 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, first[1] AS class_id, CAST(f
   CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, ((doc_id, line_no) = first AND (other IS NULL OR first < other)) AS kept
 FROM l JOIN c USING (line) LEFT JOIN near USING (line)
 """
+
+#: The rule of STEPS; counts of letters that differ by more than two an edit rule a pair out.
+NEAR_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line_no, line FROM (
+    SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+),
+c AS (SELECT line, min((doc_id, line_no)) AS first, count(*) AS n_copies, length(line) AS n FROM l GROUP BY line),
+-- levenshtein counts bytes here: each further letter of the tables (up to 26) is written as an unused byte
+u AS (SELECT string_agg(DISTINCT ch, '' ORDER BY ch) AS chars FROM (SELECT unnest(regexp_extract_all(line, '[^\x00-\x7F]')) AS ch FROM c)),
+b AS (SELECT string_agg(chr(CAST(i AS INTEGER)), '' ORDER BY i) AS bytes FROM generate_series(1, 31) g(i) WHERE i NOT BETWEEN 9 AND 13),
+h AS (
+  SELECT *, least(5, n // 20) AS tau, translate(line, (SELECT coalesce(chars, '') FROM u), (SELECT bytes FROM b)) AS single,
+    length(line) - length(replace(line, 'e', '')) AS c_e,
+    length(line) - length(replace(line, 'a', '')) AS c_a,
+    length(line) - length(replace(line, 'o', '')) AS c_o,
+    length(line) - length(replace(line, 'i', '')) AS c_i,
+    length(line) - length(replace(line, 'n', '')) AS c_n,
+    length(line) - length(replace(line, 'r', '')) AS c_r,
+    length(line) - length(replace(line, 's', '')) AS c_s,
+    length(line) - length(replace(line, 't', '')) AS c_t
+  FROM c WHERE n >= 20
+),
+e AS (
+  SELECT x.line AS a, x.first AS a_first, y.line AS b, y.first AS b_first
+  FROM h x JOIN h y ON y.n BETWEEN x.n AND x.n + 5
+  WHERE x.line <> y.line AND (x.n < y.n OR x.line < y.line) AND y.n - x.n <= y.tau
+    AND abs(x.c_e - y.c_e) + abs(x.c_a - y.c_a) + abs(x.c_o - y.c_o) + abs(x.c_i - y.c_i) + abs(x.c_n - y.c_n) + abs(x.c_r - y.c_r) + abs(x.c_s - y.c_s) + abs(x.c_t - y.c_t) <= 2 * y.tau
+    AND levenshtein(x.single, y.single) <= y.tau
+),
+near AS (
+  SELECT line, count(*) AS n_links, min(first) AS other
+  FROM (SELECT a AS line, b_first AS first FROM e UNION ALL SELECT b, a_first FROM e) GROUP BY line
+)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, first[1] AS class_id, CAST(first[2] AS INTEGER) AS class_line, n_copies,
+  CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, ((doc_id, line_no) = first AND (other IS NULL OR first < other)) AS kept
+FROM l JOIN c USING (line) LEFT JOIN near USING (line)
+"""

@@ -16,6 +16,7 @@ def queries():
         "op8_quadratic_discriminant": quadratic_discriminant.query,
         "op10_toxic_neighbours": toxic_neighbours.query,
         "op9_line_edit_join": line_edit_join.query,
+        "op9_near_line_edit_join": line_edit_join.near_query,
         "op6_quality_rules": quality_rules.query,
     }
 
@@ -26,4 +27,5 @@ def oracle_sql():
         "op2_exact_dedup": exact_dedup.SQL,
         "op6_quality_rules": quality_rules.SQL,
         "op9_line_edit_join": line_edit_join.SQL,
+        "op9_near_line_edit_join": line_edit_join.NEAR_SQL,
     }

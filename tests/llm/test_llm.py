@@ -446,6 +446,29 @@ def test_line_dedup_matches_brute_force(spark, tau):
         assert found[key].kept == (first[line] == key and all(first[y] > key for y in near))
 
 
+def test_registered_line_joins_link_a_changed_word(spark, tmp_path):
+    rng = random.Random(12)
+    line = _text(rng, 30)
+    rows = [(1, line), (2, "on 12 May " + line), (3, "on 27 July " + line), (4, _text(rng, 30)), (5, "a short line of 1 rule"), (6, "a short line of 23 rules")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = dict(rows)
+    near = {i: [j for j in texts if j != i and _distance(texts[i], texts[j]) <= min(5, max(len(texts[i]), len(texts[j])) // 20)] for i in texts}
+    assert any(near.values()) and not near[5]
+    found = [registry.queries()[name](spark, str(tmp_path)).collect() for name in registry.queries() if name.startswith("op9_")]
+    assert any({r.doc_id: r.n_links for r in rows} == {i: len(n) for i, n in near.items()} for rows in found)
+
+
+@pytest.mark.parametrize("steps", [((4, 1), (7, 2), (10, 3)), ((4, 1), (6, 3))])
+def test_line_dedup_with_edits_by_length_matches_brute_force(spark, steps):
+    rng = random.Random(4)
+    lines = sorted({"".join(rng.choice("ab ") for _ in range(rng.randint(3, 13))).strip() + "x" for _ in range(150)})
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r.id: r.n_links for r in line_edit_join.line_dedup(frame, tau=steps, least=4).collect()}
+    edits = lambda n: max((t for start, t in steps if n >= start), default=0)
+    for i, a in enumerate(lines):
+        assert found[i] == sum(b != a and min(len(a), len(b)) >= 4 and _distance(a, b) <= edits(max(len(a), len(b))) for b in lines)
+
+
 # pipeline
 
 
