@@ -56,16 +56,16 @@ def terms(text: str) -> Counter:
 
 
 def _term_sets(rows: DataFrame) -> DataFrame:
-    """``id, y, copy, terms`` of labelled rows ``id, y, text``; ``copy``: alike for texts with like words."""
+    """``id, y, copy, terms`` of labelled rows ``id, y, text``; ``copy``: a digest of the whole set of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+        from hashlib import blake2b
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 found = [sorted(terms(body)) for body in part.column(2).to_pylist()]
-                copy = [min((zlib.crc32(t.encode()) for t in f), default=0) for f in found]
+                copy = [int.from_bytes(blake2b("\n".join(f).encode(), digest_size=8).digest(), "big", signed=True) for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(copy, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["id", "y", "copy", "terms"])
 
     return rows.mapInArrow(run, "id long, y int, copy long, terms array<string>")
@@ -74,8 +74,8 @@ def _term_sets(rows: DataFrame) -> DataFrame:
 def choose_terms(examples: DataFrame) -> DataFrame:
     """``term, idf`` of the terms that speak for label 1; rows ``id, y, copy, terms``.
 
-    Copies of a text tend to share the least hash of their terms; each such group counts once, so that
-    the words of a text with many copies do not look typical.
+    Texts of one label with the same set of terms are copies and count once, so that the words of a text
+    with many copies do not look typical; every other text counts.
     """
     once = examples.groupBy("y", "copy").agg(F.min("id").alias("id"))
     kept = examples.join(once, ["y", "copy", "id"], "left_semi")

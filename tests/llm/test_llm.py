@@ -399,6 +399,16 @@ def test_block_max_search_is_exact():
         assert [round(c, 9) for c, _, _ in index.nearest(query)] == [c for c, _ in best]
 
 
+def test_every_different_labelled_text_counts_for_terms(spark):
+    shared = min((f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)), key=lambda t: zlib.crc32(t.encode()))
+    names = ["x" + chr(97 + i) + chr(97 + j) for i in range(26) for j in range(2)]
+    rows = [(i, i % 2, f"{shared} {name}" + " bad" * (i % 2)) for i, name in enumerate(names)]
+    rows += [(100 + i, 1, f"{shared} copied bad") for i in range(9)]
+    examples = toxic_neighbours._term_sets(spark.createDataFrame(rows, "id long, y int, text string"))
+    assert examples.select("y", "copy").distinct().count() == len(names) + 1
+    assert "bad" in {r.term for r in toxic_neighbours.choose_terms(examples).collect()}
+
+
 def test_without_labels(spark, odd):
     empty = _labels(spark, [])
     assert {r.score for r in quadratic_discriminant.classify(odd, empty, "quality").collect()} == {0.5}
