@@ -291,6 +291,23 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert (found[90], found[91], found[92]) == ("", "Site\n\nOwn", "<b> bold")
 
 
+def test_copied_articles_keep_their_text(spark):
+    rng = random.Random(14)
+    article = [_text(rng, 20) for _ in range(6)]
+    site = lambda body, advert: f"<nav>Menu</nav><div>Site</div>{body}<div class=advert>{advert}</div><div>Imprint</div>"
+    whole = lambda lines: "".join(f"<p>{line}</p>" for line in lines)
+    near = article[:2] + ["changed"] + article[3:]
+    pages = [(0, "http://a.example/x/1", site(whole(article), "Buy")), (1, "http://a.example/x/2", site(whole(article), "Sell"))]
+    pages += [(2, "http://b.example/x/1", site(whole(article), "Buy")), (3, "http://b.example/x/2", site(whole(near), "Sell"))]
+    pages += [(4, "http://c.example/x/1", site(whole(article), "Buy")), (5, "http://c.example/x/2", site(f"<article>{whole(article)}</article>", "Sell"))]
+    pages += [(10 + i, f"http://d.example/x/{i}", site(whole(article if i < 2 else near if i == 2 else [_text(rng, 20)]), f"Ad {i}")) for i in range(12)]
+    found = {r.page_id: r.text.split("\n\n") for r in page_differencing.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, lines in {0: article, 1: article, 2: article, 3: near, 4: article, 5: article, 10: article, 11: article, 12: near}.items():
+        assert [x for x in found[i] if x not in ("Site", "Imprint")] == lines
+        assert "Site" not in found[i] or i in (0, 1, 2, 3)
+    assert all("Site" not in found[10 + i] and len(found[10 + i]) == 1 for i in range(3, 12))
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(2000):
@@ -504,6 +521,18 @@ def test_pipeline(spark):
     assert packed.where("length > 1024 or length < 1").isEmpty()
 
 
+def test_pipeline_drops_frequent_lines(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    clean = [_text(rng, 80) for _ in range(40)]
+    rows = [(i, t + "\nShared banner", "en", "a", len(t) + 14) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.STAGES[0][1](spark, docs, SF_DIR)
+    assert found.dtypes == docs.dtypes
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in found.collect()) == [(i, t, len(t)) for i, t in enumerate(clean)]
+
+
 def test_odd_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
