@@ -17,8 +17,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules reject."""
-    return quality_rules.line_frequency_rules(docs).where("kept").select(*COLUMNS)
+    """Drop the documents that the quality rules reject, and the frequent lines of the others."""
+    kept = quality_rules.line_frequency_rules(docs).where("kept")
+    clean = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)}
+    return kept.withColumns(clean).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
