@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from islets.llm import dart_minhash, exact_dedup, line_edit_join, mixing, packing, page_differencing, quadratic_discriminant, quality_rules, substring_dedup, toxic_neighbours
+from islets.llm import best_positions, dart_minhash, exact_dedup, line_edit_join, mixing, packing, page_differencing, quadratic_discriminant, quality_rules, reduced_alphabet, substring_dedup, toxic_neighbours
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op9_line_edit_join": line_edit_join.query,
         "op9_near_line_edit_join": line_edit_join.near_query,
         "op6_quality_rules": quality_rules.query,
+        "op11_best_positions": best_positions.query,
+        "op12_reduced_alphabet": reduced_alphabet.query,
     }
 
 
@@ -28,4 +30,6 @@ def oracle_sql():
         "op6_quality_rules": quality_rules.SQL,
         "op9_line_edit_join": line_edit_join.SQL,
         "op9_near_line_edit_join": line_edit_join.NEAR_SQL,
+        "op11_best_positions": best_positions.SQL,
+        "op12_reduced_alphabet": reduced_alphabet.SQL,
     }
