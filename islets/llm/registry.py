@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from islets.llm import best_positions, dart_minhash, exact_dedup, line_edit_join, mixing, packing, page_differencing, quadratic_discriminant, quality_rules, reduced_alphabet, substring_dedup, toxic_neighbours
+from islets.llm import best_positions, dart_minhash, exact_dedup, line_edit_join, mixing, packing, page_differencing, quadratic_discriminant, quality_rules, reduced_alphabet, substring_dedup, token_groups, toxic_neighbours
 
 
 def queries():
@@ -20,6 +20,7 @@ def queries():
         "op6_quality_rules": quality_rules.query,
         "op11_best_positions": best_positions.query,
         "op12_reduced_alphabet": reduced_alphabet.query,
+        "op13_token_groups": token_groups.query,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql():
         "op9_near_line_edit_join": line_edit_join.NEAR_SQL,
         "op11_best_positions": best_positions.SQL,
         "op12_reduced_alphabet": reduced_alphabet.SQL,
+        "op13_token_groups": token_groups.SQL,
     }
