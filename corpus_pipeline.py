@@ -1,6 +1,7 @@
 """A corpus pipeline made of the text operators.
 
-Each stage takes the documents that its predecessor kept, as written and read again.
+Each stage takes the documents that its predecessor kept, as written and read again.  NULL texts are empty
+and fail the quality rules; NULL sources are a source like others; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -11,26 +12,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from islets.llm import dart_minhash, exact_dedup, mixing, packing, quality_rules
-from islets.llm.shared import saved, scratch
+from islets.llm.shared import saved, scratch, whole, without_space
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _once(rows: DataFrame, *key: str) -> DataFrame:
+    """One row of each key; rows are combined before they are shuffled, so a hot key is not one task's."""
+    columns = [c for c in rows.columns if c not in key]
+    one = rows.groupBy(*key).agg(F.min(F.struct(*columns)).alias("row__"))
+    return one.select(*key, "row__.*")
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules reject, and the frequent lines of the others."""
-    kept = quality_rules.line_frequency_rules(docs).where("kept")
-    clean = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)}
-    return kept.withColumns(clean).select(*COLUMNS)
+    """Drop the documents that the quality rules reject, and the frequent lines of the others.
+
+    Verdicts and clean texts are written before they are filtered: a filter right on top of them would
+    make Spark work out every rule again for each column that is used.
+    """
+    judged = quality_rules.line_frequency_rules(docs).select("doc_id", "clean_text", "lang", "source", "kept")
+    judged = saved(scratch(spark, "rules"), judged, "judged").where("kept")
+    n_chars = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    kept = exact_dedup.stateful_dedup(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """Keep one row of each group of equal texts: of a row given several times, one; a NULL id is an id like others."""
+    kept = exact_dedup.stateful_dedup(docs).where("kept").select("id", "text_sha256").distinct()
+    digest = F.sha2(without_space(whole()), 256)
+    own = docs.withColumn("digest__", digest)
+    chosen = own.join(kept, own["doc_id"].eqNullSafe(kept["id"]) & (own["digest__"] == kept["text_sha256"]), "left_semi")
+    chosen = saved(scratch(spark, "exact"), chosen, "chosen")
+    # rows of one id and one text stand for one another: those of the longest original text, as the verdict wants
+    often = chosen.groupBy("doc_id", "digest__").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id__"), F.col("digest__").alias("of__"))
+    same = chosen["doc_id"].eqNullSafe(often["id__"]) & (chosen["digest__"] == often["of__"])
+    single = chosen.join(often, same, "left_anti").select(*COLUMNS)
+    several = chosen.join(often, same, "left_semi").withColumn("less__", -F.length(whole()))
+    several = _once(several.select("doc_id", "digest__", "less__", "text", "lang", "source", "n_chars"), "doc_id", "digest__")
+    return single.unionByName(several.select(*COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near duplicates."""
+    """Keep the document of least id of each group of near duplicates; rows without an id stay.
+
+    Rows that share an id are told apart by nothing here and go or stay together; equal ones are gone by now.
+    """
     groups = dart_minhash.near_duplicates(docs)
     kept = groups.where(F.col("id").isNull() | (F.col("id") == F.col("group_id"))).select("id").distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*COLUMNS)

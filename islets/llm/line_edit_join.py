@@ -119,8 +119,9 @@ def similar_lines(lines: DataFrame, work, *, tau: int | tuple[tuple[int, int], .
     keyed = with_keys(lines.select("h1", "line"), steps, least).select("h1", "key", "own")
     met = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own"))
     met = saved(work, met.where("own AND low <> high").select("key"), "keys")
-    again = with_keys(lines.select("h1", "h2", "line", _bag(F.col("line")).alias("bag")), steps, least)
-    again = again.select("h1", "h2", "bag", "key", "own").join(met, "key", "left_semi").distinct()
+    # few lines are left after the join, so letters are counted behind it
+    again = with_keys(lines.select("h1", "h2", "line"), steps, least).select("h1", "h2", "line", "key", "own")
+    again = again.join(met, "key", "left_semi").select("h1", "h2", _bag(F.col("line")).alias("bag"), "key", "own").distinct()
     again = saved(work, again, "probes")
     left = again.where("own").select("key", F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("bag").alias("xbag"))
     right = again.select("key", F.col("h1").alias("y1"), F.col("h2").alias("y2"), F.col("bag").alias("ybag"))

@@ -30,6 +30,8 @@ from islets.llm.shared import read, saved, scratch, whole
 
 CAPACITY = 1024
 END = 2
+#: The added token of the tokenizer file.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 PORTIONS = 64
 #: Ids of pieces of text that a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
@@ -45,7 +47,7 @@ class Encoder:
     The vocabulary's rank file gives the same ids as its tokenizer file, several times as fast; the
     tests compare the two.  The pattern that cuts a text first takes white space only as the lead of
     what follows, so a text can be cut before a blank that follows a visible character, and the parts
-    encoded alone.  Strings of special tokens in a text are ordinary text.
+    encoded alone.  Strings of special tokens in a text are their ids, as the tokenizer file has it.
     """
 
     def __init__(self, path: str):
@@ -63,6 +65,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if ADDED in text:
+            return array.array("I", [ADDED_ID]).tobytes().join(map(self.encode, text.split(ADDED)))
         blanks = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" if text.isascii() else BLANKS
         if any(blank + " " in text for blank in blanks):
             return self._ids(text)

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from islets.llm import (
+    best_positions,
     dart_minhash,
     exact_dedup,
     line_edit_join,
@@ -21,8 +22,10 @@ from islets.llm import (
     page_differencing,
     quadratic_discriminant,
     quality_rules,
+    reduced_alphabet,
     registry,
     substring_dedup,
+    token_groups,
     toxic_neighbours,
 )
 
@@ -234,8 +237,7 @@ def test_packing_is_a_whole_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    extra = spark.createDataFrame([(100, "a  b \n c"), (101, "<|endoftext|> don't"), (102, "   x\n\ny  ")], "doc_id long, text string")
+    extra = spark.createDataFrame([(100, "a  b \n c"), (101, "<|endoftext|> don't"), (103, "hi <|endoftext|><|endoftext|> there <|endoftext|>"), (102, "   x\n\ny  ")], "doc_id long, text string")
     docs = odd.select("doc_id", "text").where("doc_id is not null").distinct().unionByName(extra)
     found = packing.pack(docs, packing.tokenizer_path()).collect()
     ids = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2] for r in docs.collect()}
@@ -548,3 +550,204 @@ def test_odd_sketches_never_exceed_the_difference():
             assert bits <= len(np.setxor1d(sets[a], sets[b]))
     empty = dart_minhash.odd_sketches(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
     assert len(empty[0]) == 0 and empty[1].shape == (0, 2 * half)
+
+
+# pipeline
+
+
+def test_rules_stage_works_out_each_rule_once(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    plan = corpus_pipeline.rules(spark, docs, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+
+
+def test_exact_stage_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "c", "en", "s", 1), (2, "ab", "en", "s", 2), (None, "d", None, None, None), (None, "d", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.exact(spark, docs, SF_DIR).select("doc_id", "text").collect()
+    assert sorted(map(tuple, found), key=repr) == [(1, "a b"), (1, "c"), (None, "d")]
+
+
+def test_stages_take_an_empty_table(spark, none):
+    import corpus_pipeline
+
+    docs = none.select(*corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF_DIR).collect() == []
+
+
+# op11
+
+
+def _terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def test_search_matches_brute_force(spark):
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice(WORDS[: rng.randint(2, 19)]) for _ in range(rng.randint(0, 40)))) for i in range(400)]
+    docs += [(400, None), (401, ""), (402, "Alpha-BETA, gamma\u00c9 x"), (402, "alpha beta"), (None, "alpha beta")]
+    items = [(i, " ".join(rng.sample(WORDS, rng.randint(1, 6)))) for i in range(30)] + [(30, None), (31, "unknown"), (2, "alpha"), (None, "beta BETA")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    found = best_positions.search(frame, asked, block_terms=20).collect()
+    counted = [(key, Counter(_terms(text))) for key, text in docs if _terms(text)]
+    n_docs, total = len(counted), sum(sum(c.values()) for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    wanted = defaultdict(set)
+    for key, text in items:
+        wanted[key] |= set(_terms(text))
+    want = []
+    for item, terms in wanted.items():
+        scored = []
+        for key, c in counted:
+            m = 10 + (90 * sum(c.values()) * n_docs) // total
+            score = sum(int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df[t] + 1)))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in terms if c[t])
+            if score > 0:
+                scored.append((-score, key is None, key))
+        want += [(item, rank, key, -score) for rank, (score, _, key) in enumerate(sorted(scored, key=lambda x: x[:2] + (x[2] or 0,))[:10], 1)]
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+
+
+def test_best_positions_stop_early():
+    rng = np.random.default_rng(3)
+    n = 20_000
+    doc = np.concatenate([np.arange(n)] * 3)
+    term = np.repeat(np.arange(3), n)
+    score = (rng.pareto(1.0, 3 * n) * 1000).astype(np.int64) + 1
+    index, best = best_positions.ImpactLists(term, doc, score), best_positions.Best(10)
+    looked = index.search(np.arange(3), best, np.zeros(n, bool), np.arange(n))
+    total = np.bincount(doc, score).astype(np.int64)
+    assert best.rows[2].tolist() == np.lexsort((np.arange(n), -total))[:10].tolist()
+    assert looked < n / 10
+
+
+def test_search_of_empty_tables(spark, none, odd):
+    asked = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    assert best_positions.search(none, asked).collect() == []
+    assert best_positions.search(odd, asked.where("false")).collect() == []
+    assert len(best_positions.search(odd, asked).collect()) == 2  # "o n e" has other terms
+
+
+# op12
+
+
+def _one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def test_variants_match_brute_force(spark):
+    rng = random.Random(12)
+    letters = "abcde\u00e9\u00df"
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(7, 9))) for _ in range(25)]
+
+    def spoil(word):
+        i = rng.randrange(len(word))
+        return rng.choice([word[:i] + word[i + 1 :], word[:i] + rng.choice(letters) + word[i:], word[:i] + rng.choice(letters) + word[i + 1 :]])
+
+    docs = []
+    for i in range(150):
+        words = [rng.choice(base[: rng.randint(1, 25)]) for _ in range(rng.randint(0, 30))]
+        docs.append((i, " 3".join(spoil(w) if rng.random() < 0.15 else w.upper() if rng.random() < 0.1 else w for w in words)))
+    docs += [(150, None), (150, ""), (None, base[0] + " " + base[0])]
+    found = {r.word: tuple(r) for r in reduced_alphabet.variants(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    counts = Counter()
+    for key, text in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m.group().lower(), run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+    near = {w: [v for v in counts if _one_edit(w, v)] for w in counts}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best and counts[best] >= 10 * counts[w] else None
+    for w, n in counts.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        assert found.pop(w) == (w, n, len(near[w]), form[w], counts[form[w]] if form[w] else None, root)
+    assert not found and any(form.values())
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_reduced_neighbourhoods_are_whole(full):
+    """Words one edit apart meet, on one side at least, in a key of one that is the other's own."""
+    rng = random.Random(13)
+    words = [[rng.randint(1, 3) for _ in range(rng.randint(3, 5))] for _ in range(200)]
+    bounds = np.cumsum([0] + [len(w) for w in words])
+    own, rows, keys = reduced_alphabet.neighbourhoods(np.array(sum(words, [])), bounds, 3, full)
+    made = defaultdict(set)
+    for r, k in zip(rows, keys):
+        made[int(r)].add(int(k))
+    for i, j in itertools.combinations(range(len(words)), 2):
+        near = words[i] == words[j] or _one_edit(words[i], words[j])
+        both = (int(own[j]) in made[i], int(own[i]) in made[j])
+        assert (all(both) if full else any(both)) == near
+
+
+def test_variants_of_odd_tables(spark, odd, none):
+    assert reduced_alphabet.variants(none).collect() == []
+    assert all(r.n >= 2 for r in reduced_alphabet.variants(odd).collect())
+    with pytest.raises(ValueError):
+        reduced_alphabet.variants(odd, ratio=1)
+
+
+# op13
+
+
+def _shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if len(words) < 4:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 32])
+def test_jaccard_components_match_brute_force(spark, block):
+    rng = random.Random(14)
+    texts = [_text(rng, rng.randint(1, 80)) for _ in range(12)]
+    for _ in range(110):  # chains of small changes
+        words = rng.choice(texts).split()
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(words) + 1)
+            words[at : at + rng.randint(0, 1)] = [rng.choice(WORDS)] * rng.randint(0, 1)
+        texts.append(" \n".join(words) if words else rng.choice(WORDS))
+    docs = list(enumerate(texts)) + [(200, None), (201, " "), (202, texts[0].upper()), (7, texts[3]), (None, texts[5]), (None, "")]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = token_groups.jaccard_components(frame, block=block).collect()
+    sets = [(key, _shingles(text)) for key, text in docs]
+    part = list(range(len(sets)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = sets[i][1], sets[j][1]
+        if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            part[root(i)] = root(j)
+    least = {}
+    for i, (key, _) in enumerate(sets):
+        if key is not None:
+            least[root(i)] = min(key, least.get(root(i), key))
+    want = [(key, len(s), least.get(root(i)) if s else key) for i, (key, s) in enumerate(sets)]
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+
+
+def test_jaccard_components_of_odd_tables(spark, odd, none):
+    assert token_groups.jaccard_components(none).collect() == []
+    assert len(token_groups.jaccard_components(odd).collect()) == odd.count()
