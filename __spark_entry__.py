@@ -23,6 +23,7 @@ from islets.operators.clusters import hash_to_min_round
 from islets.operators.hooking import (
     canonical_label,
     conditional_star_hook,
+    contract_edges,
     forest_init,
     min_neighbour_parent,
     star_detection,
@@ -186,6 +187,10 @@ def _hash_min_round(edges: DataFrame) -> DataFrame:
     return hash_min_round(live.groupBy("id").agg(F.min("nbr").alias("label")), live)
 
 
+def _contract_edges(edges: DataFrame) -> DataFrame:
+    return contract_edges(_once(edges), _first_parents(edges))
+
+
 def _hash_to_min_round(edges: DataFrame) -> DataFrame:
     live = _linked(edges)
     own = live.select("id", F.col("id").alias("member")).distinct()
@@ -323,6 +328,10 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             event_user, "tree_pruning_opt", oblivious_seed={0, 1, 4, 8, 16}
         ),
         "cc_hash_min": _whole_job(order_part, "hash_min"),
+        "cc_hash_min_deep": _whole_job(event_user, "hash_min"),
+        "cc_hash_min_hubs": _whole_job(order_part, "hash_min", hub_rows=HUB_DEGREE),
+        "cc_sgc_hubs": _whole_job(order_part, "sgc", hub_rows=HUB_DEGREE),
+        "contract_edges": _on(event_user, _contract_edges),
         "cc_hash_to_min": _whole_job(event_user, "hash_to_min"),
         "cc_ccf": _whole_job(event_user, "ccf"),
         "cc_ccmr": _whole_job(event_user, "ccmr"),
@@ -519,6 +528,8 @@ directed AS (SELECT src, dst FROM largest UNION ALL SELECT dst, src FROM largest
         "cc_cust_order": _label_query(CUST_ORDER),
         "cc_tree_pruning_oblivious": _label_query(ORDER_PART),
         "cc_hash_min": _label_query(ORDER_PART),
+        "cc_hash_min_hubs": _label_query(ORDER_PART),
+        "cc_sgc_hubs": _label_query(ORDER_PART),
         "cc_alternating_hub_split": _label_query(ORDER_PART),
         "parse_edge_lines": """
 WITH lines AS (
@@ -628,6 +639,11 @@ WHERE m.m IS DISTINCT FROM new.l""",
         "star_detection": on_events(
             HOOK_FOREST, STARS, select="SELECT id, parent, is_star FROM st"
         ),
+        "contract_edges": on_events(
+            FIRST_PARENTS,
+            select="""SELECT DISTINCT greatest(a.parent, b.parent) AS id, least(a.parent, b.parent) AS nbr
+FROM e JOIN p a ON a.id = e.s JOIN p b ON b.id = e.t WHERE a.parent <> b.parent""",
+        ),
         "min_neighbour_parent": on_events(
             HOOK_FOREST, _candidates("TRUE"), select="SELECT id, cand FROM cd"
         ),
@@ -720,6 +736,7 @@ FROM sent""",
         "cc_ccmr",
         "cc_alternating",
         "cc_sgc",
+        "cc_hash_min_deep",
     ):
         oracle[name] = _label_query(EVENT_USER)
     return oracle

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from islets.operators.lookup import SAFE, Hubs, kept, lookup
+from islets.operators.rows import both_directions
 
 
 def forest_init(edges: DataFrame) -> DataFrame:
@@ -62,23 +63,39 @@ def min_neighbour_parent(
     ``unconditional`` leaves out the own root.  ``edges`` are undirected; one orientation is enough.
     ``degrees`` is a frame ``(id, n)`` that saves counting the edges of each vertex again.
     """
-    here, there = F.col("here"), F.col("there")
+    ends = _parents_of_ends(edges, parents, hubs, degrees)
+    if unconditional:
+        ends = ends.where(F.col("here") != F.col("there"))
+    return least_across(ends.select(F.col("here").alias("id"), F.col("there").alias("nbr")))
+
+
+def _parents_of_ends(
+    edges: DataFrame, parents: DataFrame, hubs: Hubs | None, degrees: DataFrame | None = None
+) -> DataFrame:
+    """Each edge with the parents of its ends, ``here`` of ``id`` and ``there`` of ``nbr``."""
     at_id = parents.select("id", F.col("parent").alias("here"))
     at_nbr = parents.select(F.col("id").alias("nbr"), F.col("parent").alias("there"))
     as_nbr = degrees.select(F.col("id").alias("nbr"), "n") if degrees is not None else None
     one_end = lookup(edges, at_id, "id", hubs, counts=degrees)
-    ends = lookup(one_end, at_nbr, "nbr", hubs, counts=as_nbr)
-    if unconditional:
-        ends = ends.where(here != there)
-    seen = ends.select(
-        F.inline(
-            F.array(
-                F.struct(here.alias("id"), there.alias("seen")),
-                F.struct(there.alias("id"), here.alias("seen")),
-            )
-        )
-    )
-    return seen.groupBy("id").agg(F.min("seen").alias("cand"))
+    return lookup(one_end, at_nbr, "nbr", hubs, counts=as_nbr)
+
+
+def contract_edges(
+    edges: DataFrame, parents: DataFrame, *, hubs: Hubs | None = SAFE
+) -> DataFrame:
+    """Undirected edges between the parents of the ends, each once, larger end first; loops are dropped.
+
+    Both ends of a dropped edge are in one tree.  An end and its parent are in one tree as well, so the
+    trees that have an edge between them stay the same.
+    """
+    here, there = F.col("here"), F.col("there")
+    ends = _parents_of_ends(edges, parents, hubs).where(here != there)
+    return ends.select(F.greatest(here, there).alias("id"), F.least(here, there).alias("nbr")).distinct()
+
+
+def least_across(edges: DataFrame) -> DataFrame:
+    """``(id, cand)``: the least vertex at the other end of an edge; one orientation is enough."""
+    return both_directions(edges).groupBy("id").agg(F.min("nbr").alias("cand"))
 
 
 def _hook(stars: DataFrame, candidates: DataFrame, conditional: bool) -> DataFrame:

@@ -21,14 +21,22 @@ def label_messages(
     only changed labels are sent again: the others were heard in an earlier round.  ``degrees`` is a
     frame ``(id, n)`` that saves counting the edges of each vertex again.
     """
-    kept = labels.select("id", "label", F.col("label").alias("prev"))
-    news = labels.where("changed") if "changed" in labels.columns else labels
-    spoken = news.select(F.col("id").alias("nbr"), "label")
+    spoken = label_news(labels).select(F.col("id").alias("nbr"), "label")
     counts = degrees.select(F.col("id").alias("nbr"), "n") if degrees is not None else None
-    heard = lookup(edges, spoken, "nbr", hubs, counts=counts).select(
-        "id", "label", F.lit(None).cast(labels.schema["label"].dataType).alias("prev")
-    )
-    return kept.unionByName(heard)
+    return with_kept(labels, lookup(edges, spoken, "nbr", hubs, counts=counts))
+
+
+def label_news(labels: DataFrame) -> DataFrame:
+    """``(id, label)`` of what is sent in a round."""
+    news = labels.where("changed") if "changed" in labels.columns else labels
+    return news.select("id", "label")
+
+
+def with_kept(labels: DataFrame, heard: DataFrame) -> DataFrame:
+    """What vertices heard, ``(id, label)``, together with what they have."""
+    kept = labels.select("id", "label", F.col("label").alias("prev"))
+    nothing = F.lit(None).cast(labels.schema["label"].dataType).alias("prev")
+    return kept.unionByName(heard.select("id", "label", nothing))
 
 
 def merge_labels(messages: DataFrame, *extra) -> DataFrame:

@@ -18,13 +18,14 @@ from islets.operators.clusters import cluster_messages
 from islets.operators.hooking import (
     canonical_label,
     conditional_star_hook,
+    contract_edges,
     forest_init,
-    min_neighbour_parent,
+    least_across,
     star_detection,
     unconditional_star_hook,
 )
 from islets.operators.lookup import Hubs
-from islets.operators.min_label import label_messages, merge_labels
+from islets.operators.min_label import label_news, merge_labels, with_kept
 from islets.operators.rows import local_minimum
 from islets.operators.stars import (
     as_vertex_pairs,
@@ -43,6 +44,7 @@ from islets.operators.tree_pruning import (
     prune_links,
     prune_tree_edges,
 )
+from islets.plans.adjacency import bucket_count, bucketed_adjacency
 from islets.plans.graph import Graph
 from islets.plans.rounds import Rounds
 from islets.plans.workspace import Table
@@ -144,21 +146,28 @@ def tree_pruning_opt(
 
 
 def hash_min(run: Rounds, graph: Graph) -> DataFrame:
-    """Spread labels until none changes; only changed labels are sent again."""
+    """Spread labels until none changes; only changed labels are sent again.
+
+    Edges and labels lie in buckets, so all that a round shuffles are the messages, combined before.
+    """
     hubs = run.hubs(2 * graph.links)
     degrees = _edge_degrees(run, graph, hubs)
+    adjacency = bucketed_adjacency(run, graph.symmetric(), hubs, degrees)
+    by_id = ("id", bucket_count(run))
     first = local_minimum(graph.symmetric()).select(
         "id", F.col("m").alias("label"), (F.col("m") < F.col("id")).alias("changed")
     )
-    labels = run.save("start", first, changed=F.count_if("changed"))
+    labels = run.save("start", first, buckets=by_id, changed=F.count_if("changed"))
     while labels.counts["changed"]:
         run.next_round()
-        messages = label_messages(
-            labels.frame, graph.symmetric(), hubs=hubs, degrees=degrees
+        heard = adjacency.heard(label_news(labels.frame))
+        messages = with_kept(labels.frame, heard)
+        new = run.step(
+            "hash_min", messages, merge_labels, buckets=by_id, changed=F.count_if("changed")
         )
-        new = run.step("hash_min", messages, merge_labels, changed=F.count_if("changed"))
         labels = _replace(run, labels, new)
-    return labels.frame.select("id", F.col("label").alias("component"))
+    adjacency.drop(run)
+    return run.work.unlist(labels).select("id", F.col("label").alias("component"))
 
 
 def hash_to_min(run: Rounds, graph: Graph) -> DataFrame:
@@ -305,28 +314,36 @@ def alternating_hub_split(
 
 
 def sgc(run: Rounds, graph: Graph) -> DataFrame:
-    """Hook stars onto each other and jump, until a jump moves no pointer."""
-    edges = graph.edges()
-    edge_hubs = run.hubs(2 * graph.links)
-    degrees = _edge_degrees(run, graph, edge_hubs)
+    """Hook stars onto each other and jump, until a jump moves no pointer.
+
+    Before each hook the edges are contracted to the parents of their ends, so every join runs on the
+    edges between trees that are still apart, each once.
+    """
     parents = run.save("forest_init", forest_init(graph.symmetric()))
     hubs = run.hubs(parents.rows)
-
-    def hook(parents: DataFrame, unconditional: bool) -> DataFrame:
+    live = None
+
+    def hook(parents: DataFrame, conditional: bool) -> DataFrame:
+        nonlocal live
+        rows, edges = (live.rows, live.frame) if live else (graph.links, graph.edges())
+        if rows:
+            contracted = contract_edges(edges, parents, hubs=run.hubs(2 * rows))
+            table = run.work.save(contracted, "contract_edges")
+            run.record("contract_edges", table, table.rows)
+            live = _replace(run, live, table)
         stars = star_detection(parents, hubs=hubs)
-        candidates = min_neighbour_parent(
-            edges, parents, unconditional=unconditional, hubs=edge_hubs, degrees=degrees
-        )
-        if unconditional:
-            return unconditional_star_hook(stars, candidates)
-        return conditional_star_hook(stars, candidates)
+        candidates = least_across(live.frame)
+        if conditional:
+            return conditional_star_hook(stars, candidates)
+        return unconditional_star_hook(stars, candidates)
 
     while True:
         run.next_round()
-        hooked = run.save("conditional_star_hook", hook(parents.frame, False))
-        parents = _replace(run, parents, hooked)
-        hooked = run.save("unconditional_star_hook", hook(parents.frame, True))
-        parents = _replace(run, parents, hooked)
+        for conditional in (True, False):
+            if live and not live.rows:  # no tree has a neighbour any more
+                break
+            name = "conditional_star_hook" if conditional else "unconditional_star_hook"
+            parents = _replace(run, parents, run.save(name, hook(parents.frame, conditional)))
         jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
         table = run.work.save(
             jumped, "pointer_jump", drop=("old",), moved=F.count_if(F.col("old") != F.col("parent"))
@@ -335,6 +352,7 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
         parents = _replace(run, parents, table)
         if not table.counts["moved"]:
             break
+    run.work.drop(live)
     return canonical_label(parents.frame, hubs=hubs)
 
 

@@ -84,6 +84,7 @@ class Rounds:
         merge: Callable[..., DataFrame] = merge_rows,
         *extra: Column,
         drop: tuple[str, ...] = (),
+        buckets: tuple[str, int] | None = None,
         **counts: Column,
     ) -> Table:
         """Merge the messages of a step per receiver, write the result, and record the step."""
@@ -91,13 +92,21 @@ class Rounds:
             extra += (F.count(F.lit(1)).alias("copies"),)
             counts["copies"] = F.sum("copies")
             drop += ("copies",)
-        table = self.work.save(merge(messages, *extra), name, drop=drop, **counts)
+        merged = merge(messages, *extra)
+        table = self.work.save(merged, name, drop=drop, buckets=buckets, **counts)
         self.record(name, table, table.counts.get("copies"))
         return table
 
-    def save(self, name: str, frame: DataFrame, **counts: Column) -> Table:
+    def save(
+        self,
+        name: str,
+        frame: DataFrame,
+        *,
+        buckets: tuple[str, int] | None = None,
+        **counts: Column,
+    ) -> Table:
         """Write a step whose output has one row per receiver already."""
-        table = self.work.save(frame, name, **counts)
+        table = self.work.save(frame, name, buckets=buckets, **counts)
         self.record(name, table, table.rows)
         return table
 

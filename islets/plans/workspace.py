@@ -37,6 +37,7 @@ class Table:
     path: str
     rows: int
     counts: dict[str, int] = field(default_factory=dict)
+    name: str | None = None
 
 
 class Workspace:
@@ -48,13 +49,21 @@ class Workspace:
         self._written = 0
 
     def save(
-        self, frame: DataFrame, name: str, *, drop: tuple[str, ...] = (), **counts: Column
+        self,
+        frame: DataFrame,
+        name: str,
+        *,
+        drop: tuple[str, ...] = (),
+        buckets: tuple[str, int] | None = None,
+        **counts: Column,
     ) -> Table:
         """Write a frame in one job that also counts its rows and evaluates ``counts``.
 
         ``counts`` are aggregates, NULL counting as 0.  Columns in ``drop`` are counted but not
         written.  Counting takes place in the tasks that write, whose
-        results Spark takes once each even if tasks or executors fail.
+        results Spark takes once each even if tasks or executors fail.  ``buckets`` is a key and a
+        number: the rows are kept in that many buckets by hash of the key, and joins on the key with
+        what is partitioned alike shuffle neither side.
         """
         self._written += 1
         path = f"{self.folder}/{self._written:04d}-{name}"
@@ -62,8 +71,14 @@ class Workspace:
         metrics = [F.count(F.lit(1)).alias("rows")]
         metrics += [value.alias(key) for key, value in counts.items()]
         out = frame.observe(seen, *metrics).drop(*drop)
-        out.write.parquet(path)
-        table = self.spark.read.schema(out.schema).parquet(path)
+        listed = None
+        if buckets is None:
+            out.write.parquet(path)
+            table = self.spark.read.schema(out.schema).parquet(path)
+        else:
+            listed = self._create(out, path, *buckets)
+            out.write.insertInto(listed)
+            table = self.spark.table(listed)
         try:
             found = {key: value or 0 for key, value in seen.get.items()}
         except Exception:  # no metrics: only a frame that the optimizer proved empty drops the counter
@@ -71,10 +86,31 @@ class Workspace:
                 raise
             found = {}
         rows = found.pop("rows", 0)
-        return Table(table, path, rows, {key: found.get(key, 0) for key in counts})
+        return Table(table, path, rows, {key: found.get(key, 0) for key in counts}, listed)
+
+    def _create(self, frame: DataFrame, path: str, key: str, buckets: int) -> str:
+        """An empty table in buckets; buckets are known to the catalog only, not to the files."""
+        name = f"islets_{uuid.uuid4().hex}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+        place = path.replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet "
+            f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+        return name
+
+    def unlist(self, table: Table) -> DataFrame:
+        """The rows of a table as plain files; the catalog forgets it."""
+        if table.name is None:
+            return table.frame
+        frame = self.spark.read.schema(table.frame.schema).parquet(table.path)
+        self.spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+        return frame
 
     def drop(self, table: Table) -> None:
         """Delete a table that no later step reads."""
+        if table.name is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table.name}")
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.path)
         files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from islets import connected_components, run_components
+from islets.plans.adjacency import bucket_count, bucketed_adjacency
+from islets.plans.algorithms import _edge_degrees, sgc
+from islets.plans.graph import load_graph
+from islets.plans.rounds import Rounds
 from islets.plans.workspace import Workspace, checkpoint_root
 from islets.sources.edges import distinct_edges
 
@@ -119,3 +123,58 @@ def test_steps_are_the_same_at_every_size(spark, algorithm):
         for options in ({}, {"hub_rows": 10}, {"hub_rows": 1000}, {"collect_stats": True})
     ]
     assert len({(run.rounds, tuple(record.name for record in run.steps)) for run in runs}) == 1
+
+
+def _chain(spark, n):
+    return spark.range(n).select((F.col("id") + 1).alias("src"), F.col("id").alias("dst"))
+
+
+def _adjacency(spark, hub_rows):
+    run = Rounds(spark, "adjacency", hub_rows=hub_rows)
+    edges = _chain(spark, 300).union(spark.range(2, 200).select("id", F.lit(0).cast("long"))).toDF("src", "dst")
+    graph = load_graph(run, edges, None, "src", "dst")
+    hubs = run.hubs(2 * graph.links)
+    adjacency = bucketed_adjacency(run, graph.symmetric(), hubs, _edge_degrees(run, graph, hubs))
+    labels = run.save("start", graph.linked_vertices().select("id", F.col("id").alias("label")), buckets=("id", bucket_count(run)))
+    return run, graph, adjacency, labels
+
+
+@pytest.mark.parametrize("hub_rows", [100, 4_000_000])
+def test_rounds_shuffle_no_edges(spark, hub_rows):
+    run, graph, adjacency, labels = _adjacency(spark, hub_rows)
+    assert (adjacency.hub_edges is not None) == (hub_rows == 100)
+    if adjacency.hub_edges is not None:
+        assert adjacency.hub_edges.rows > 100
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        heard = adjacency.heard(labels.frame)
+        plan = heard._jdf.queryExecution().executedPlan().toString()
+        found = sorted(map(tuple, heard.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+    assert "Exchange hashpartitioning" not in plan and "Sort " not in plan
+    assert found == sorted(map(tuple, graph.symmetric().select("id", F.col("nbr").alias("label")).collect()))
+
+
+def test_bucketed_tables_leave_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = connected_components(_chain(spark, 20), "hash_min")
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert found.where("component <> 0").count() == 0 and found.count() == 21
+
+
+def test_hash_min_of_string_ids(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("y", "x")], "src string, dst string")
+    found = connected_components(edges, "hash_min", hub_rows=1)
+    assert sorted(map(tuple, found.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
+
+
+def test_hooks_run_on_fewer_edges_each_time(spark):
+    run = Rounds(spark, "sgc")
+    graph = load_graph(run, registered.event_user(spark, SF_DIR), None, "src", "dst")
+    sizes, record = [graph.links], run.record
+    run.record = lambda name, table, messages: (sizes.append(table.rows) if name == "contract_edges" else None, record(name, table, messages))
+    sgc(run, graph)
+    assert len(sizes) > 3 and sizes == sorted(sizes, reverse=True) and sizes[-1] == 0
