@@ -12,7 +12,7 @@ Every document is parsed against the blocks of all documents with a smaller id.
   the runs are checked one by one against those of the other first factors of the block.
 
 Words covered by a run that also starts in a document with a smaller id are removed.  Equality is
-that of two independent 64-bit hashes (of the block and of what surrounds it).
+that of 64-bit hashes of the block and of what surrounds it; words are hashed eight bytes after eight.
 
 Defined cases: NULL text has no words; texts shorter than the window stay; of repeats inside one
 document or among rows of one id nothing is removed, since none has a smaller id; rows with a NULL
@@ -41,7 +41,7 @@ def factors(texts: list[bytes], window: int, block: int = BLOCK):
 
     Starts are counted in words from the start of the text; also the hashes of the words.
     """
-    words, bounds = word_hashes(texts)
+    words, bounds = word_hashes(texts, lanes=True)
     prefix = Windows(words)
     n = len(words)
     empty = np.zeros(0, np.int64)
@@ -84,7 +84,7 @@ def _runs_of(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words, _ = word_hashes([(batch.column(1)[i].as_py() or "").encode()])
+                words, _ = word_hashes([(batch.column(1)[i].as_py() or "").encode()], lanes=True)
                 spans = batch.column(2)[i].values
                 block, start, many = (spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "start", "runs"))
                 at = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)

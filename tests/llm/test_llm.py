@@ -140,6 +140,16 @@ def test_substring_dedup_matches_brute_force(spark):
             assert found[i].kept_text == " ".join(w for j, w in enumerate(words) if j not in gone)
 
 
+def test_words_built_to_collide_are_told_apart(spark):
+    """Thue-Morse words and their complements have equal polynomials modulo 2**64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {other}"), (3, f"{head} {one}")], "doc_id long, text string")
+    found = {r.id: r.n_removed for r in substring_dedup.substring_dedup(docs).collect()}
+    assert found == {1: 0, 2: 0, 3: 50}
+
+
 # op2
 
 
