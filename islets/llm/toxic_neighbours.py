@@ -5,15 +5,17 @@ and their leading characters (so that unseen endings still match), chosen by the
 of the labels; in long texts all other words only add length.  The labelled examples form an inverted
 index in blocks: for each term and block the greatest weight is kept, which bounds the cosine of every
 example of the block.  Blocks are taken by falling bound until the bound falls below the k-th best, so
-the k nearest are exact.  Votes are weighted by cosine, with a prior of the examples without terms, and
-the neighbours' ids are the evidence.
+the k nearest are exact and no posting of a later block is read.  Votes are weighted by cosine, with a
+prior of the examples without terms, and the neighbours' ids are the evidence.
 
-The labelled sample is bounded (MAX_EXAMPLES, by least hash), so the index that is sent to the tasks is
-bounded as well; term counts are taken over all labelled rows that may be learned from.
+The labelled sample is drawn first and is bounded (MAX_EXAMPLES, by least hash); terms, weights and
+examples all come from it.  So what is collected and sent to the tasks is bounded by the sample, and no
+text of the table is shuffled: the sample's ids are broadcast to the scan.
 
 Defined cases: NULL text counts as empty; texts without a chosen term get the prior; contradicting or
-NULL labels are left out, repeated label rows count once; without labels every score is 0; ties are
-broken by the lesser example id; an empty table gives an empty frame; other columns are not read.
+NULL labels are left out, repeated label rows count once; of several texts of one labelled id, the one
+of least term digest counts; without labels every score is 0; ties are broken by the lesser example id;
+an empty table gives an empty frame; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,9 +32,8 @@ from pyspark.sql import functions as F
 from islets.llm.quadratic_discriminant import held_out, learnable
 from islets.llm.shared import read, saved, scratch, whole
 
+#: Labelled rows that are learned from: of more, those with the least hash of their id.
 MAX_EXAMPLES = 20_000
-#: At most this many terms, those with the greatest ratio.
-MAX_TERMS = 4_000
 #: Least log likelihood ratio of a term: chance passes it once in 10,000 times (one degree of freedom).
 LEAST_RATIO = 15.1
 #: How many times as frequent a term is in examples of label 1; common words of long texts are not.
@@ -55,8 +56,8 @@ def terms(text: str) -> Counter:
     return counts
 
 
-def _term_sets(rows: DataFrame) -> DataFrame:
-    """``id, y, copy, terms`` of labelled rows ``id, y, text``; ``copy``: a digest of the whole set of terms."""
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """``id, y, copy, terms, counts`` of labelled rows ``id, y, text``; ``copy``: a digest of the whole set of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
@@ -64,11 +65,17 @@ def _term_sets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                found = [sorted(terms(body)) for body in part.column(2).to_pylist()]
-                copy = [int.from_bytes(blake2b("\n".join(f).encode(), digest_size=8).digest(), "big", signed=True) for f in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(copy, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["id", "y", "copy", "terms"])
+                found = [sorted(terms(body).items()) for body in part.column(2).to_pylist()]
+                names = [[t for t, _ in f] for f in found]
+                copy = [blake2b("\n".join(n).encode(), digest_size=16).hexdigest() for n in names]
+                counts = pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))
+                columns = [part.column(0), part.column(1), pa.array(copy, pa.string()), pa.array(names, pa.list_(pa.string())), counts]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "y", "copy", "terms", "counts"])
 
-    return rows.mapInArrow(run, "id long, y int, copy long, terms array<string>")
+    found = rows.select("id", "y", "text").mapInArrow(run, "id long, y int, copy string, terms array<string>, counts array<long>")
+    # a labelled id that several rows hold is one example
+    one = found.groupBy("id", "y").agg(F.min(F.struct("copy", "terms", "counts")).alias("least"))
+    return one.select("id", "y", "least.*")
 
 
 def choose_terms(examples: DataFrame) -> DataFrame:
@@ -93,10 +100,8 @@ def choose_terms(examples: DataFrame) -> DataFrame:
         part(a, (a + b) * n1 / total) + part(b, (a + b) * n0 / total)
         + part(n1 - a, (total - a - b) * n1 / total) + part(n0 - b, (total - a - b) * n0 / total)
     )
-    chosen = found.where((a / n1 > LEAST_LIFT * b / n0) & (a > 1)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    # a term counts for as much as it tells the classes apart, besides being rare
-    idf = F.log((total + 1) / (a + b + 0.5)) * (a / n1) / (a / n1 + b / n0)
-    return chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term", idf.alias("idf"))
+    chosen = found.where((a / n1 > LEAST_LIFT * b / n0) & (a > 1)).where(ratio >= LEAST_RATIO)
+    return chosen.select("term", F.log((total + 1) / (a + b + 0.5)).alias("idf"))
 
 
 class BlockMaxIndex:
@@ -131,6 +136,8 @@ class BlockMaxIndex:
             self.postings[t] = (places, values, np.searchsorted(places, np.arange(blocks + 1) * BLOCK))
             self.most[t] = most
         self.blocks = blocks
+        #: Blocks whose postings were read so far.
+        self.opened = 0
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         pairs = sorted((self.number[t], n) for t, n in counts.items() if t in self.number)
@@ -147,35 +154,38 @@ class BlockMaxIndex:
             return []
         bound = sum(v * self.most[t] for t, v in known)
         order = np.argsort(-bound, kind="stable")
-        # the k-th best of the most promising blocks is what any other block has to reach
-        places, scores = self._exact(known, order[:4])
-        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = order[4:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-9)]
-        if len(rest):
-            more, found = self._exact(known, rest)
+        places, scores = np.zeros(0, np.int64), np.zeros(0)
+        start, step = 0, 2
+        while start < len(order):
+            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+            batch = order[start : start + step]
+            batch = batch[(bound[batch] > 0) & (bound[batch] >= least - 1e-9)]
+            if not len(batch):
+                break  # bounds fall, so every later block is below the k-th best as well
+            more, found = self._exact(known, np.sort(batch))
+            self.opened += len(batch)
             places, scores = np.concatenate([places, more]), np.concatenate([scores, found])
+            start, step = start + step, 2 * step
         scores = np.round(scores, 12)
         best = np.lexsort((self.ids[places], -scores))[:k]
         return [(float(scores[i]), int(self.ids[places[i]]), float(self.labels[places[i]])) for i in best]
 
     def _exact(self, known: list[tuple[int, float]], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the examples in some blocks that share a term with the text."""
-        wanted = np.zeros(self.blocks, bool)
-        wanted[blocks] = True
-        scores = np.zeros(self.blocks * BLOCK)
-        for t, v in known:
-            places, weights, cuts = self.postings[t]
-            if len(blocks) <= 4:
-                for block in blocks.tolist():
-                    a, b = cuts[block], cuts[block + 1]
-                    if a < b:
-                        scores[places[a:b]] += v * weights[a:b]
-            else:
-                scores[places] += v * weights
-        places = np.flatnonzero(scores > 0)
-        places = places[wanted[places // BLOCK]]
-        return places, scores[places]
+        breaks = np.flatnonzero(np.diff(blocks) > 1) + 1
+        places, scores = [], []
+        for stretch in np.split(blocks, breaks):  # neighbouring blocks are read as one
+            first, last = int(stretch[0]), int(stretch[-1]) + 1
+            found = np.zeros((last - first) * BLOCK)
+            for t, v in known:
+                at, weights, cuts = self.postings[t]
+                a, b = cuts[first], cuts[last]
+                if a < b:
+                    found[at[a:b] - first * BLOCK] += v * weights[a:b]
+            hit = np.flatnonzero(found > 0)
+            places.append(hit + first * BLOCK)
+            scores.append(found[hit])
+        return np.concatenate(places), np.concatenate(scores)
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
         """The share of label 1 among the neighbours, weighted by cosine, and the neighbours' ids."""
@@ -190,16 +200,17 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, *, threshold: float
     spark = docs.sparkSession
     work = scratch(spark, "toxicity")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text).alias("text"))
-    known = saved(work, learnable(labels, label, id_col), "labels")
-    examples = saved(work, _term_sets(rows.join(known, "id").select("id", "y", "text").dropDuplicates(["id"])), "examples")
-    chosen = saved(work, choose_terms(examples), "terms")
-    idf = {r["term"]: r["idf"] for r in chosen.collect()}  # at most MAX_TERMS
-    sample = examples.select("id").orderBy(F.xxhash64("id"), "id").limit(MAX_EXAMPLES)
-    counted = _chosen_counts(rows.join(saved(work, sample, "sample"), "id", "left_semi").dropDuplicates(["id"]), idf)
+    sample = learnable(labels, label, id_col).orderBy(F.xxhash64("id"), "id").limit(MAX_EXAMPLES)
+    sample = saved(work, sample, "sample")
+    examples = saved(work, _term_counts(rows.join(F.broadcast(sample), "id")), "examples")  # at most MAX_EXAMPLES
+    chosen = saved(work, choose_terms(examples), "terms")  # terms of the sample only
+    idf = {r["term"]: r["idf"] for r in chosen.collect()}
     counts: dict[int, dict[str, int]] = {}
-    for r in counted.join(known, "id").select("id", "y", "terms", "counts").collect():  # at most MAX_EXAMPLES, chosen terms only
-        counts[r["id"]] = (r["y"], dict(zip(r["terms"], r["counts"])))
-    index = spark.sparkContext.broadcast(BlockMaxIndex(idf, [(key, y, c) for key, (y, c) in counts.items()]))
+    spread = examples.select("id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n"))))
+    for r in spread.join(F.broadcast(chosen), "term").select("id", "term", "n").collect():
+        counts.setdefault(r["id"], {})[r["term"]] = r["n"]
+    index = BlockMaxIndex(idf, [(r["id"], r["y"], counts.get(r["id"], {})) for r in examples.select("id", "y").collect()])
+    index = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = index.value
@@ -215,21 +226,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, *, threshold: float
     return found.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours")
 
 
-def _chosen_counts(rows: DataFrame, idf: dict[str, float]) -> DataFrame:
-    chosen = frozenset(idf)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                found = [[(t, n) for t, n in terms(body).items() if t in chosen] for body in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))], names=["id", "terms", "counts"]
-                )
-
-    return rows.select("id", "text").mapInArrow(run, "id long, terms array<string>, counts array<long>")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "toxic")
     return found.withColumnRenamed("id", "doc_id")

@@ -1,6 +1,7 @@
 """The text operators against brute force, SQL and odd tables."""
 
 import itertools
+import math
 import os
 import random
 import re
@@ -428,12 +429,73 @@ def test_block_max_search_is_exact():
         assert [round(c, 9) for c, _, _ in index.nearest(query)] == [c for c, _ in best]
 
 
+def test_block_max_search_leaves_blocks_unread():
+    """Examples of 20 rare terms: a text of one of them reads its blocks, not those that only hold the common term."""
+    rng = random.Random(7)
+    examples = [(i, i % 2, {f"t{i % 20}": 3, "common": 1}) for i in range(4000)]
+    idf = {f"t{i}": 3.0 for i in range(20)} | {"common": 0.1}
+    index = toxic_neighbours.BlockMaxIndex(idf, examples)
+    for _ in range(20):
+        t = rng.randrange(20)
+        near = index.nearest({f"t{t}": 3, "common": 1})
+        assert [key for _, key, _ in near] == [t + 20 * i for i in range(15)]
+    assert index.opened < 20 * index.blocks / 4
+
+
+def test_toxicity_matches_brute_force(spark):
+    """The whole query: terms chosen, weights, cosines, the nearest examples and scores, with copies and odd rows."""
+    rng = random.Random(8)
+    bad, plain = [f"vile{c}" for c in "abcdef"], [f"calm{c}{d}" for c in "abcdefgh" for d in "xyz"]
+    texts = {}
+    for i in range(240):
+        body = [rng.choice(plain) for _ in range(rng.randint(0, 30))]
+        body += [rng.choice(bad) for _ in range(rng.randint(1, 4))] if i % 3 == 0 and rng.random() < 0.9 else []
+        texts[i] = " ".join(body)
+    texts[12] = texts[9] = texts[6]
+    texts[30] = None
+    labelled = {i: int(i % 3 == 0) for i in texts if i % 7}
+    docs = spark.createDataFrame(list(texts.items()) + [(6, texts[6]), (None, "vilea")], "doc_id long, text string").repartition(5)
+    labels = _labels(spark, [(i, 0, y) for i, y in labelled.items()] + [(6, 0, 1)])
+    found = toxic_neighbours.classify(docs, labels, "toxic").collect()
+    assert len(found) == len(texts) + 2
+
+    learn = {i: y for i, y in labelled.items() if zlib.crc32(str(i).encode()) % 4 != 2}
+    counts = {i: toxic_neighbours.terms(t or "") for i, t in texts.items()}
+    distinct = {(y, frozenset(counts[i])): i for i, y in learn.items()}
+    total, n1 = len(distinct), sum(y for y, _ in distinct)
+    n0, idf = total - n1, {}
+    for term in {t for _, s in distinct for t in s}:
+        a, b = (sum(term in s for y, s in distinct if y == label) for label in (1, 0))
+        cells = [(a, (a + b) * n1), (b, (a + b) * n0), (n1 - a, (total - a - b) * n1), (n0 - b, (total - a - b) * n0)]
+        ratio = 2 * sum(x * math.log(x * total / e) for x, e in cells if x > 0)
+        if a > 1 and a / n1 > toxic_neighbours.LEAST_LIFT * b / n0 and ratio >= toxic_neighbours.LEAST_RATIO:
+            idf[term] = math.log((total + 1) / (a + b + 0.5))
+    assert idf
+
+    def unit(words):
+        v = {t: (1 + math.log(n)) * idf[t] for t, n in words.items() if t in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    examples = {i: unit(counts[i]) for i in learn}
+    silent = [learn[i] for i, v in examples.items() if not v]
+    prior = sum(silent) / len(silent)
+    for row in found:
+        v = unit(toxic_neighbours.terms("vilea") if row.id is None else counts[row.id])
+        near = sorted((-round(sum(x * e.get(t, 0.0) for t, x in v.items()), 12), i) for i, e in examples.items())
+        near = [(-c, i) for c, i in near if c < 0][: toxic_neighbours.NEIGHBOURS]
+        weight = toxic_neighbours.PRIOR_WEIGHT
+        score = (sum(c * learn[i] for c, i in near) + weight * prior) / (sum(c for c, _ in near) + weight)
+        assert abs(row.score - score) < 1e-9
+        assert row.neighbours == [i for _, i in near]
+
+
 def test_every_different_labelled_text_counts_for_terms(spark):
     shared = min((f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)), key=lambda t: zlib.crc32(t.encode()))
     names = ["x" + chr(97 + i) + chr(97 + j) for i in range(26) for j in range(2)]
     rows = [(i, i % 2, f"{shared} {name}" + " bad" * (i % 2)) for i, name in enumerate(names)]
     rows += [(100 + i, 1, f"{shared} copied bad") for i in range(9)]
-    examples = toxic_neighbours._term_sets(spark.createDataFrame(rows, "id long, y int, text string"))
+    examples = toxic_neighbours._term_counts(spark.createDataFrame(rows, "id long, y int, text string"))
     assert examples.select("y", "copy").distinct().count() == len(names) + 1
     assert "bad" in {r.term for r in toxic_neighbours.choose_terms(examples).collect()}
 
