@@ -29,8 +29,9 @@ from islets.operators.hooking import (
     star_detection,
     unconditional_star_hook,
 )
+from islets.operators.hub_trees import degree_histogram, degree_limit, split_hub_trees
 from islets.operators.min_label import hash_min_round
-from islets.operators.rows import local_minimum
+from islets.operators.rows import both_directions, local_minimum
 from islets.operators.stars import (
     as_vertex_pairs,
     drop_virtual,
@@ -197,6 +198,22 @@ def _hash_to_min_round(edges: DataFrame) -> DataFrame:
     return hash_to_min_round(live.select("id", F.col("nbr").alias("member")).unionByName(own))
 
 
+def _split_trees(edges: DataFrame) -> DataFrame:
+    """Of each vertex: edges that it and its virtual ones carry, and how many of these are above the limit."""
+    links = both_directions(split_hub_trees(_linked(edges), degree=4))
+    per_vertex = links.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("nbr.id") != F.col("id.id")).alias("edges")
+    )
+    return per_vertex.groupBy(F.col("id.id").alias("id")).agg(
+        F.sum("edges").alias("edges"), F.count_if(F.col("n") > 4).alias("above_limit")
+    )
+
+
+def _degree_limit(edges: DataFrame) -> DataFrame:
+    degrees = _linked(edges).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return degree_limit(degree_histogram(degrees))
+
+
 def _split(edges: DataFrame) -> DataFrame:
     return split_hubs(_linked(edges), degree=HUB_DEGREE, salts=SALTS)
 
@@ -336,6 +353,8 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cc_ccf": _whole_job(event_user, "ccf"),
         "cc_ccmr": _whole_job(event_user, "ccmr"),
         "cc_alternating": _whole_job(event_user, "alternating"),
+        "cc_alternating_hub_trees": _whole_job(order_part, "alternating_hub_split", hub_degree=4),
+        "cc_alternating_hub_default": _whole_job(event_user, "alternating_hub_split"),
         "cc_alternating_hub_split": _whole_job(
             order_part, "alternating_hub_split", hub_degree=HUB_DEGREE
         ),
@@ -376,6 +395,8 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "large_star": _on(order_part, lambda edges: large_star(_once(edges))),
         "small_star": _on(order_part, lambda edges: small_star(large_star(_once(edges)))),
         "split_hubs": _on(order_part, _split),
+        "split_hub_trees": _on(order_part, _split_trees),
+        "degree_limit": _on(event_user, _degree_limit),
         "drop_virtual": _on(
             order_part, lambda edges: drop_virtual(star_labels(as_vertex_pairs(_split(edges))))
         ),
@@ -530,6 +551,8 @@ directed AS (SELECT src, dst FROM largest UNION ALL SELECT dst, src FROM largest
         "cc_hash_min": _label_query(ORDER_PART),
         "cc_hash_min_hubs": _label_query(ORDER_PART),
         "cc_sgc_hubs": _label_query(ORDER_PART),
+        "cc_alternating_hub_trees": _label_query(ORDER_PART),
+        "cc_alternating_hub_default": _label_query(EVENT_USER),
         "cc_alternating_hub_split": _label_query(ORDER_PART),
         "parse_edge_lines": """
 WITH lines AS (
@@ -623,6 +646,16 @@ UNION SELECT id, f FROM j WHERE id > f AND id < x""",
         "split_hubs": on_parts(
             SPLIT, select="SELECT id, salt::INTEGER AS salt, nbr, nbr_salt::INTEGER AS nbr_salt FROM split"
         ),
+        "split_hub_trees": on_parts(
+            select="SELECT s AS id, count(*)::BIGINT AS edges, 0::BIGINT AS above_limit FROM e GROUP BY s"
+        ),
+        "degree_limit": on_events(
+            "d AS (SELECT count(*)::DOUBLE AS n FROM e GROUP BY s)",
+            "l AS (SELECT 1::BIGINT << at::INTEGER AS most FROM range(2, 62) r(at))",
+            select="""SELECT min(most) AS degree_limit FROM l
+WHERE 2 * coalesce((SELECT sum(n) FROM d WHERE n >= most), 0)
+    <= 0.01::DOUBLE * (SELECT sum(n) FROM d) * (most - 1)""",
+        ),
         "drop_virtual": on_parts(
             SPLIT,
             select="""SELECT id, least(id * 16, min(nbr * 16 + nbr_salt)) // 16 AS component

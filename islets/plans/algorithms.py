@@ -24,6 +24,12 @@ from islets.operators.hooking import (
     star_detection,
     unconditional_star_hook,
 )
+from islets.operators.hub_trees import (
+    LEAST_LIMIT,
+    degree_histogram,
+    degree_limit,
+    split_hub_trees,
+)
 from islets.operators.lookup import Hubs
 from islets.operators.min_label import label_news, merge_labels, with_kept
 from islets.operators.rows import local_minimum
@@ -294,7 +300,34 @@ def alternating_hub_split(
     hub_degree: int | None = None,
     salts: int | None = None,
 ) -> DataFrame:
-    """Star alternation after splitting vertices with more than ``hub_degree`` neighbours."""
+    """Star alternation after splitting vertices with more than ``hub_degree`` neighbours.
+
+    Hubs become trees of virtual vertices; without ``hub_degree`` the limit comes from the histogram of
+    degrees.  If no degree is above the limit, the graph is its own split and nothing is written.
+    ``salts`` asks for that many virtual vertices a hub instead, in one level; so does a ``hub_degree``
+    too small for a tree (:data:`LEAST_LIMIT`), with as many as it takes.
+    """
+    if salts is not None or (hub_degree is not None and hub_degree < LEAST_LIMIT):
+        return _alternating_salted(run, graph, hub_degree, salts)
+    counted = graph.symmetric().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    degrees = run.save("degrees", counted, most=F.max("n"))
+    degree = hub_degree or degree_limit(degree_histogram(degrees.frame)).first()["degree_limit"]
+    graph.count = degrees.rows
+    if degrees.counts["most"] <= degree:
+        run.work.drop(degrees)
+        return _labels_of_stars(_alternate(run, graph, graph.edges(), graph.links).frame)
+    hubs = run.hubs(2 * graph.links)
+    split = split_hub_trees(graph.symmetric(), degree=degree, degrees=degrees.frame, hubs=hubs)
+    table = run.save("split_hubs", split)
+    run.work.drop(degrees)
+    # each virtual vertex adds itself and one link up
+    graph.count += table.rows - graph.links
+    stars = _alternate(run, graph, table.frame, table.rows)
+    run.work.drop(table)
+    return drop_virtual(_labels_of_stars(stars.frame))
+
+
+def _alternating_salted(run: Rounds, graph: Graph, hub_degree: int | None, salts: int | None) -> DataFrame:
     degree = hub_degree or run.hub_rows
     split = split_hubs(
         graph.symmetric(), degree=degree, salts=salts, hubs=run.hubs(2 * graph.links)

@@ -55,6 +55,20 @@ def test_virtual_vertices_stay_apart_from_real_ones(spark, salts):
     assert as_dict(labels) == components(EXAMPLE)
 
 
+@pytest.mark.parametrize("options", [{}, {"hub_degree": 4}, {"hub_degree": 4, "hub_rows": 15}], ids=str)
+def test_hub_trees_give_the_same(spark, options):
+    edges = powerlaw_graph()
+    run = run_components(frame(spark, edges), "alternating_hub_split", collect_stats=True, **options)
+    assert as_dict(run.labels) == components(edges)
+    assert [r.name for r in run.steps][1:3] == ["degrees", "split_hubs"]
+
+
+def test_nothing_is_written_when_nothing_splits(spark):
+    run = run_components(frame(spark, EXAMPLE), "alternating_hub_split", hub_degree=100)
+    assert as_dict(run.labels) == components(EXAMPLE)
+    assert "split_hubs" not in [r.name for r in run.steps]
+
+
 @pytest.mark.parametrize("algorithm", ["ccf", "ccmr", "tree_pruning_opt"])
 def test_largest_and_smallest_longs(spark, algorithm):
     labels = connected_components(frame(spark, NAMED["extremes"]), algorithm)

@@ -1,6 +1,10 @@
 """Single steps on small graphs, row by row."""
 
-from graphs import EXAMPLE
+from collections import Counter
+
+import pytest
+
+from graphs import EXAMPLE, components
 from islets.operators.ccf import ccf_iterate
 from islets.operators.ccmr import ccmr_round
 from islets.operators.hooking import (
@@ -10,6 +14,8 @@ from islets.operators.hooking import (
     star_detection,
     unconditional_star_hook,
 )
+from islets.operators.hub_trees import degree_histogram, degree_limit, split_hub_trees
+from islets.operators.lookup import Hubs
 from islets.operators.min_label import hash_min_round
 from islets.operators.stars import as_vertex_pairs, drop_virtual, labels_changed, large_star, small_star
 from islets.operators.stars import split_hubs
@@ -124,6 +130,46 @@ def test_a_hub_gets_as_many_virtual_vertices_as_it_needs(spark):
     assert max(row["count"] for row in sizes) < 100
 
 
+@pytest.mark.parametrize("hubs", [None, Hubs(50)])
+@pytest.mark.parametrize("degree", [4, 5, 20])
+def test_no_vertex_of_the_trees_is_above_the_limit(spark, degree, hubs):
+    """Two hubs that are neighbours of each other and of many; trees of several levels."""
+    edges = [(1000, i) for i in range(300)] + [(2000, i) for i in range(100, 500)] + [(1000, 2000), (1, 2)]
+    links = split_hub_trees(symmetric(spark, edges), degree=degree, hubs=hubs).collect()
+    assert len(links) == len(set(links))
+    degrees = Counter()
+    for a, b in links:
+        assert a > b
+        degrees.update([a, b])
+    assert max(degrees.values()) <= degree
+    assert max(v.level for v in degrees) > (1 if degree < 20 else 0)
+    between = [(a, b) for a, b in links if a.id != b.id]
+    assert sorted((a.id, b.id) for a, b in between) == sorted((max(e), min(e)) for e in edges)
+    # virtual vertices have one link up each, and all lead to their real vertex
+    virtual = {v for v in degrees if v.salt}
+    assert len(links) - len(between) == len(virtual)
+    names = {v: i for i, v in enumerate(sorted(degrees))}
+    inner = [(names[a], names[b]) for a, b in links if a.id == b.id]
+    first = {names[v]: names[min(w for w in degrees if w.id == v.id)] for v in virtual}
+    found = components(inner)
+    assert all(found[v] == first[v] for v in first)
+    assert all(v.salt == 0 for v in degrees if v.level == 0)
+
+
+def test_trees_of_an_empty_graph_and_a_limit_without_room(spark):
+    none = symmetric(spark, [(1, 2)]).limit(0)
+    assert split_hub_trees(none, degree=4).collect() == []
+    assert degree_limit(degree_histogram(none.groupBy("id").count().withColumnRenamed("count", "n"))).first()[0] == 4
+    with pytest.raises(ValueError):
+        split_hub_trees(none, degree=3)
+
+
+def test_degree_limit(spark):
+    """One hub of 1,024 links beside 10,000 vertices of one: 2 x 1,024 <= 0.01 x 11,024 x (32 - 1)."""
+    degrees = spark.range(10_001).selectExpr("id", "if(id = 0, 1024L, 1L) AS n")
+    assert degree_limit(degree_histogram(degrees)).first()["degree_limit"] == 32
+
+
 def test_drop_virtual(spark):
     split = spark.createDataFrame(
         [(2, 0, 1, 0), (2, 1, 2, 0)], "id long, salt int, nbr long, nbr_salt int"
