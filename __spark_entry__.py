@@ -651,7 +651,7 @@ UNION SELECT id, f FROM j WHERE id > f AND id < x""",
         ),
         "degree_limit": on_events(
             "d AS (SELECT count(*)::DOUBLE AS n FROM e GROUP BY s)",
-            "l AS (SELECT 1::BIGINT << at::INTEGER AS most FROM range(2, 62) r(at))",
+            "l AS (SELECT (1::BIGINT << b::INTEGER) AS most FROM range(2, 62) r(b))",
             select="""SELECT min(most) AS degree_limit FROM l
 WHERE 2 * coalesce((SELECT sum(n) FROM d WHERE n >= most), 0)
     <= 0.01::DOUBLE * (SELECT sum(n) FROM d) * (most - 1)""",
