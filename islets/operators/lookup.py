@@ -22,6 +22,9 @@ HUB_ROWS = 4_000_000
 MAX_HUBS = 100_000
 """Most keys that are broadcast, each with a few longs."""
 
+HASH_BUCKETS = 1 << 12
+"""Into how many buckets :func:`crowded` deals the keys."""
+
 
 def _as_it_is(frame: DataFrame) -> DataFrame:
     return frame
@@ -42,6 +45,21 @@ class Hubs:
 SAFE = Hubs()
 
 
+def crowded(rows: DataFrame, limit: int, *keys: str) -> bool:
+    """Whether a value of one of ``keys`` may stand in more than ``limit`` rows.
+
+    Rows are counted by hash of the key.  A bucket holds all rows of its keys, so if no bucket is above
+    the limit, no key is.  The counts combine before the shuffle, so this is one pass that moves
+    ``HASH_BUCKETS`` rows a task at most.
+    """
+    buckets = (
+        F.struct(F.lit(i).alias("key"), F.pmod(F.xxhash64(key), F.lit(HASH_BUCKETS)).alias("bucket"))
+        for i, key in enumerate(keys)
+    )
+    counted = rows.select(F.inline(F.array(*buckets))).groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return not counted.where(F.col("n") > limit).isEmpty()
+
+
 def kept(per_key: DataFrame, hubs: Hubs | None) -> DataFrame:
     return per_key if hubs is None else hubs.keep(per_key)
 

@@ -40,14 +40,29 @@ def with_kept(labels: DataFrame, heard: DataFrame) -> DataFrame:
 
 
 def merge_labels(messages: DataFrame, *extra) -> DataFrame:
-    """The least label per vertex, and whether it is below the one of before."""
+    """The least label per vertex, the one of before, and whether it is below that."""
     return messages.groupBy("id").agg(
         F.min("label").alias("label"),
+        F.max("prev").alias("prev"),
         (F.min("label") < F.max("prev")).alias("changed"),
         *extra,
     )
 
 
+def shortcut_messages(labels: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
+    """Rows ``(id, label, prev)``: what each vertex keeps, and what it learns from the vertices that labels name.
+
+    ``labels`` is a result of :func:`merge_labels`.  A vertex with a new label tells it to the vertex that
+    its former label names, and asks the one that its new label names for that one's label.
+    """
+    told = labels.where("changed").select(F.col("prev").alias("id"), "label")
+    named = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+    asked = lookup(labels.select("id", "label"), named, "label", hubs).where(F.col("further") < F.col("label"))
+    heard = told.unionByName(asked.select("id", F.col("further").alias("label")))
+    nothing = F.lit(None).cast(labels.schema["label"].dataType).alias("prev")
+    return labels.select("id", "label", "prev").unionByName(heard.select("id", "label", nothing))
+
+
 def hash_min_round(labels: DataFrame, edges: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
     """One synchronous round over symmetric ``edges``: ``(id, label)`` to ``(id, label)``."""
     return merge_labels(label_messages(labels, edges, hubs=hubs)).select("id", "label")

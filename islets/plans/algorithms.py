@@ -31,8 +31,8 @@ from islets.operators.hub_trees import (
     split_hub_trees,
 )
 from islets.operators.lookup import Hubs
-from islets.operators.min_label import label_news, merge_labels, with_kept
-from islets.operators.rows import local_minimum
+from islets.operators.min_label import label_news, merge_labels, shortcut_messages, with_kept
+from islets.operators.rows import both_directions, local_minimum
 from islets.operators.stars import (
     as_vertex_pairs,
     drop_virtual,
@@ -158,6 +158,8 @@ def hash_min(run: Rounds, graph: Graph) -> DataFrame:
     """
     hubs = run.hubs(2 * graph.links)
     degrees = _edge_degrees(run, graph, hubs)
+    A label names a vertex of the component, so after each hop labels also move along the labels
+    themselves: without that, a round a hop is needed, and deep graphs have many.
     adjacency = bucketed_adjacency(run, graph.symmetric(), hubs, degrees)
     by_id = ("id", bucket_count(run))
     first = local_minimum(graph.symmetric()).select(
@@ -169,8 +171,11 @@ def hash_min(run: Rounds, graph: Graph) -> DataFrame:
         heard = adjacency.heard(label_news(labels.frame))
         messages = with_kept(labels.frame, heard)
         new = run.step(
-            "hash_min", messages, merge_labels, buckets=by_id, changed=F.count_if("changed")
+            "shortcut", known, merge_labels, buckets=by_id, changed=F.count_if("changed")
         )
+        spread = run.step("hash_min", messages, merge_labels)
+        labels = _replace(run, labels, spread)
+        known = shortcut_messages(labels.frame, hubs=run.hubs(labels.rows, labels.frame, "label"))
         labels = _replace(run, labels, new)
     adjacency.drop(run)
     return run.work.unlist(labels).select("id", F.col("label").alias("component"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from islets.operators.lookup import HUB_ROWS, Hubs
+from islets.operators.lookup import HUB_ROWS, Hubs, crowded
 from islets.plans.workspace import Table, Workspace
 
 
@@ -60,12 +60,17 @@ class Rounds:
         self.rounds = 0
         self._last = time.monotonic()
 
-    def hubs(self, rows: int) -> Hubs | None:
-        """How a step over at most ``rows`` rows treats hubs; none can be among few rows."""
-        return None if rows <= self.hub_rows else Hubs(self.hub_rows, self._keep)
+    def hubs(self, rows: int, frame: DataFrame | None = None, *keys: str) -> Hubs | None:
+        """How a step over at most ``rows`` rows of ``frame`` treats hubs among the ``keys`` it joins on.
 
-    def _keep(self, per_key: DataFrame) -> DataFrame:
-        """Write a per-key frame until the step that reads it has been written itself."""
+        None can be among few rows; among many, the keys are counted in buckets before the step is split.
+        """
+        if rows <= self.hub_rows or (frame is not None and not crowded(frame, self.hub_rows, *keys)):
+            return None
+        return Hubs(self.hub_rows, self.keep)
+
+    def keep(self, per_key: DataFrame) -> DataFrame:
+        """Write a frame that is read several times, and keep it until the step that reads it has been written itself."""
         table = self.work.save(per_key, "per-key")
         self._per_key.append(table)
         return table.frame

@@ -132,3 +132,16 @@ def test_guard_against_endless_loops(spark):
 def test_unknown_algorithm(spark):
     with pytest.raises(ValueError, match="alternating"):
         connected_components(frame(spark, EXAMPLE), "fastest")
+
+
+def test_labels_move_along_labels(spark):
+    run = run_components(frame(spark, PATH), "hash_min")
+    assert as_dict(run.labels) == dict.fromkeys(range(65), 0)
+    assert run.rounds <= 8  # 64 with one hop a round
+
+
+def test_rounds_on_hub_trees_run_on_longs(spark):
+    edges = [("hub", f"v{i:02}") for i in range(30)] + [("a", "v07"), ("x", "y")]
+    run = run_components(frame(spark, edges, "src string, dst string"), "alternating_hub_split", hub_degree=4)
+    assert as_dict(run.labels) == {v: "x" if v in "xy" else "a" for edge in edges for v in edge}
+    assert "number_vertices" in [step.name for step in run.steps]
