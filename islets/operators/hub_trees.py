@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ def split_hub_trees(
     degree: int,
     degrees: DataFrame | None = None,
     hubs: Hubs | None = SAFE,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Give each vertex with more than ``degree`` neighbours a tree of virtual ones below it.
 
@@ -57,6 +60,7 @@ def split_hub_trees(
     Neighbours go to leaves by hash, each leaf half filled on average; those beyond a leaf's places go
     to a further leaf of the same hash, so that the limit holds for every hash.  Leaves hang in order on
     inner vertices of ``degree - 1`` children each, level upon level, until ``degree`` of them are left.
+    ``keep`` may write the ends with their leaves and return them read back: they are read several times.
     """
     if degree < LEAST_LIMIT:
         raise ValueError(f"a tree needs a degree of at least {LEAST_LIMIT}")
@@ -75,7 +79,7 @@ def split_hub_trees(
     ends = at_hub.select("id", "nbr", leaf.alias("leaf")).unionByName(
         joined.where("bucket IS NULL").select("id", "nbr", F.lit(None).cast("long").alias("leaf"))
     )
-    ends = kept(ends, hubs)
+    ends = kept(ends, hubs) if keep is None else keep(ends)
 
     # the two rows of an edge know one end's leaf each
     own = F.coalesce(F.col("leaf") + 1, zero)
@@ -90,11 +94,12 @@ def split_hub_trees(
 
     leaves = ends.where("leaf IS NOT NULL").select("id", "leaf").distinct()
     width = leaves.groupBy("id").agg((F.max("leaf") + 1).alias("width"))
-    leaves = lookup(leaves, kept(width, hubs), "id", hubs)
     # level t is too wide for the real vertex while more than degree * places^(t-1) leaves lie below
     wide = F.filter(F.sequence(one, F.lit(40)), lambda t: F.col("width") > degree * F.pow(places, t - 1))
+    tops = width.select("id", (F.size(wide) + 1).alias("top"))  # once a hub, not once a leaf
+    leaves = lookup(leaves, kept(tops, hubs), "id", hubs)
     t, top = F.col("t"), F.col("top")
-    steps = leaves.withColumn("top", F.size(wide) + 1).withColumn("t", F.explode(F.sequence(one, top)))
+    steps = leaves.withColumn("t", F.explode(F.sequence(one, top)))
     under = lambda levels: F.floor(F.col("leaf") / F.pow(places, levels)) + 1
     is_top = t == top
     tree = steps.select(
@@ -103,3 +108,27 @@ def split_hub_trees(
     ).distinct()
     tree = tree.select(F.greatest("id", "nbr").alias("id"), F.least("id", "nbr").alias("nbr"))
     return links.unionByName(tree)
+
+
+def vertex_numbers(links: DataFrame) -> DataFrame:
+    """``(vertex, number)``: a long for each vertex of ``links``; the frame has to be written before it is read twice."""
+    ends = links.select(F.explode(F.array("id", "nbr")).alias("vertex")).distinct()
+    return ends.select("vertex", F.monotonically_increasing_id().alias("number"))
+
+
+def numbered_links(links: DataFrame, numbers: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
+    """``links`` between the numbers of their ends, larger number first."""
+    at_id = numbers.select(F.col("vertex").alias("id"), F.col("number").alias("a"))
+    at_nbr = numbers.select(F.col("vertex").alias("nbr"), F.col("number").alias("b"))
+    ends = lookup(lookup(links, at_id, "id", hubs).select("a", "nbr"), at_nbr, "nbr", hubs)
+    return ends.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("nbr"))
+
+
+def named_trees(numbers: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(id, parent)`` of the real vertices, from labels ``(id, component)`` over their numbers.
+
+    Numbers do not follow the order of ids: the label is still to be found among the ids of a tree.
+    """
+    real = numbers.where(F.col("vertex.level") == 0)
+    named = real.select(F.col("vertex.id").alias("real"), F.col("number").alias("id"))
+    return named.join(labels, "id").select(F.col("real").alias("id"), F.col("component").alias("parent"))

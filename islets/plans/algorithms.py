@@ -28,7 +28,10 @@ from islets.operators.hub_trees import (
     LEAST_LIMIT,
     degree_histogram,
     degree_limit,
+    named_trees,
+    numbered_links,
     split_hub_trees,
+    vertex_numbers,
 )
 from islets.operators.lookup import Hubs
 from islets.operators.min_label import label_news, merge_labels, shortcut_messages, with_kept
@@ -327,9 +330,17 @@ def alternating_hub_split(
     run.work.drop(degrees)
     # each virtual vertex adds itself and one link up
     graph.count += table.rows - graph.links
-    stars = _alternate(run, graph, table.frame, table.rows)
+    # the rounds run on longs: least structs are found by sorting, least longs by hashing
+    numbers = run.work.save(vertex_numbers(table.frame), "numbers")
+    hubs = run.hubs(2 * table.rows, both_directions(table.frame), "id")
+    links = run.save("number_vertices", numbered_links(table.frame, numbers.frame, hubs=hubs))
     run.work.drop(table)
-    return drop_virtual(_labels_of_stars(stars.frame))
+    stars = _alternate(run, graph, links.frame, links.rows)
+    run.work.drop(links)
+    trees = run.save("name_trees", named_trees(numbers.frame, _labels_of_stars(stars.frame)))
+    run.work.drop(numbers)
+    run.work.drop(stars)
+    return canonical_label(trees.frame, hubs=run.hubs(trees.rows, trees.frame, "parent"))
 
 
 def _alternating_salted(run: Rounds, graph: Graph, hub_degree: int | None, salts: int | None) -> DataFrame:
