@@ -144,6 +144,16 @@ def _once(edges: DataFrame) -> DataFrame:
     return _linked(edges).where("id > nbr")
 
 
+def _links(edges: DataFrame) -> tuple[Rounds, DataFrame, int]:
+    """A run for single steps, each undirected edge once as written by it, and their number.
+
+    Steps read their input several times, so it is written before, as between the rounds of a whole job.
+    """
+    run = Rounds(edges.sparkSession, "steps")
+    table = run.work.save(_once(edges), "edges")
+    return run, table.frame, table.rows
+
+
 # --- queries --------------------------------------------------------------------------------------
 
 
@@ -163,8 +173,33 @@ def _on_sizes(graph, report):
     return _on_labels(graph, lambda labels: report(component_sizes(labels)))
 
 
+def _first_selection(edges: DataFrame, **options) -> tuple[Rounds, DataFrame]:
+    run, once, rows = _links(edges)
+    live = both_directions(once)
+    return run, min_selection(live, hubs=run.hubs(2 * rows, live, "id"), **options)
+
+
 def _first_heard(edges: DataFrame) -> DataFrame:
-    return min_selection(_linked(edges))
+    run, heard = _first_selection(edges)
+    return run.work.save(heard, "heard").frame
+
+
+def _prune_links(edges: DataFrame, **options) -> DataFrame:
+    run, heard = _first_selection(edges)
+    table = run.work.save(heard, "heard")
+    hubs = run.hubs(table.rows, table.frame, "id")
+    return prune_links(table.frame, hubs=hubs, **options)
+
+
+def _large_star(edges: DataFrame) -> tuple[Rounds, DataFrame]:
+    run, once, rows = _links(edges)
+    return run, large_star(once, hubs=run.hubs(rows, once, "nbr"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    run, links = _large_star(edges)
+    table = run.work.save(links, "large_star")
+    return small_star(table.frame, hubs=run.hubs(table.rows, table.frame, "id"))
 
 
 def _first_parents(edges: DataFrame) -> DataFrame:
@@ -200,7 +235,10 @@ def _hash_to_min_round(edges: DataFrame) -> DataFrame:
 
 def _split_trees(edges: DataFrame) -> DataFrame:
     """Of each vertex: edges that it and its virtual ones carry, and how many of these are above the limit."""
-    links = both_directions(split_hub_trees(_linked(edges), degree=4))
+    run, once, rows = _links(edges)
+    live = both_directions(once)
+    hubs = run.hubs(2 * rows, live, "id")
+    links = both_directions(split_hub_trees(live, degree=4, hubs=hubs, keep=run.keep))
     per_vertex = links.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("nbr.id") != F.col("id.id")).alias("edges")
     )
@@ -215,7 +253,9 @@ def _degree_limit(edges: DataFrame) -> DataFrame:
 
 
 def _split(edges: DataFrame) -> DataFrame:
-    return split_hubs(_linked(edges), degree=HUB_DEGREE, salts=SALTS)
+    run, once, rows = _links(edges)
+    live = both_directions(once)
+    return split_hubs(live, degree=HUB_DEGREE, salts=SALTS, hubs=run.hubs(2 * rows, live, "id"))
 
 
 def _labels_changed(edges: DataFrame) -> DataFrame:
@@ -372,13 +412,13 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "membership_counts": _on(part_orders, membership_counts),
         "graph_counts": _on(event_user, graph_counts),
         # steps of tree pruning
-        "min_selection": _on(order_part, _first_heard),
+        "min_selection": _on(order_part, lambda edges: _first_selection(edges)[1]),
         "min_selection_unpruned": _on(
-            order_part, lambda edges: min_selection(_linked(edges), edge_pruning=False)
+            order_part, lambda edges: _first_selection(edges, edge_pruning=False)[1]
         ),
-        "prune_links": _on(order_part, lambda edges: prune_links(_first_heard(edges))),
+        "prune_links": _on(order_part, _prune_links),
         "prune_links_oblivious": _on(
-            order_part, lambda edges: prune_links(_first_heard(edges), oblivious_seed=True)
+            order_part, partial(_prune_links, oblivious_seed=True)
         ),
         "prune_tree_edges": _on(order_part, lambda edges: prune_tree_edges(_first_heard(edges))),
         "merge_forest": _on(order_part, _merge_forest),
@@ -392,8 +432,8 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ccf_iterate": _on(event_user, lambda edges: ccf_iterate(_once(edges))),
         "ccf_dedup": _on(event_user, lambda edges: ccf_dedup(ccf_iterate(_once(edges)))),
         "ccmr_round": _on(event_user, lambda edges: ccmr_round(_linked(edges))),
-        "large_star": _on(order_part, lambda edges: large_star(_once(edges))),
-        "small_star": _on(order_part, lambda edges: small_star(large_star(_once(edges)))),
+        "large_star": _on(order_part, lambda edges: _large_star(edges)[1]),
+        "small_star": _on(order_part, _small_star),
         "split_hubs": _on(order_part, _split),
         "split_hub_trees": _on(order_part, _split_trees),
         "degree_limit": _on(event_user, _degree_limit),

@@ -77,7 +77,7 @@ def propagate(run: Rounds, parents: Table) -> Table:
     """Point every vertex of a forest at its root: pointers double their reach with each jump."""
     while True:
         run.next_round()
-        hubs = run.hubs(parents.rows)
+        hubs = run.hubs(parents.rows, parents.frame, "parent")
         jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
         table = run.work.save(
             jumped, "propagate", drop=("old",), moved=F.count_if(F.col("old") != F.col("parent"))
@@ -99,7 +99,7 @@ def tree_pruning(
 
     ``oblivious_seed`` is a flag or the set of rounds (from 0) in which it holds.
     """
-    hubs = run.hubs(2 * graph.links)
+    hubs = run.hubs(2 * graph.links, graph.symmetric(), "id")
     messages = min_selection(
         graph.symmetric(), edge_pruning=edge_pruning, hubs=hubs, dedup=False
     )
@@ -113,7 +113,7 @@ def tree_pruning(
             if isinstance(oblivious_seed, bool)
             else len(rounds) in oblivious_seed
         )
-        hubs = run.hubs(heard.rows)
+        hubs = run.hubs(heard.rows, heard.frame, "id")
         # What both halves of the step start from is written, so that what the vertices heard
         # is aggregated once and goes as soon as the links are there.
         minima = run.work.save(heard_minima(heard.frame), "minima")
@@ -125,7 +125,7 @@ def tree_pruning(
         rounds.append(minima)
         run.work.drop(heard)
         messages = min_selection(
-            live.frame, edge_pruning=edge_pruning, hubs=run.hubs(live.rows), dedup=False
+            live.frame, edge_pruning=edge_pruning, hubs=run.hubs(live.rows, live.frame, "id"), dedup=False
         )
         heard = run.step("min_selection", messages)
         run.work.drop(live)
@@ -158,11 +158,11 @@ def hash_min(run: Rounds, graph: Graph) -> DataFrame:
     """Spread labels until none changes; only changed labels are sent again.
 
     Edges and labels lie in buckets, so all that a round shuffles are the messages, combined before.
-    """
-    hubs = run.hubs(2 * graph.links)
-    degrees = _edge_degrees(run, graph, hubs)
     A label names a vertex of the component, so after each hop labels also move along the labels
     themselves: without that, a round a hop is needed, and deep graphs have many.
+    """
+    hubs = run.hubs(2 * graph.links, graph.symmetric(), "id")
+    degrees = _edge_degrees(run, graph, hubs)
     adjacency = bucketed_adjacency(run, graph.symmetric(), hubs, degrees)
     by_id = ("id", bucket_count(run))
     first = local_minimum(graph.symmetric()).select(
@@ -173,12 +173,12 @@ def hash_min(run: Rounds, graph: Graph) -> DataFrame:
         run.next_round()
         heard = adjacency.heard(label_news(labels.frame))
         messages = with_kept(labels.frame, heard)
-        new = run.step(
-            "shortcut", known, merge_labels, buckets=by_id, changed=F.count_if("changed")
-        )
         spread = run.step("hash_min", messages, merge_labels)
         labels = _replace(run, labels, spread)
         known = shortcut_messages(labels.frame, hubs=run.hubs(labels.rows, labels.frame, "label"))
+        new = run.step(
+            "shortcut", known, merge_labels, buckets=by_id, changed=F.count_if("changed")
+        )
         labels = _replace(run, labels, new)
     adjacency.drop(run)
     return run.work.unlist(labels).select("id", F.col("label").alias("component"))
@@ -198,7 +198,7 @@ def hash_to_min(run: Rounds, graph: Graph) -> DataFrame:
     clusters = run.save("start", start, checksum=checksum)
     while True:
         run.next_round()
-        sent = cluster_messages(clusters.frame, hubs=run.hubs(clusters.rows))
+        sent = cluster_messages(clusters.frame, hubs=run.hubs(clusters.rows, clusters.frame, "id"))
         new = run.step("hash_to_min", sent, merge, checksum=checksum)
         unchanged = _same_rows(clusters, new)
         clusters = _replace(run, clusters, new)
@@ -246,7 +246,8 @@ def ccf(run: Rounds, graph: Graph) -> DataFrame:
     frame, rows = graph.edges(), graph.links
     while True:
         run.next_round()
-        messages = ccf_iterate(frame, hubs=run.hubs(2 * rows))
+        hubs = run.hubs(2 * rows, both_directions(frame), "id")
+        messages = ccf_iterate(frame, hubs=hubs)
         new = run.step("ccf", messages)
         pairs = _replace(run, pairs if pairs is not graph.table else None, new)
         frame, rows = pairs.frame, pairs.rows
@@ -264,7 +265,7 @@ def ccmr(run: Rounds, graph: Graph) -> DataFrame:
     frame, rows = graph.symmetric(), 2 * graph.links
     while True:
         run.next_round()
-        messages = ccmr_messages(frame, hubs=run.hubs(rows))
+        messages = ccmr_messages(frame, hubs=run.hubs(rows, frame, "id"))
         new = run.step("ccmr", messages, merge, drop=("more",), more=F.count_if("more"))
         state = _replace(run, state, new)
         frame, rows = state.frame, state.rows
@@ -281,12 +282,11 @@ def _alternate(run: Rounds, graph: Graph, frame: DataFrame, rows: int) -> Table:
     while True:
         run.next_round()
         links = large_star(
-            frame, hubs=run.hubs(rows), dedup=False, oriented=True, loops=False
+            frame, hubs=run.hubs(rows, frame, "nbr"), dedup=False, oriented=True, loops=False
         )
         large = run.step("large_star", links)
-        links = small_star(
-            large.frame, hubs=run.hubs(large.rows), dedup=False, oriented=True, loops=False
-        )
+        hubs = run.hubs(large.rows, large.frame, "id")
+        links = small_star(large.frame, hubs=hubs, dedup=False, oriented=True, loops=False)
         new = run.step("small_star", links)
         run.work.drop(large)
         state = _replace(run, state, new)
@@ -324,8 +324,10 @@ def alternating_hub_split(
     if degrees.counts["most"] <= degree:
         run.work.drop(degrees)
         return _labels_of_stars(_alternate(run, graph, graph.edges(), graph.links).frame)
-    hubs = run.hubs(2 * graph.links)
-    split = split_hub_trees(graph.symmetric(), degree=degree, degrees=degrees.frame, hubs=hubs)
+    hubs = run.hubs(2 * graph.links, graph.symmetric(), "id")
+    split = split_hub_trees(
+        graph.symmetric(), degree=degree, degrees=degrees.frame, hubs=hubs, keep=run.keep
+    )
     table = run.save("split_hubs", split)
     run.work.drop(degrees)
     # each virtual vertex adds itself and one link up
@@ -345,9 +347,8 @@ def alternating_hub_split(
 
 def _alternating_salted(run: Rounds, graph: Graph, hub_degree: int | None, salts: int | None) -> DataFrame:
     degree = hub_degree or run.hub_rows
-    split = split_hubs(
-        graph.symmetric(), degree=degree, salts=salts, hubs=run.hubs(2 * graph.links)
-    )
+    hubs = run.hubs(2 * graph.links, graph.symmetric(), "id")
+    split = split_hubs(graph.symmetric(), degree=degree, salts=salts, hubs=hubs)
     table = run.save(
         "split_hubs", as_vertex_pairs(split), virtual=F.count_if(F.col("nbr.salt") > 0)
     )
@@ -369,18 +370,20 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
     edges between trees that are still apart, each once.
     """
     parents = run.save("forest_init", forest_init(graph.symmetric()))
-    hubs = run.hubs(parents.rows)
-    live = None
+    vertices, live = parents.rows, None
+
+    def by_parent(parents: DataFrame) -> Hubs | None:
+        return run.hubs(vertices, parents, "parent")
 
     def hook(parents: DataFrame, conditional: bool) -> DataFrame:
         nonlocal live
         rows, edges = (live.rows, live.frame) if live else (graph.links, graph.edges())
         if rows:
-            contracted = contract_edges(edges, parents, hubs=run.hubs(2 * rows))
+            contracted = contract_edges(edges, parents, hubs=run.hubs(2 * rows, both_directions(edges), "id"))
             table = run.work.save(contracted, "contract_edges")
             run.record("contract_edges", table, table.rows)
             live = _replace(run, live, table)
-        stars = star_detection(parents, hubs=hubs)
+        stars = star_detection(parents, hubs=by_parent(parents))
         candidates = least_across(live.frame)
         if conditional:
             return conditional_star_hook(stars, candidates)
@@ -393,7 +396,7 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
                 break
             name = "conditional_star_hook" if conditional else "unconditional_star_hook"
             parents = _replace(run, parents, run.save(name, hook(parents.frame, conditional)))
-        jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
+        jumped = pointer_jump(parents.frame, hubs=by_parent(parents.frame), with_old=True)
         table = run.work.save(
             jumped, "pointer_jump", drop=("old",), moved=F.count_if(F.col("old") != F.col("parent"))
         )
@@ -402,7 +405,7 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
         if not table.counts["moved"]:
             break
     run.work.drop(live)
-    return canonical_label(parents.frame, hubs=hubs)
+    return canonical_label(parents.frame, hubs=by_parent(parents.frame))
 
 
 ALGORITHMS = {

@@ -178,3 +178,26 @@ def test_hooks_run_on_fewer_edges_each_time(spark):
     run.record = lambda name, table, messages: (sizes.append(table.rows) if name == "contract_edges" else None, record(name, table, messages))
     sgc(run, graph)
     assert len(sizes) > 3 and sizes == sorted(sizes, reverse=True) and sizes[-1] == 0
+
+
+def test_hubs_are_looked_for_before_a_step_is_split(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("nbr"))
+    run = Rounds(spark, "hubs", hub_rows=500)
+    assert run.hubs(3000, rows, "id") is None
+    assert run.hubs(3000, rows, "id", "nbr").limit == 500
+    assert run.hubs(3000).limit == 500
+
+
+def test_rounds_without_hubs_write_nothing_per_key(spark, monkeypatch):
+    names, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, frame, name, **options: (names.append(name), save(self, frame, name, **options))[1])
+    for algorithm in ("alternating", "ccf", "hash_to_min"):
+        pairs = spark.range(2000).select((2 * F.col("id")).alias("src"), (2 * F.col("id") + 1).alias("dst"))
+        assert connected_components(pairs, algorithm, hub_rows=1000).count() == 4000
+    assert "per-key" not in names
+
+
+@pytest.mark.parametrize("name", ["small_star", "prune_links", "prune_links_oblivious", "split_hubs", "split_hub_trees"])
+def test_steps_read_their_input_from_where_it_was_written_once(spark, name):
+    files = registered.library_queries()[name](spark, SF_DIR).inputFiles()
+    assert files and not any("lineitem" in file for file in files)
