@@ -5,13 +5,15 @@ and each is paired with the neighbour whose path has more in common with its own
 two are aligned by their longest common subsequence, and lines that both share are deleted as part of
 the site's template.
 
-Two rules of structure come on top, as the difference alone gives wrong results here.  Lines inside a
-marked article (``article``, ``main``) are not deleted for being shared, since articles quote each
-other and copies of an article stand at neighbouring URLs.  Where a page marks an article, nothing
-outside it is main text; in other pages, menus, headers, footers, asides, forms, and elements whose
+Two rules of structure come on top, as the difference alone gives wrong results here.  Articles quote
+each other and copies of an article stand at neighbouring URLs, so of the lines inside a marked article
+(``article``, ``main``) that are shared with the neighbour's article, only template goes: the shared lines
+at its start and end that recur in half of the different articles of the host, three at least, if most of
+the article is left without them.  Where a page marks an article, nothing outside it is main text; in other pages, menus, headers, footers, asides, forms, and elements whose
 class or id names a notice, an advert or comments are left out, because adverts and reader comments
 differ from page to page.  Only lines that are neither in a marked article nor left out are compared,
-on both sides.  If most of a page (in characters) is shared, the neighbour may be a copy, and a shared
+on both sides, or, for a marked article, the lines of articles.  Lines are compared by their MD5, so that the
+texts of neighbours need not travel.  If most of a page (in characters) is shared, the neighbour may be a copy, and a shared
 line goes only if it is template: if it recurs in half of the host's different texts, and in three at
 least.  A page all of whose lines would go keeps them.
 
@@ -25,9 +27,10 @@ copies of each other); unclosed elements end with their parent; an empty table g
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator, Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -140,7 +143,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return found
 
 
-def shared_lines(left: list[str], right: list[str]) -> list[bool]:
+def shared_lines(left: list[Hashable], right: list[Hashable]) -> list[bool]:
     """For each line of ``left``, whether the longest common subsequence with ``right`` has it.
 
     The alignment is bit-parallel: one step of whole-number arithmetic for each line.
@@ -160,7 +163,7 @@ def shared_lines(left: list[str], right: list[str]) -> list[bool]:
     mine, theirs = mine[start : len(mine) - stop], theirs[start : len(theirs) - stop]
     if not mine or not theirs:
         return out
-    places: dict[str, int] = {}
+    places: dict[Hashable, int] = {}
     for j, line in enumerate(theirs):
         places[line] = places.get(line, 0) | 1 << j
     full = (1 << len(theirs)) - 1
@@ -190,31 +193,58 @@ def shared_lines(left: list[str], right: list[str]) -> list[bool]:
     return out
 
 
-def main_text(lines: list[tuple[int, str]], neighbour: list[str] | None, template: frozenset[str] = frozenset()) -> str:
-    """The main text of a page's blocks, given the plain lines of the neighbour and the host's template."""
-    if any(kind == IN_ARTICLE for kind, _ in lines):
-        return "\n\n".join(line for kind, line in lines if kind == IN_ARTICLE)
-    plain = [line for kind, line in lines if kind == PLAIN]
-    shared = shared_lines(plain, neighbour or [])
-    left = sum(len(line) for line, gone in zip(plain, shared) if not gone)
-    if 2 * left < sum(map(len, plain)):  # not the page's main part: lines shared by this pair only may be a copy
-        shared = [gone and line in template for line, gone in zip(plain, shared)]
+def digest(line: str) -> bytes:
+    """What stands for a line where lines of different pages are compared; Spark's ``unhex(md5(line))``."""
+    return hashlib.md5(line.encode()).digest()
+
+
+def _at_the_ends(gone: list[bool]) -> list[bool]:
+    """Only the runs at the start and the end."""
+    stay = [i for i, is_gone in enumerate(gone) if not is_gone]
+    return [bool(stay) and (i < stay[0] or i > stay[-1]) for i in range(len(gone))]
+
+
+def main_text(
+    lines: list[tuple[int, str]],
+    neighbour: list[Hashable] | None,
+    template: Set[Hashable] = frozenset(),
+    article: list[Hashable] | None = None,
+    key: Callable[[str], Hashable] = str,
+) -> str:
+    """The main text of a page's blocks.
+
+    ``neighbour`` are the plain lines of the neighbour, ``article`` the lines of its marked article and
+    ``template`` the host's template among pages that are marked like this one, each line as ``key`` gives it.
+    """
+    marked = any(kind == IN_ARTICLE for kind, _ in lines)
+    own = [line for kind, line in lines if kind == (IN_ARTICLE if marked else PLAIN)]
+    keys = [key(line) for line in own]
+    shared = shared_lines(keys, (article if marked else neighbour) or [])
+    recurring = [gone and k in template for k, gone in zip(keys, shared)]
+    if marked:
+        shared = _at_the_ends(recurring)
+    left = sum(len(line) for line, gone in zip(own, shared) if not gone)
+    if 2 * left < sum(map(len, own)):  # not the page's main part: lines shared by this pair only may be a copy
+        shared = [False] * len(own) if marked else recurring
     if all(shared):
-        shared = [False] * len(plain)
-    return "\n\n".join(line for line, gone in zip(plain, shared) if not gone)
+        shared = [False] * len(own)
+    return "\n\n".join(line for line, gone in zip(own, shared) if not gone)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``of, template``: per host, the plain lines that recur; rows ``host, kinds, plain``.
+    """``of, template_marked, template``: per host, the lines that recur in its articles, and the plain lines
+    that recur in its other pages; rows ``host, marked, plain, article``.
 
-    Counted in distinct texts of pages without a marked article: at least ``RECUR`` of them and half of
-    the host's.  A host has at most twice its lines per text of them.
+    Counted in distinct texts: at least ``RECUR`` of them and half of the host's.  A host has at most twice
+    its lines per text of them.
     """
-    texts = pages.where(~F.array_contains("kinds", IN_ARTICLE)).select("host", "plain", F.xxhash64("plain").alias("doc"))
-    sizes = texts.groupBy(F.col("host").alias("of")).agg(F.count_distinct("doc").alias("docs"))
-    counted = texts.select("host", "doc", F.explode(F.array_distinct("plain")).alias("line")).groupBy("host", "line").agg(F.count_distinct("doc").alias("n"))
-    counted = counted.where(F.col("n") >= RECUR).join(sizes, F.col("host") == F.col("of")).where(2 * F.col("n") >= F.col("docs"))
-    return counted.groupBy("of").agg(F.collect_list("line").alias("template"))
+    lines = F.when(F.col("marked"), F.col("article")).otherwise(F.col("plain"))
+    texts = pages.select("host", "marked", lines.alias("lines")).withColumn("doc", F.xxhash64("lines")).dropDuplicates(["host", "marked", "doc"])
+    sizes = texts.groupBy(F.col("host").alias("of"), F.col("marked").alias("template_marked")).agg(F.count(F.lit(1)).alias("docs"))
+    counted = texts.select("host", "marked", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "marked", "line").agg(F.count(F.lit(1)).alias("n"))
+    same = (F.col("host") == F.col("of")) & (F.col("marked") == F.col("template_marked"))
+    counted = counted.where(F.col("n") >= RECUR).join(sizes, same).where(2 * F.col("n") >= F.col("docs"))
+    return counted.groupBy("of", "template_marked").agg(F.collect_list("line").alias("template"))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -234,7 +264,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def paired(lines: DataFrame, work) -> DataFrame:
-    """Rows of ``parsed`` with the plain lines of the pages beside it (NULL at the host's ends) and the host's template."""
+    """Rows of ``parsed`` with the digests of the lines of the pages beside it (NULL at the host's ends) and of the host's template."""
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     keyed = lines.withColumns(
         {
@@ -247,11 +277,13 @@ def paired(lines: DataFrame, work) -> DataFrame:
     parts = max(8, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt = saved(work, dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")), "sorted")
-    plain = F.transform(F.filter(F.arrays_zip("kinds", "lines"), lambda x: x.kinds == PLAIN), lambda x: x.lines)
-    dealt = dealt.withColumn("plain", plain)
+    digests = lambda kind: F.transform(
+        F.filter(F.arrays_zip("kinds", "lines"), lambda x: x.kinds == kind), lambda x: F.unhex(F.md5(x.lines))
+    )
+    dealt = dealt.withColumns({"plain": digests(PLAIN), "article": digests(IN_ARTICLE), "marked": F.array_contains("kinds", IN_ARTICLE)})
     # written, so that Spark knows its size before it plans the join: pages are shuffled only if it is large
     template = saved(work, templates(dealt), "templates")
-    about = F.struct("host", "path", "plain")
+    about = F.struct("host", "path", "plain", "article")
     in_part = Window.partitionBy("part").orderBy("pos")
     seen = dealt.withColumns({"before": F.lag(about).over(in_part), "after": F.lead(about).over(in_part)})
     # hand over the first and last page of each part to the parts beside it
@@ -266,15 +298,15 @@ def paired(lines: DataFrame, work) -> DataFrame:
     edge_rows = seen.where("before IS NULL OR after IS NULL").join(hand, "part", "left")
     edge_rows = edge_rows.withColumns({"before": F.coalesce("before", "before_part"), "after": F.coalesce("after", "after_part")})
     seen = seen.where("before IS NOT NULL AND after IS NOT NULL").unionByName(edge_rows.select(*seen.columns))
-    seen = seen.join(template, F.col("host") == F.col("of"), "left")
+    seen = seen.join(template, (F.col("host") == F.col("of")) & (F.col("marked") == F.col("template_marked")), "left")
     return seen.select(
         "page_id",
         "url",
         "kinds",
         "lines",
         "path",
-        F.when(F.col("before.host") == F.col("host"), F.struct("before.path", "before.plain")).alias("before"),
-        F.when(F.col("after.host") == F.col("host"), F.struct("after.path", "after.plain")).alias("after"),
+        F.when(F.col("before.host") == F.col("host"), F.struct("before.path", "before.plain", "before.article")).alias("before"),
+        F.when(F.col("after.host") == F.col("host"), F.struct("after.path", "after.plain", "after.article")).alias("after"),
         "template",
     )
 
@@ -300,8 +332,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", page
                 texts = []
                 for row in part.select(["kinds", "lines", "path", "before", "after", "template"]).to_pylist():
                     sides = [s for s in (row["before"], row["after"]) if s]
-                    nearest = max(sides, key=lambda s: _in_common(row["path"], s["path"]))["plain"] if sides else None
-                    texts.append(main_text(list(zip(row["kinds"], row["lines"])), nearest, frozenset(row["template"] or ())))
+                    nearest = max(sides, key=lambda s: _in_common(row["path"], s["path"])) if sides else {"plain": None, "article": None}
+                    template = frozenset(row["template"] or ())
+                    texts.append(main_text(list(zip(row["kinds"], row["lines"])), nearest["plain"], template, nearest["article"], digest))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
                 )

@@ -295,6 +295,26 @@ def test_pages():
     assert page_differencing.blocks("") == [] and page_differencing.main_text([], None) == ""
 
 
+def test_template_inside_marked_articles_goes(spark):
+    def page(i, *middle):
+        lines = ("Subscribe to this site", *middle, "Thanks for reading")
+        return (i, f"http://h/a/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>")
+
+    own = {i: f"Story number {i} has its own long words: " + "abcdefgh"[i] * 60 for i in range(6)}
+    pages = [page(i, own[i], "A quote that all stories have.", own[i][::-1]) for i in range(6)]
+    # two articles of a host are no template, nor are copies, nor is most of an article
+    pages += [(10 + i, f"http://k/{i}", f"<main><p>Shared</p><p>{own[i]}</p></main>") for i in range(2)]
+    pages += [(20 + i, f"http://m/{i}", f"<main><p>{own[0]}</p><p>{i}</p></main>") for i in range(4)]
+    pages += [(30 + i, f"http://n/{i}", f"<main><p>{own[1]}</p></main>") for i in range(4)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    found = {r.page_id: r.text.split("\n\n") for r in page_differencing.extract(frame).collect()}
+    for i in range(6):
+        assert found[i] == [own[i], "A quote that all stories have.", own[i][::-1]]
+    assert all(found[10 + i] == ["Shared", own[i]] for i in range(2))
+    assert all(found[20 + i] == [own[0], str(i)] for i in range(4))
+    assert all(found[30 + i] == [own[1]] for i in range(4))
+
+
 def test_lines_shared_with_the_nearest_page_go(spark):
     pages = [(i, f"http://h.example/a/{i}", f"<div>Site</div><div>Text {i}</div><div>Imprint</div>") for i in range(30)]
     pages += [(90, None, None), (91, "http://alone.example/", "<p>Site<p>Own"), (92, "x", "&lt;b&gt; <b>bold")]
