@@ -74,10 +74,13 @@ def lookup(
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (unique on ``key``).
 
-    ``counts`` is a frame ``(key, n)`` of rows per key, for callers that have it already.
+    ``counts`` is a frame ``(key, n)`` of rows per key, for callers that have it already.  Without it, steps of
+    a run, which may start jobs, count keys in buckets first, and one by one only if there may be a hub.
     """
     if hubs is None:
         return rows.join(table, key, how)
+    if counts is None and hubs.keep is not _as_it_is and not crowded(rows, hubs.limit, key):
+        return rows.join(table, key, how)
     per_key = counts
     if per_key is None:
         per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -35,7 +35,7 @@ from islets.operators.hub_trees import (
 )
 from islets.operators.lookup import Hubs
 from islets.operators.min_label import label_news, merge_labels, shortcut_messages, with_kept
-from islets.operators.rows import both_directions, local_minimum
+from islets.operators.rows import local_minimum
 from islets.operators.stars import (
     as_vertex_pairs,
     drop_virtual,
@@ -77,7 +77,7 @@ def propagate(run: Rounds, parents: Table) -> Table:
     """Point every vertex of a forest at its root: pointers double their reach with each jump."""
     while True:
         run.next_round()
-        hubs = run.hubs(parents.rows, parents.frame, "parent")
+        hubs = run.hubs(parents.rows)
         jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
         table = run.work.save(
             jumped, "propagate", drop=("old",), moved=F.count_if(F.col("old") != F.col("parent"))
@@ -99,7 +99,7 @@ def tree_pruning(
 
     ``oblivious_seed`` is a flag or the set of rounds (from 0) in which it holds.
     """
-    hubs = run.hubs(2 * graph.links, graph.symmetric(), "id")
+    hubs = run.hubs(2 * graph.links)
     messages = min_selection(
         graph.symmetric(), edge_pruning=edge_pruning, hubs=hubs, dedup=False
     )
@@ -113,7 +113,7 @@ def tree_pruning(
             if isinstance(oblivious_seed, bool)
             else len(rounds) in oblivious_seed
         )
-        hubs = run.hubs(heard.rows, heard.frame, "id")
+        hubs = run.hubs(heard.rows)
         # What both halves of the step start from is written, so that what the vertices heard
         # is aggregated once and goes as soon as the links are there.
         minima = run.work.save(heard_minima(heard.frame), "minima")
@@ -125,7 +125,7 @@ def tree_pruning(
         rounds.append(minima)
         run.work.drop(heard)
         messages = min_selection(
-            live.frame, edge_pruning=edge_pruning, hubs=run.hubs(live.rows, live.frame, "id"), dedup=False
+            live.frame, edge_pruning=edge_pruning, hubs=run.hubs(live.rows), dedup=False
         )
         heard = run.step("min_selection", messages)
         run.work.drop(live)
@@ -161,7 +161,7 @@ def hash_min(run: Rounds, graph: Graph) -> DataFrame:
     A label names a vertex of the component, so after each hop labels also move along the labels
     themselves: without that, a round a hop is needed, and deep graphs have many.
     """
-    hubs = run.hubs(2 * graph.links, graph.symmetric(), "id")
+    hubs = run.hubs(2 * graph.links)
     degrees = _edge_degrees(run, graph, hubs)
     adjacency = bucketed_adjacency(run, graph.symmetric(), hubs, degrees)
     by_id = ("id", bucket_count(run))
@@ -175,7 +175,7 @@ def hash_min(run: Rounds, graph: Graph) -> DataFrame:
         messages = with_kept(labels.frame, heard)
         spread = run.step("hash_min", messages, merge_labels)
         labels = _replace(run, labels, spread)
-        known = shortcut_messages(labels.frame, hubs=run.hubs(labels.rows, labels.frame, "label"))
+        known = shortcut_messages(labels.frame, hubs=run.hubs(labels.rows))
         new = run.step(
             "shortcut", known, merge_labels, buckets=by_id, changed=F.count_if("changed")
         )
@@ -198,7 +198,7 @@ def hash_to_min(run: Rounds, graph: Graph) -> DataFrame:
     clusters = run.save("start", start, checksum=checksum)
     while True:
         run.next_round()
-        sent = cluster_messages(clusters.frame, hubs=run.hubs(clusters.rows, clusters.frame, "id"))
+        sent = cluster_messages(clusters.frame, hubs=run.hubs(clusters.rows))
         new = run.step("hash_to_min", sent, merge, checksum=checksum)
         unchanged = _same_rows(clusters, new)
         clusters = _replace(run, clusters, new)
@@ -246,7 +246,7 @@ def ccf(run: Rounds, graph: Graph) -> DataFrame:
     frame, rows = graph.edges(), graph.links
     while True:
         run.next_round()
-        hubs = run.hubs(2 * rows, both_directions(frame), "id")
+        hubs = run.hubs(2 * rows)
         messages = ccf_iterate(frame, hubs=hubs)
         new = run.step("ccf", messages)
         pairs = _replace(run, pairs if pairs is not graph.table else None, new)
@@ -265,7 +265,7 @@ def ccmr(run: Rounds, graph: Graph) -> DataFrame:
     frame, rows = graph.symmetric(), 2 * graph.links
     while True:
         run.next_round()
-        messages = ccmr_messages(frame, hubs=run.hubs(rows, frame, "id"))
+        messages = ccmr_messages(frame, hubs=run.hubs(rows))
         new = run.step("ccmr", messages, merge, drop=("more",), more=F.count_if("more"))
         state = _replace(run, state, new)
         frame, rows = state.frame, state.rows
@@ -282,10 +282,10 @@ def _alternate(run: Rounds, graph: Graph, frame: DataFrame, rows: int) -> Table:
     while True:
         run.next_round()
         links = large_star(
-            frame, hubs=run.hubs(rows, frame, "nbr"), dedup=False, oriented=True, loops=False
+            frame, hubs=run.hubs(rows), dedup=False, oriented=True, loops=False
         )
         large = run.step("large_star", links)
-        hubs = run.hubs(large.rows, large.frame, "id")
+        hubs = run.hubs(large.rows)
         links = small_star(large.frame, hubs=hubs, dedup=False, oriented=True, loops=False)
         new = run.step("small_star", links)
         run.work.drop(large)
@@ -324,7 +324,7 @@ def alternating_hub_split(
     if degrees.counts["most"] <= degree:
         run.work.drop(degrees)
         return _labels_of_stars(_alternate(run, graph, graph.edges(), graph.links).frame)
-    hubs = run.hubs(2 * graph.links, graph.symmetric(), "id")
+    hubs = run.hubs(2 * graph.links)
     split = split_hub_trees(
         graph.symmetric(), degree=degree, degrees=degrees.frame, hubs=hubs, keep=run.keep
     )
@@ -334,7 +334,7 @@ def alternating_hub_split(
     graph.count += table.rows - graph.links
     # the rounds run on longs: least structs are found by sorting, least longs by hashing
     numbers = run.work.save(vertex_numbers(table.frame), "numbers")
-    hubs = run.hubs(2 * table.rows, both_directions(table.frame), "id")
+    hubs = run.hubs(2 * table.rows)
     links = run.save("number_vertices", numbered_links(table.frame, numbers.frame, hubs=hubs))
     run.work.drop(table)
     stars = _alternate(run, graph, links.frame, links.rows)
@@ -342,12 +342,12 @@ def alternating_hub_split(
     trees = run.save("name_trees", named_trees(numbers.frame, _labels_of_stars(stars.frame)))
     run.work.drop(numbers)
     run.work.drop(stars)
-    return canonical_label(trees.frame, hubs=run.hubs(trees.rows, trees.frame, "parent"))
+    return canonical_label(trees.frame, hubs=run.hubs(trees.rows))
 
 
 def _alternating_salted(run: Rounds, graph: Graph, hub_degree: int | None, salts: int | None) -> DataFrame:
     degree = hub_degree or run.hub_rows
-    hubs = run.hubs(2 * graph.links, graph.symmetric(), "id")
+    hubs = run.hubs(2 * graph.links)
     split = split_hubs(graph.symmetric(), degree=degree, salts=salts, hubs=hubs)
     table = run.save(
         "split_hubs", as_vertex_pairs(split), virtual=F.count_if(F.col("nbr.salt") > 0)
@@ -370,20 +370,18 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
     edges between trees that are still apart, each once.
     """
     parents = run.save("forest_init", forest_init(graph.symmetric()))
-    vertices, live = parents.rows, None
-
-    def by_parent(parents: DataFrame) -> Hubs | None:
-        return run.hubs(vertices, parents, "parent")
+    hubs = run.hubs(parents.rows)
+    live = None
 
     def hook(parents: DataFrame, conditional: bool) -> DataFrame:
         nonlocal live
         rows, edges = (live.rows, live.frame) if live else (graph.links, graph.edges())
         if rows:
-            contracted = contract_edges(edges, parents, hubs=run.hubs(2 * rows, both_directions(edges), "id"))
+            contracted = contract_edges(edges, parents, hubs=run.hubs(2 * rows))
             table = run.work.save(contracted, "contract_edges")
             run.record("contract_edges", table, table.rows)
             live = _replace(run, live, table)
-        stars = star_detection(parents, hubs=by_parent(parents))
+        stars = star_detection(parents, hubs=hubs)
         candidates = least_across(live.frame)
         if conditional:
             return conditional_star_hook(stars, candidates)
@@ -396,7 +394,7 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
                 break
             name = "conditional_star_hook" if conditional else "unconditional_star_hook"
             parents = _replace(run, parents, run.save(name, hook(parents.frame, conditional)))
-        jumped = pointer_jump(parents.frame, hubs=by_parent(parents.frame), with_old=True)
+        jumped = pointer_jump(parents.frame, hubs=hubs, with_old=True)
         table = run.work.save(
             jumped, "pointer_jump", drop=("old",), moved=F.count_if(F.col("old") != F.col("parent"))
         )
@@ -405,7 +403,7 @@ def sgc(run: Rounds, graph: Graph) -> DataFrame:
         if not table.counts["moved"]:
             break
     run.work.drop(live)
-    return canonical_label(parents.frame, hubs=by_parent(parents.frame))
+    return canonical_label(parents.frame, hubs=hubs)
 
 
 ALGORITHMS = {

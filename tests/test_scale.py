@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from islets import connected_components, run_components
+from islets.operators.lookup import Hubs, lookup
 from islets.plans.adjacency import bucket_count, bucketed_adjacency
 from islets.plans.algorithms import _edge_degrees, sgc
 from islets.plans.graph import load_graph
@@ -188,13 +189,13 @@ def test_hubs_are_looked_for_before_a_step_is_split(spark):
     assert run.hubs(3000).limit == 500
 
 
-def test_rounds_without_hubs_write_nothing_per_key(spark, monkeypatch):
-    names, save = [], Workspace.save
-    monkeypatch.setattr(Workspace, "save", lambda self, frame, name, **options: (names.append(name), save(self, frame, name, **options))[1])
-    for algorithm in ("alternating", "ccf", "hash_to_min"):
-        pairs = spark.range(2000).select((2 * F.col("id")).alias("src"), (2 * F.col("id") + 1).alias("dst"))
-        assert connected_components(pairs, algorithm, hub_rows=1000).count() == 4000
-    assert "per-key" not in names
+def test_keys_are_counted_one_by_one_only_if_there_may_be_a_hub(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("nbr"))
+    table = spark.range(3000).select("id", F.col("id").alias("nbr"), F.col("id").alias("m"))
+    kept = []
+    hubs = Hubs(500, lambda frame: (kept.append(frame), frame)[1])
+    assert lookup(rows, table.select("id", "m"), "id", hubs).count() == 3000 and not kept
+    assert lookup(rows, table.select("nbr", "m"), "nbr", hubs).count() == 3000 and len(kept) == 1
 
 
 @pytest.mark.parametrize("name", ["small_star", "prune_links", "prune_links_oblivious", "split_hubs", "split_hub_trees"])
