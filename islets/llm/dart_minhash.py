@@ -36,6 +36,8 @@ LOW = -7
 SAMPLE = 8
 #: Bits of an odd sketch.
 ODD = 512
+#: A row with a shingle set weighs as much as so many rows of numbers.
+SET_ROWS = 25
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(12)])
 
 
@@ -229,32 +231,42 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     work = scratch(spark, "near-dedup")
-    signed = saved(work, sign(docs, width=width, bands=bands, rows=rows, weighted=weighted, id_col=id_col, text=text), "signed")
+    # tables after the first are sized by rows counted before: many are small, and each is a job of its own
+    written = work.save(sign(docs, width=width, bands=bands, rows=rows, weighted=weighted, id_col=id_col, text=text), "signed")
+    signed = written.frame
     classes = signed.groupBy("d1", "d2").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = saved(work, classes.where("class IS NOT NULL"), "classes")
+    written = work.save(classes.where("class IS NOT NULL"), "classes", about=written.rows)
+    classes, n_classes = written.frame, written.rows
     members = classes.where("n > 0").select("class", "n", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = saved(work, members.join(sizes, ["band", "key"]), "members")
+    written = work.save(members.join(sizes, ["band", "key"]), "members", about=bands * n_classes)
+    members, n_members = written.frame, written.rows
     # first each class against one hub only, the least it meets
     first = members.where("class <> hub").groupBy("class").agg(F.min("hub").alias("hub"))
-    tested = saved(work, first.select(F.col("hub").alias("a"), F.col("class").alias("b")), "pairs")
-    in_play = saved(work, members.select("class").distinct(), "in_play")
+    written = work.save(first.select(F.col("hub").alias("a"), F.col("class").alias("b")), "pairs", about=n_members)
+    tested, n_tested = written.frame, written.rows
+    written = work.save(members.select("class").distinct(), "in_play", about=n_members)
+    in_play, n_in_play = written.frame, written.rows
     sets = _sets_of(docs, in_play, width=width, id_col=id_col, text=text)
-    sets = saved(work, sets, "sets")
-    links = saved(work, verified(tested, sets, threshold), "links")
-    labels = saved(work, _components(links, in_play), "labels")
+    sets = saved(work, sets, "sets", SET_ROWS * n_in_play)
+    written = work.save(verified(tested, sets, threshold), "links", about=SET_ROWS * n_tested)
+    links, n_links = written.frame, written.rows
+    labels = saved(work, _components(links, in_play, n_links), "labels", n_in_play)
     for step in ("first", "some", "all"):  # whatever could still join two components
-        more = saved(work, _untested(members, labels, sets, threshold, step).join(tested, ["a", "b"], "left_anti"), "pairs-" + step)
-        if more.isEmpty():
+        # the sketches looked at follow the members
+        written = work.save(_untested(members, labels, sets, threshold, step).join(tested, ["a", "b"], "left_anti"), "pairs-" + step, about=n_members + n_tested)
+        if not written.rows:
             continue
-        found = saved(work, verified(more, sets, threshold), "links")
-        tested = tested.unionByName(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = saved(work, _components(links, in_play), "labels")
+        more = written.frame
+        tested, n_tested = tested.unionByName(more), n_tested + written.rows
+        written = work.save(verified(more, sets, threshold), "links", about=SET_ROWS * written.rows)
+        if written.rows:
+            links, n_links = links.unionByName(written.frame), n_links + written.rows
+            labels = saved(work, _components(links, in_play, n_links), "labels", n_in_play)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     groups = classes.select("class", "d1", "d2").join(labels, "class", "left").join(degree, "class", "left")
-    groups = saved(work, groups.select("d1", "d2", F.col("class").alias("class_id"), F.coalesce("group", "class").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "groups")
+    groups = groups.select("d1", "d2", F.col("class").alias("class_id"), F.coalesce("group", "class").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    groups = saved(work, groups, "groups", n_classes + 2 * n_links)
     return signed.select("id", "d1", "d2").join(groups, ["d1", "d2"], "left").select("id", "class_id", "group_id", "n_links")
 
 
@@ -270,8 +282,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return _similar(pairs.join(left, "a").join(right, "b"), threshold)
 
 
-def _components(links: DataFrame, vertices: DataFrame) -> DataFrame:
-    found = connected_components(links, src="a", dst="b", vertices=vertices.withColumnRenamed("class", "id"))
+def _components(links: DataFrame, vertices: DataFrame, rows: int) -> DataFrame:
+    found = connected_components(links, src="a", dst="b", vertices=vertices.withColumnRenamed("class", "id"), rows=rows)
     return found.select(F.col("id").alias("class"), F.col("component").alias("group"))
 
 

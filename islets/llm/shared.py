@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,22 @@ def scratch(spark: SparkSession, name: str) -> Workspace:
     return Workspace(spark, name)
 
 
-def saved(work: Workspace, frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame and read it back, so that its rows and ids stay as they are."""
-    return work.save(frame, name).frame
+def saved(work: Workspace, frame: DataFrame, name: str, about: int | None = None) -> DataFrame:
+    """Write a frame and read it back, so that its rows and ids stay as they are; ``about`` as in ``Workspace.save``."""
+    return work.save(frame, name, about=about).frame
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Jobs inside run with these settings of the session."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def whole(text: str = "text") -> Column:

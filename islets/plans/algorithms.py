@@ -284,10 +284,10 @@ def _alternate(run: Rounds, graph: Graph, frame: DataFrame, rows: int) -> Table:
         links = large_star(
             frame, hubs=run.hubs(rows), dedup=False, oriented=True, loops=False
         )
-        large = run.step("large_star", links)
+        large = run.step("large_star", links, about=2 * rows)
         hubs = run.hubs(large.rows)
         links = small_star(large.frame, hubs=hubs, dedup=False, oriented=True, loops=False)
-        new = run.step("small_star", links)
+        new = run.step("small_star", links, about=2 * large.rows)
         run.work.drop(large)
         state = _replace(run, state, new)
         frame, rows = state.frame, state.rows

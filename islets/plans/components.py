@@ -45,6 +45,7 @@ def run_components(
     collect_stats: bool = False,
     max_rounds: int | None = None,
     hub_rows: int = HUB_ROWS,
+    rows: int | None = None,
     **options,
 ) -> ComponentRun:
     """Label the components of undirected ``edges`` and keep the statistics of the run.
@@ -53,7 +54,8 @@ def run_components(
     out, self-loops state that a vertex exists, copies do no harm.  ``vertices`` adds isolated
     vertices: ids in its first column.  ``collect_stats`` counts messages and activity per step, at
     the cost of one more aggregation each.  ``hub_rows`` is how many rows of one vertex a task may
-    get before the vertex is treated as a hub.  ``options`` go to the algorithm.
+    get before the vertex is treated as a hub.  ``rows`` is the number of rows of ``edges``, for
+    callers that know it; it spares small graphs the tasks of large ones.  ``options`` go to the algorithm.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}; there are {', '.join(ALGORITHMS)}")
@@ -65,7 +67,7 @@ def run_components(
         max_rounds=max_rounds,
         hub_rows=hub_rows,
     )
-    graph = load_graph(run, edges, vertices, src, dst)
+    graph = load_graph(run, edges, vertices, src, dst, rows)
     run.loaded(graph.symmetric())
     loaded = time.monotonic()
     labels = ALGORITHMS[algorithm](run, graph, **options) if graph.links else None

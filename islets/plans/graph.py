@@ -59,14 +59,14 @@ class Graph:
         return everyone.groupBy("id").agg(F.min("component").alias("component"))
 
 
-def load_graph(run: Rounds, edges: DataFrame, vertices: DataFrame | None, src: str, dst: str) -> Graph:
+def load_graph(run: Rounds, edges: DataFrame, vertices: DataFrame | None, src: str, dst: str, rows: int | None = None) -> Graph:
     """Drop incomplete rows, orient, deduplicate and write the edges."""
     a, b = F.col(src), F.col(dst)
     oriented = edges.where(a.isNotNull() & b.isNotNull()).select(
         F.greatest(a, b).alias("id"), F.least(a, b).alias("nbr")
     )
     table = run.work.save(
-        oriented.distinct(), "edges", loops=F.count_if(F.col("id") == F.col("nbr"))
+        oriented.distinct(), "edges", about=rows, loops=F.count_if(F.col("id") == F.col("nbr"))
     )
     if vertices is not None:
         first = vertices.columns[0]

@@ -90,6 +90,7 @@ class Rounds:
         *extra: Column,
         drop: tuple[str, ...] = (),
         buckets: tuple[str, int] | None = None,
+        about: int | None = None,
         **counts: Column,
     ) -> Table:
         """Merge the messages of a step per receiver, write the result, and record the step."""
@@ -98,7 +99,7 @@ class Rounds:
             counts["copies"] = F.sum("copies")
             drop += ("copies",)
         merged = merge(messages, *extra)
-        table = self.work.save(merged, name, drop=drop, buckets=buckets, **counts)
+        table = self.work.save(merged, name, drop=drop, buckets=buckets, about=about, **counts)
         self.record(name, table, table.counts.get("copies"))
         return table
 

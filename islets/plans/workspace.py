@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows for one task at least, before a table is dealt to more tasks than there are cores.
+TASK_ROWS = 50_000
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for round tables, as the session names it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -55,6 +59,7 @@ class Workspace:
         *,
         drop: tuple[str, ...] = (),
         buckets: tuple[str, int] | None = None,
+        about: int | None = None,
         **counts: Column,
     ) -> Table:
         """Write a frame in one job that also counts its rows and evaluates ``counts``.
@@ -63,7 +68,9 @@ class Workspace:
         written.  Counting takes place in the tasks that write, whose
         results Spark takes once each even if tasks or executors fail.  ``buckets`` is a key and a
         number: the rows are kept in that many buckets by hash of the key, and joins on the key with
-        what is partitioned alike shuffle neither side.
+        what is partitioned alike shuffle neither side.  ``about`` is how many rows are worked on, where
+        that is known: a small table is then written by as many tasks as there are cores, also in sessions
+        whose shuffles keep to a fixed number of partitions.
         """
         self._written += 1
         path = f"{self.folder}/{self._written:04d}-{name}"
@@ -73,6 +80,8 @@ class Workspace:
         out = frame.observe(seen, *metrics).drop(*drop)
         listed = None
         if buckets is None:
+            if about is not None:
+                out = out.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-about // TASK_ROWS)))
             out.write.parquet(path)
             table = self.spark.read.schema(out.schema).parquet(path)
         else:

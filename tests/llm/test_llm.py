@@ -25,6 +25,7 @@ from islets.llm import (
     quality_rules,
     reduced_alphabet,
     registry,
+    shared,
     substring_dedup,
     token_groups,
     toxic_neighbours,
@@ -672,6 +673,36 @@ def test_stages_take_an_empty_table(spark, none):
         assert stage(spark, docs, SF_DIR).collect() == []
 
 
+# op7 and op13: tasks and batches
+
+
+def _near_copies(spark, n):
+    rng = random.Random(12)
+    texts = [_text(rng, 60) for _ in range(n)]
+    rows = [(k * n + i, t + " tail" * k) for i, t in enumerate(texts) for k in range(3)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+
+def test_small_tables_take_no_more_tasks_than_cores(spark, monkeypatch):
+    from islets.plans.workspace import Workspace
+
+    fixed = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    files, save = {}, Workspace.save
+
+    def counted(self, frame, name, **more):
+        table = save(self, frame, name, **more)
+        files[name] = max(files.get(name, 0), len(table.frame.inputFiles()))
+        return table
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    with shared.settings(spark, fixed):
+        found = dart_minhash.near_duplicates(_near_copies(spark, 60)).collect()
+    assert len(found) == 180 and len({r.group_id for r in found}) == 60
+    cores = spark.sparkContext.defaultParallelism
+    assert {"classes", "members", "links", "labels", "edges", "large_star", "small_star", "groups"} <= set(files)
+    assert max(files.values()) <= cores
+
+
 # op11
 
 
