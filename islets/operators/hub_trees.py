@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from islets.operators.lookup import SAFE, Hubs, kept, lookup
@@ -71,12 +71,13 @@ def split_hub_trees(
     joined = lookup(edges, degrees, "id", hubs, counts=degrees)
     buckets = F.when(n > degree, F.ceil(2 * n / places)).otherwise(F.lit(None).cast("long"))
     joined = joined.select("id", "nbr", buckets.alias("buckets"))
-    # a bucket holds about half of a leaf's places, so no sort group is large, whatever the hub's size
+    # a bucket holds about half of a leaf's places, so no list is large, whatever the hub's size
     joined = joined.withColumn("bucket", F.pmod(F.xxhash64("nbr"), F.col("buckets")))
     at_hub = joined.where("bucket IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("id", "bucket").orderBy("nbr")) - 1
-    leaf = F.col("bucket") + F.col("buckets") * F.floor(rank / places)
-    ends = at_hub.select("id", "nbr", leaf.alias("leaf")).unionByName(
+    placed = at_hub.groupBy("id", "buckets", "bucket").agg(F.sort_array(F.collect_list(F.struct("nbr"))).alias("nbrs"))
+    placed = placed.select("id", "buckets", "bucket", F.posexplode("nbrs").alias("rank", "at"))
+    leaf = F.col("bucket") + F.col("buckets") * F.floor(F.col("rank") / places)
+    ends = placed.select("id", "at.nbr", leaf.alias("leaf")).unionByName(
         joined.where("bucket IS NULL").select("id", "nbr", F.lit(None).cast("long").alias("leaf"))
     )
     ends = kept(ends, hubs) if keep is None else keep(ends)
