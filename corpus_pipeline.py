@@ -17,13 +17,6 @@ from islets.llm.shared import saved, scratch, whole, without_space
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _once(rows: DataFrame, *key: str) -> DataFrame:
-    """One row of each key; rows are combined before they are shuffled, so a hot key is not one task's."""
-    columns = [c for c in rows.columns if c not in key]
-    one = rows.groupBy(*key).agg(F.min(F.struct(*columns)).alias("row__"))
-    return one.select(*key, "row__.*")
-
-
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules reject, and the frequent lines of the others.
 
@@ -37,19 +30,20 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of equal texts: of a row given several times, one; a NULL id is an id like others."""
-    kept = exact_dedup.stateful_dedup(docs).where("kept").select("id", "text_sha256").distinct()
-    digest = F.sha2(without_space(whole()), 256)
-    own = docs.withColumn("digest__", digest)
-    chosen = own.join(kept, own["doc_id"].eqNullSafe(kept["id"]) & (own["digest__"] == kept["text_sha256"]), "left_semi")
-    chosen = saved(scratch(spark, "exact"), chosen, "chosen")
-    # rows of one id and one text stand for one another: those of the longest original text, as the verdict wants
-    often = chosen.groupBy("doc_id", "digest__").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id__"), F.col("digest__").alias("of__"))
-    same = chosen["doc_id"].eqNullSafe(often["id__"]) & (chosen["digest__"] == often["of__"])
-    single = chosen.join(often, same, "left_anti").select(*COLUMNS)
-    several = chosen.join(often, same, "left_semi").withColumn("less__", -F.length(whole()))
-    several = _once(several.select("doc_id", "digest__", "less__", "text", "lang", "source", "n_chars"), "doc_id", "digest__")
-    return single.unionByName(several.select(*COLUMNS))
+    """Keep one row of each group of equal texts: of a row given several times, one; a NULL id is an id like others.
+
+    Rows of one id and one text stand for one another; they are combined before they are shuffled, so a hot row is not
+    one task's, and the verdicts are joined where the combined rows lie: texts are shuffled once here.
+    """
+    id_key = lambda id: (F.coalesce(id, F.lit(0)).alias("id__"), id.isNull().alias("null__"))
+    keys = ["id__", "null__", "digest__"]
+    verdicts = exact_dedup.stateful_dedup(docs).where("kept")
+    kept = verdicts.select(*id_key(F.col("id")), F.col("text_sha256").alias("digest__")).distinct()
+    # of equal texts the longest original, as the verdict wants
+    row = F.struct((-F.length(whole())).alias("less__"), *COLUMNS[1:], "doc_id")
+    own = docs.select(*id_key(F.col("doc_id").cast("long")), F.sha2(without_space(whole()), 256).alias("digest__"), row.alias("row__"))
+    one = own.groupBy(*keys).agg(F.min("row__").alias("row__"))
+    return one.join(kept, keys, "left_semi").select(*(F.col(f"row__.{c}").alias(c) for c in COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

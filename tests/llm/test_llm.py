@@ -665,6 +665,31 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
     assert sorted(map(tuple, found), key=repr) == [(1, "a b"), (1, "c"), (None, "d")]
 
 
+def test_exact_stage_shuffles_texts_once(spark):
+    import corpus_pipeline
+
+    rows = [(i % 40, f"text {i % 30}" + " " * (i % 3), "en", f"s{i % 2}", 9) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame = corpus_pipeline.exact(spark, docs, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert sum("lang" in line or "row__" in line for line in plan.split("\n") if "Aggregate(" in line and "partial_min" in line) == 1
+    assert plan.count("Exchange hashpartitioning") <= 4
+    best = {}
+    for i, text, lang, source, n in sorted(rows, key=lambda r: (-len(r[1]), r[0], r[1:])):
+        best.setdefault(re.sub(r"\s", "", text), (i, text, lang, source, n))
+    assert sorted(map(tuple, frame.collect())) == sorted(best.values())
+
+
+def test_exact_stage_combines_rows_of_a_null_id(spark):
+    import corpus_pipeline
+
+    rows = [(None, "a b", None, None, None), (None, "a  b", "en", "s", 4), (0, "c", "en", "s", 1), (None, "d", "en", "s", 1), (0, "d", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.exact(spark, docs, SF_DIR)
+    assert found.dtypes == docs.dtypes
+    assert sorted(map(tuple, found.collect()), key=repr) == [(0, "c", "en", "s", 1), (0, "d", "en", "s", 1), (None, "a  b", "en", "s", 4)]
+
+
 def test_stages_take_an_empty_table(spark, none):
     import corpus_pipeline
 
