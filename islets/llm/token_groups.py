@@ -33,13 +33,16 @@ from pyspark.sql import functions as F
 
 from islets import connected_components
 from islets.llm.hashing import U, chunks, mix, word_hashes
-from islets.llm.shared import read, saved, scratch
+from islets.llm.shared import read, saved, scratch, settings
 
 WIDTH, PERCENT = 4, 85
 #: Tokens are 63 bits; those below this bound are counted over all documents.
 COUNTED = 1 << 61
 #: Members of a block of a group, on average at most.
 BLOCK = 32
+#: Rows handed to Python at a time: each may carry the tokens of a whole block, and a default batch of them would
+#: be as many times the block's size in memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -209,6 +212,11 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     Two documents link if their sets of ``width``-word shingles have a Jaccard similarity of ``percent``
     or more; the component is the least id reachable by links.
     """
+    with settings(docs.sparkSession, BATCH):  # every job with Python runs in here
+        return _jaccard_components(docs, width, percent, block, id_col, text)
+
+
+def _jaccard_components(docs: DataFrame, width: int, percent: int, block: int, id_col: str, text: str) -> DataFrame:
     work = scratch(docs.sparkSession, "token-groups")
     signed = sign(docs, width=width, percent=percent, id_col=id_col, text=text)
     signed = saved(work, signed.withColumn("row", F.monotonically_increasing_id()), "signed")

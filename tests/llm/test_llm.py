@@ -728,6 +728,17 @@ def test_small_tables_take_no_more_tasks_than_cores(spark, monkeypatch):
     assert max(files.values()) <= cores
 
 
+def test_token_groups_hand_few_rows_to_python_at_a_time(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, overlaps, unions = [], token_groups._overlaps, token_groups._unions
+    before = spark.conf.get(name)
+    monkeypatch.setattr(token_groups, "_overlaps", lambda *a: seen.append(int(spark.conf.get(name))) or overlaps(*a))
+    monkeypatch.setattr(token_groups, "_unions", lambda *a: seen.append(int(spark.conf.get(name))) or unions(*a))
+    found = token_groups.jaccard_components(_near_copies(spark, 20)).collect()
+    assert len(found) == 60 and len({r.component_id for r in found}) == 20
+    assert seen and max(seen) <= 64 and spark.conf.get(name) == before
+
+
 # op11
 
 
