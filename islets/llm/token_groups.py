@@ -1,8 +1,8 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Documents of equal shingle sets are one class.  Classes of one least shingle hash form a group with the
-class of least number as its leader; the members that reach the threshold with the leader stay, the others
-are groups of their own.  The matrix has a row for each token and (block of a) group whose members hold it,
+class that has the fewest tokens for itself as its leader (then least number); the members that reach the
+threshold with the leader stay, the others are groups of their own.  The matrix has a row for each token and (block of a) group whose members hold it,
 and the union of the tokens of each block.  A query class is looked up in the matrix; what its tokens have in
 common with a block's union bounds the overlap with every member, and only blocks whose bound reaches
 what the threshold needs are opened, i.e. compared member by member.
@@ -13,8 +13,17 @@ the documents with a token are counted over all documents, for the quarter of al
 (all other tokens stand behind, by hash).  Most sets have enough tokens that no other set holds, and are
 settled without being looked up at all.
 
-Only components are asked for, so pairs within one component are left out: members and leaders first,
-leaders and leaders next, then queries against the blocks of other components.
+Near copies of one text hold each other's first tokens, all of them.  The classes that meet at a crowded
+token, one of more than ``CROWD`` classes, are counted once more, among themselves and by all their tokens.
+What only one of them holds cannot be shared, so it shortens the list of first tokens and bounds the overlap
+of a class with any other of the crowd.
+
+Only components are asked for, so pairs within one component are left out: members and leaders first, then
+at each token of a crowd the leader with the fewest tokens for itself and the others, leaders and leaders
+next, then queries against the blocks of other components.  Leaders of a crowd meet by token and by the
+sizes of both sets, where their bounds allow it and more than one component is left.  Pairs that stay in
+different components although their bounds and first tokens allow a link are compared one by one, however
+many they are.
 
 Defined cases: NULL and empty texts, and those without words, have no shingles and are linked with
 nothing; texts shorter than a shingle are one shingle as a whole; repeated rows are one class; the
@@ -40,6 +49,8 @@ WIDTH, PERCENT = 4, 85
 COUNTED = 1 << 61
 #: Members of a block of a group, on average at most.
 BLOCK = 32
+#: A token is crowded if more classes hold it: fewer may meet there in pairs.
+CROWD = 32
 #: Rows handed to Python at a time: each may carry the tokens of a whole block, and a default batch of them would
 #: be as many times the block's size in memory.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
@@ -130,6 +141,33 @@ def first_tokens(sets: DataFrame, work, percent: int) -> DataFrame:
     return joined.select("class", "n", "least", F.explode(F.slice("t", F.lit(1), wanted.cast("int"))).alias("t")).select("class", "n", "least", "t.token")
 
 
+def crowd_tokens(sets: DataFrame, work, percent: int) -> DataFrame:
+    """``class, n, least, alone, tokens``: how many tokens no other of these classes holds, and the first tokens, rarest first.
+
+    All tokens are counted, among the rows of ``sets`` (``class, set``) only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_py(), U).astype(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["class", "tokens"])
+
+    listed = sets.select("class", "set").mapInArrow(run, "class long, tokens array<long>").select("class", F.explode("tokens").alias("token"))
+    counts = saved(work, listed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "crowd-counts")
+    shared = listed.join(counts, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    sized = sets.mapInArrow(
+        lambda batches: (
+            pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.as_py()) // 8 for x in b.column(1)], pa.int64()), pa.array([int.from_bytes(x.as_py()[:8], "little") for x in b.column(1)], pa.int64())], names=["class", "n", "least"])
+            for b in batches
+        ),
+        "class long, n long, least long",
+    )
+    joined = sized.join(shared, "class", "left").withColumn("alone", F.col("n") - F.coalesce(F.size("t"), F.lit(0)))
+    first = F.greatest(F.col("n") - least_overlap_of(F.col("n"), percent) + 1 - F.col("alone"), F.lit(0)).cast("int")
+    tokens = F.transform(F.slice("t", F.lit(1), first), lambda x: x.token)
+    return saved(work, joined.select("class", "n", "least", "alone", F.when(F.col("t").isNotNull(), tokens).alias("tokens")), "crowd-tokens")
+
+
 def _overlaps(pairs: DataFrame) -> DataFrame:
     """``a, b, both, left_n, right_n`` of rows ``a, b, left, right`` (sorted tokens as bytes): overlap and sizes."""
 
@@ -153,9 +191,14 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(100 * F.col("both") >= percent * (F.col("left_n") + F.col("right_n") - F.col("both"))).select("a", "b")
 
 
-def _fits(x_n: Column, low: Column, high: Column, percent: int) -> Column:
-    """Whether a set of ``x_n`` tokens can reach the threshold with one of ``low`` to ``high`` tokens."""
-    return (100 * high >= percent * x_n) & (100 * x_n >= percent * low)
+def _reach(n: Column, alone: Column, percent: int) -> Column:
+    """``percent`` times the size of the largest set that one of ``n`` tokens can link with if ``alone`` of them are in no other."""
+    return 100 * n - (100 + percent) * alone
+
+
+def _fits(a_n: Column, a_reach: Column, b_n: Column, b_reach: Column, percent: int) -> Column:
+    """Whether two sets can reach the threshold, by their sizes and the overlap that each can have at most."""
+    return (a_reach >= percent * b_n) & (b_reach >= percent * a_n)
 
 
 def _labels(links: DataFrame, work) -> DataFrame:
@@ -179,17 +222,48 @@ def _sets_of(docs: DataFrame, classes: DataFrame, *, width: int, percent: int, i
 
 
 def _groups(members: DataFrame, links: DataFrame, block: int) -> DataFrame:
-    """``class, n, leader, leader_n, m, block, low, high``: group, its size, block of it, sizes of the sets in the block.
+    """``class, n, leader, m, block``: group, its size, block of it.
 
     ``links`` are pairs of a leader and a member; what is linked to no leader leads itself.
     """
     led = members.select("class", "n").join(links.select(F.col("a").alias("leader"), F.col("b").alias("class")), "class", "left")
     led = led.withColumn("leader", F.coalesce("leader", "class"))
-    sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("class") == F.col("leader"), F.col("n"))).alias("leader_n"))
+    sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
     parts = led.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / block)))
     # a block is named by its first member
-    blocks = parts.groupBy("leader", "part").agg(F.min("class").alias("block"), F.min("n").alias("low"), F.max("n").alias("high"))
-    return parts.join(blocks, ["leader", "part"]).select("class", "n", "leader", "leader_n", "m", "block", "low", "high")
+    blocks = parts.groupBy("leader", "part").agg(F.min("class").alias("block"))
+    return parts.join(blocks, ["leader", "part"]).select("class", "n", "leader", "m", "block")
+
+
+def _others(held: DataFrame, *more: str) -> DataFrame:
+    return held.select("token", *more, F.col("leader").alias("b"), F.col("n").alias("b_n"), F.col("reach").alias("b_reach"), F.col("component").alias("b_component"))
+
+
+def _few_meet(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of leaders (rows ``token, leader, n, reach, component``) that meet at a token of ``CROWD`` classes at most."""
+    held = held.where("token >= 0")
+    apart = (F.col("leader") < F.col("b")) & (F.col("component") != F.col("b_component"))
+    pairs = held.join(_others(held), "token").where(apart & _fits(F.col("n"), F.col("reach"), F.col("b_n"), F.col("b_reach"), percent))
+    return pairs.select(F.col("leader").alias("a"), "b")
+
+
+def _crowds_meet(held: DataFrame, work, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of leaders that meet at a token of a crowd.
+
+    A leader asks at each of its tokens for the sizes that it fits with; only what asks for each other's size is
+    paired, and only where more than one component does.
+    """
+    held = held.where("token < 0")
+    sizes = held.groupBy("token", F.col("n").alias("other")).agg(F.max("reach").alias("most"))
+    asks = held.join(sizes, "token").where(_fits(F.col("n"), F.col("reach"), F.col("other"), F.col("most"), percent))
+    asks = asks.withColumns({"low": F.least("n", "other"), "high": F.greatest("n", "other")}).drop("most", "other")
+    asks = saved(work, asks, "asks")
+    meet = ["token", "low", "high"]
+    open_ = asks.groupBy(*meet).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*meet)
+    asks = saved(work, asks.join(open_, meet, "left_semi"), "open")
+    apart = F.col("component") != F.col("b_component")
+    once = (F.col("low") < F.col("high")) | (F.col("leader") < F.col("b"))
+    return asks.where("n = low").join(_others(asks.where("n = high"), "low", "high"), meet).where(apart & once & _fits(F.col("n"), F.col("reach"), F.col("b_n"), F.col("b_reach"), percent)).select(F.least("leader", "b").alias("a"), F.greatest("leader", "b").alias("b"))
 
 
 def _unions(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,42 +300,65 @@ def _jaccard_components(docs: DataFrame, width: int, percent: int, block: int, i
     copies = saved(work, some.select("row", "d1", "d2").join(classes, ["d1", "d2"]).where("row <> class").select("row"), "copies")
     sets = some.join(copies, "row", "left_anti").select(F.col("row").alias("class"), "n", "tokens")
     entries = saved(work, first_tokens(sets, work, percent), "entries")
-    members = saved(work, entries.select("class", "n", "least").distinct(), "members")
-    sets = saved(work, _sets_of(docs, classes.join(members, "class", "left_semi"), width=width, percent=percent, id_col=id_col, text=text), "sets")
+    met = saved(work, entries.select("class").distinct(), "met")
+    sets = saved(work, _sets_of(docs, classes.join(met, "class", "left_semi"), width=width, percent=percent, id_col=id_col, text=text), "sets")
+
+    # crowds, by the tokens of their own: as negative numbers, which stand apart from the others
+    crowded = saved(work, entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > CROWD).select("token"), "crowded")
+    crowd = saved(work, entries.join(crowded, "token", "left_semi").select("class").distinct(), "crowd")
+    crowd = crowd_tokens(sets.join(crowd, "class", "left_semi"), work, percent)
+    plain = entries.join(crowded, "token", "left_anti").select("class", "n", "least", F.lit(0).cast("long").alias("alone"), "token")
+    own = crowd.select("class", "n", "least", "alone", F.explode("tokens").alias("token"))
+    entries = plain.unionByName(own.withColumn("token", F.bitwise_not("token")))
+    entries = saved(work, entries.withColumn("reach", _reach(F.col("n"), F.col("alone"), percent)), "all-entries")
+    members = entries.select("class", "n", "least").distinct().join(crowd.select("class", "alone"), "class", "left")
+    members = saved(work, members, "members")  # alone: NULL outside crowds
 
     # groups: the classes of one least token that reach the threshold with the first of them
-    leaders = members.groupBy("least").agg(F.min(F.struct("class", "n")).alias("leader"))
-    near = members.join(leaders, "least").where((F.col("class") != F.col("leader.class")) & _fits(F.col("n"), F.col("leader.n"), F.col("leader.n"), percent))
+    leaders = members.groupBy("least").agg(F.min(F.struct("alone", "class", "n")).alias("leader"))
+    sizes_fit = _fits(F.col("n"), 100 * F.col("n"), F.col("leader.n"), 100 * F.col("leader.n"), percent)
+    near = members.join(leaders, "least").where((F.col("class") != F.col("leader.class")) & sizes_fit)
     links = saved(work, linked(near.select(F.col("leader.class").alias("a"), F.col("class").alias("b")), sets, percent), "links")
     groups = saved(work, _groups(members, links, block), "groups")
 
     # the matrix, for the tokens that more than one group holds
-    matrix = entries.select("token", "class").join(groups, "class")
+    matrix = entries.select("token", "class", "alone", "reach").join(groups, "class")
     met = matrix.groupBy("token").agg(F.min("leader").alias("a"), F.max("leader").alias("b")).where("a <> b").select("token")
     matrix = saved(work, matrix.join(saved(work, met, "met"), "token", "left_semi"), "matrix")
 
-    # leaders against leaders
-    held = matrix.select("token", "leader", "leader_n").distinct()
-    x = held.select("token", F.col("leader").alias("a"), F.col("leader_n").alias("a_n"))
-    pairs = x.join(held, "token").where((F.col("a") < F.col("leader")) & _fits(F.col("a_n"), F.col("leader_n"), F.col("leader_n"), percent))
-    pairs = saved(work, pairs.select("a", F.col("leader").alias("b")).distinct(), "leaders")
+    # the leaders of crowds against the first of them at each token
+    held = matrix.where("class = leader").select("token", "leader", "n", "alone", "reach")
+    first = held.where("token < 0").groupBy("token").agg(F.min(F.struct("alone", "leader", "n", "reach")).alias("x"))
+    stars = held.join(first, "token").where((F.col("leader") != F.col("x.leader")) & _fits(F.col("n"), F.col("reach"), F.col("x.n"), F.col("x.reach"), percent))
+    stars = saved(work, stars.select(F.col("x.leader").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
+    links = links.unionByName(saved(work, linked(stars, sets, percent), "links"))
+    labels = _labels(links, work)
+
+    # leaders against leaders of other components
+    held = saved(work, _with_component(held, labels, "leader").select("token", "leader", "n", "reach", "component"), "leaders")
+    pairs = saved(work, _few_meet(held, percent).unionByName(_crowds_meet(held, work, percent)).distinct(), "pairs")
     links = links.unionByName(saved(work, linked(pairs, sets, percent), "links"))
     labels = _labels(links, work)
 
     # queries against the blocks of the groups before their own, if these belong to other components
-    x = matrix.select("token", F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("leader").alias("a_leader"), F.col("m").alias("a_m"))
+    x = matrix.select("token", F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("reach").alias("a_reach"), F.col("leader").alias("a_leader"), F.col("m").alias("a_m"))
     x = _with_component(x, labels, "a_leader").withColumnRenamed("component", "a_component")
-    held = _with_component(matrix.select("token", "block", "leader", "m", "low", "high").distinct(), labels, "leader")
+    held = matrix.groupBy("token", "block", "leader", "m").agg(F.min("n").alias("low"), F.max("reach").alias("reach"))
+    held = _with_component(held, labels, "leader")
     apart = (F.col("leader") < F.col("a_leader")) & (F.col("component") != F.col("a_component"))
     # two groups of one member each have met as leaders
-    open_ = apart & ((F.col("m") > 1) | (F.col("a_m") > 1)) & _fits(F.col("a_n"), F.col("low"), F.col("high"), percent)
+    open_ = apart & ((F.col("m") > 1) | (F.col("a_m") > 1)) & _fits(F.col("a_n"), F.col("a_reach"), F.col("low"), F.col("reach"), percent)
     asked = saved(work, x.join(held, "token").where(open_).select("a", "block").distinct(), "asked")
     in_blocks = groups.join(asked.select("block").distinct(), "block", "left_semi").select("class", "n", "block")
     unions = saved(work, _unions(in_blocks.select("class", "block"), sets), "unions")
     left = sets.select(F.col("class").alias("a"), F.col("set").alias("left"))
     bounds = _overlaps(asked.join(left, "a").join(unions.withColumnRenamed("union", "right"), "block").withColumnRenamed("block", "b"))
     opened = bounds.where(F.col("both") >= least_overlap_of(F.col("left_n"), percent)).select("a", F.col("left_n").alias("a_n"), F.col("b").alias("block"))
-    opened = opened.join(in_blocks, "block").where(_fits(F.col("a_n"), F.col("n"), F.col("n"), percent)).select("a", F.col("class").alias("b"))
+    alone = members.select("class", "alone")
+    opened = opened.join(alone.withColumnsRenamed({"class": "a", "alone": "a_alone"}), "a").join(in_blocks.join(alone, "class"), "block")
+    crowded = F.col("a_alone").isNotNull() & F.col("alone").isNotNull()  # what one of a crowd holds alone others may hold
+    a_reach, reach = (_reach(F.col(n), F.when(crowded, F.col(of)).otherwise(0), percent) for n, of in (("a_n", "a_alone"), ("n", "alone")))
+    opened = opened.where(_fits(F.col("a_n"), a_reach, F.col("n"), reach, percent)).select("a", F.col("class").alias("b"))
     links = links.unionByName(saved(work, linked(saved(work, opened, "opened"), sets, percent), "links"))
 
     named = _with_component(classes, _labels(links, work), "class")

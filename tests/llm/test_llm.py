@@ -873,6 +873,48 @@ def _shingles(text):
     return {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
 
 
+def _components(sets):
+    """The least index reachable from each set by links."""
+    part = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if part[i] != part[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            low, high = sorted((part[i], part[j]))
+            part = [low if x == high else x for x in part]
+    return part
+
+
+def _crowd(rng, copies, changes, shared=0):
+    """Copies of one text of 100 words, each with some words replaced: by words of its own, or by one of ``shared``."""
+    base, texts = [f"w{i}" for i in range(100)], []
+    for i in range(copies):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice(changes)):
+            words[at] = f"s{rng.randrange(shared)}" if shared and rng.random() < 0.5 else f"o{i}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("changes, shared, block", [(range(7), 0, 3), (range(1, 7), 2, 32)])
+def test_jaccard_components_of_a_crowd(spark, changes, shared, block):
+    rng = random.Random(21)
+    texts = _crowd(rng, 90, changes, shared) + [" ".join(x.split()[: rng.randint(60, 100)]) for x in _crowd(rng, 50, changes, shared)]
+    texts += [" ".join(f"w{i}" for i in range(100, 100 + rng.randint(1, 60))) + " " + x for x in _crowd(rng, 20, changes, shared)]
+    rng.shuffle(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.id: r.component_id for r in token_groups.jaccard_components(frame, block=block).collect()}
+    want = _components([_shingles(text) for text in texts])
+    assert [found[i] for i in range(len(texts))] == want
+
+
+def test_jaccard_components_compare_few_pairs_of_a_crowd(spark, monkeypatch):
+    compared, linked = [], token_groups.linked
+    monkeypatch.setattr(token_groups, "linked", lambda pairs, *a: compared.append(pairs.count()) or linked(pairs, *a))
+    texts = _crowd(random.Random(22), 300, range(7))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert token_groups.jaccard_components(frame).count() == 300
+    assert sum(compared) <= 4 * 300  # of 44,850 pairs
+
+
 @pytest.mark.parametrize("block", [1, 3, 32])
 def test_jaccard_components_match_brute_force(spark, block):
     rng = random.Random(14)
