@@ -19,6 +19,7 @@ least.  A page all of whose lines would go keeps them.
 
 Scale: URLs are ordered by a range shuffle, in which a large host falls into many parts; neighbours
 across the edge of two parts are handed over, so the pairs do not depend on how pages are dealt out.
+The lines of a page travel and lie on disk compressed, beside their digests.
 
 Defined cases: NULL html is empty and gives the empty text; pages with a NULL or odd URL belong to the
 host ``''``; equal URLs are ordered by page id, then content; repeated rows are pages like others (and
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Callable, Hashable, Iterator, Set
 
 import pyarrow as pa
@@ -247,40 +249,54 @@ def templates(pages: DataFrame) -> DataFrame:
     return counted.groupBy("of", "template_marked").agg(F.collect_list("line").alias("template"))
 
 
+def packed(lines: list[str]) -> bytes:
+    """The lines as one compressed value; a line has no line feed, as its white space is blanks."""
+    return zlib.compress("\n".join(lines).encode())
+
+
+def unpacked(value: bytes) -> list[str]:
+    """The lines again; no line is empty, so the empty text is no lines."""
+    text = zlib.decompress(value).decode()
+    return text.split("\n") if text else []
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """``page_id, url, kinds, lines`` of rows ``page_id, url, html``, without the lines that are OUT."""
+    """``page_id, url, kinds, lines, packed`` of rows ``page_id, url, html``, without the lines that are OUT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 found = [[x for x in blocks(page or "") if x[0] != OUT] for page in part.column(2).to_pylist()]
+                kinds, lines = [[k for k, _ in f] for f in found], [[x for _, x in f] for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[x for _, x in f] for f in found], pa.list_(pa.string()))],
-                    names=["page_id", "url", "kinds", "lines"],
+                    [part.column(0), part.column(1), pa.array(kinds, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.string())), pa.array([packed(x) for x in lines], pa.binary())],
+                    names=["page_id", "url", "kinds", "lines", "packed"],
                 )
 
-    return pages.mapInArrow(run, "page_id long, url string, kinds array<int>, lines array<string>")
+    return pages.mapInArrow(run, "page_id long, url string, kinds array<int>, lines array<string>, packed binary")
 
 
 def paired(lines: DataFrame, work) -> DataFrame:
     """Rows of ``parsed`` with the digests of the lines of the pages beside it (NULL at the host's ends) and of the host's template."""
+    digests = lambda kind: F.transform(
+        F.filter(F.arrays_zip("kinds", "lines"), lambda x: x.kinds == kind), lambda x: F.unhex(F.md5(x.lines))
+    )
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     keyed = lines.withColumns(
         {
             "host": F.lower(F.when(F.col("url").contains("://"), F.regexp_extract(rest, r"^([^/?#]*)", 1)).otherwise("")),
             "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1),
             "tie": F.xxhash64("url", "kinds", "lines"),
+            "plain": digests(PLAIN),
+            "article": digests(IN_ARTICLE),
         }
-    )
+    ).drop("lines")
     order = ["host", "path", "page_id", "tie"]
     parts = max(8, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt = saved(work, dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")), "sorted")
-    digests = lambda kind: F.transform(
-        F.filter(F.arrays_zip("kinds", "lines"), lambda x: x.kinds == kind), lambda x: F.unhex(F.md5(x.lines))
-    )
-    dealt = dealt.withColumns({"plain": digests(PLAIN), "article": digests(IN_ARTICLE), "marked": F.array_contains("kinds", IN_ARTICLE)})
+    dealt = dealt.withColumn("marked", F.array_contains("kinds", IN_ARTICLE))
     # written, so that Spark knows its size before it plans the join: pages are shuffled only if it is large
     template = saved(work, templates(dealt), "templates")
     about = F.struct("host", "path", "plain", "article")
@@ -303,7 +319,7 @@ def paired(lines: DataFrame, work) -> DataFrame:
         "page_id",
         "url",
         "kinds",
-        "lines",
+        "packed",
         "path",
         F.when(F.col("before.host") == F.col("host"), F.struct("before.path", "before.plain", "before.article")).alias("before"),
         F.when(F.col("after.host") == F.col("host"), F.struct("after.path", "after.plain", "after.article")).alias("after"),
@@ -330,11 +346,11 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", page
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 texts = []
-                for row in part.select(["kinds", "lines", "path", "before", "after", "template"]).to_pylist():
+                for row in part.select(["kinds", "packed", "path", "before", "after", "template"]).to_pylist():
                     sides = [s for s in (row["before"], row["after"]) if s]
                     nearest = max(sides, key=lambda s: _in_common(row["path"], s["path"])) if sides else {"plain": None, "article": None}
                     template = frozenset(row["template"] or ())
-                    texts.append(main_text(list(zip(row["kinds"], row["lines"])), nearest["plain"], template, nearest["article"], digest))
+                    texts.append(main_text(list(zip(row["kinds"], unpacked(row["packed"]))), nearest["plain"], template, nearest["article"], digest))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
                 )

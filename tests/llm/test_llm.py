@@ -728,6 +728,21 @@ def test_small_tables_take_no_more_tasks_than_cores(spark, monkeypatch):
     assert max(files.values()) <= cores
 
 
+def test_lines_of_pages_travel_packed(spark, monkeypatch):
+    from islets.plans.workspace import Workspace
+
+    rng = random.Random(23)
+    assert all(page_differencing.unpacked(page_differencing.packed(x)) == x for x in ([], ["a"], ["\u00e9 b", "\U0001f600", "a"]))
+    columns, save = {}, Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, frame, name, **more: columns.update({name: frame.columns}) or save(self, frame, name, **more))
+    texts = [[_text(rng, 60) for _ in range(3)] for _ in range(8)]
+    pages = [(i, f"http://x.org/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>") for i, lines in enumerate(texts)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in page_differencing.extract(frame).collect()}
+    assert found == {i: "\n\n".join(" ".join(x.split()) for x in lines) for i, lines in enumerate(texts)}
+    assert "packed" in columns["sorted"] and "lines" not in columns["sorted"]
+
+
 def test_token_groups_hand_few_rows_to_python_at_a_time(spark, monkeypatch):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     seen, overlaps, unions = [], token_groups._overlaps, token_groups._unions
