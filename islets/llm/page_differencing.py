@@ -295,7 +295,9 @@ def paired(lines: DataFrame, work) -> DataFrame:
     order = ["host", "path", "page_id", "tie"]
     parts = max(8, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt = saved(work, dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")), "sorted")
+    dealt = dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")).drop("tie")
+    # kept in buckets, so that the window over the parts shuffles no page again
+    dealt = work.save(dealt, "sorted", buckets=("part", parts)).frame
     dealt = dealt.withColumn("marked", F.array_contains("kinds", IN_ARTICLE))
     # written, so that Spark knows its size before it plans the join: pages are shuffled only if it is large
     template = saved(work, templates(dealt), "templates")
