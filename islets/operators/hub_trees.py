@@ -74,10 +74,10 @@ def split_hub_trees(
     # a bucket holds about half of a leaf's places, so no list is large, whatever the hub's size
     joined = joined.withColumn("bucket", F.pmod(F.xxhash64("nbr"), F.col("buckets")))
     at_hub = joined.where("bucket IS NOT NULL")
-    placed = at_hub.groupBy("id", "buckets", "bucket").agg(F.sort_array(F.collect_list(F.struct("nbr"))).alias("nbrs"))
-    placed = placed.select("id", "buckets", "bucket", F.posexplode("nbrs").alias("rank", "at"))
+    placed = at_hub.groupBy("id", "buckets", "bucket").agg(F.sort_array(F.collect_list("nbr")).alias("nbrs"))
+    placed = placed.select("id", "buckets", "bucket", F.posexplode("nbrs").alias("rank", "nbr"))
     leaf = F.col("bucket") + F.col("buckets") * F.floor(F.col("rank") / places)
-    ends = placed.select("id", "at.nbr", leaf.alias("leaf")).unionByName(
+    ends = placed.select("id", "nbr", leaf.alias("leaf")).unionByName(
         joined.where("bucket IS NULL").select("id", "nbr", F.lit(None).cast("long").alias("leaf"))
     )
     ends = kept(ends, hubs) if keep is None else keep(ends)
@@ -93,35 +93,48 @@ def split_hub_trees(
         _vertex(F.col("lo"), level("lo_salt"), F.col("lo_salt")).alias("nbr"),
     )
 
-    leaves = ends.where("leaf IS NOT NULL").select("id", "leaf").distinct()
+    leaves = ends.where("leaf IS NOT NULL").select("id", "leaf")
+    if hubs is None:  # no vertex has too many rows for a task: all that follows is done by vertex, in one shuffle
+        leaves = leaves.repartition("id")
+    leaves = leaves.distinct()
     width = leaves.groupBy("id").agg((F.max("leaf") + 1).alias("width"))
     # level t is too wide for the real vertex while more than degree * places^(t-1) leaves lie below
     wide = F.filter(F.sequence(one, F.lit(40)), lambda t: F.col("width") > degree * F.pow(places, t - 1))
     tops = width.select("id", (F.size(wide) + 1).alias("top"))  # once a hub, not once a leaf
     leaves = lookup(leaves, kept(tops, hubs), "id", hubs)
-    t, top = F.col("t"), F.col("top")
+    t, at, top = F.col("t"), F.col("at"), F.col("top")
     steps = leaves.withColumn("t", F.explode(F.sequence(one, top)))
-    under = lambda levels: F.floor(F.col("leaf") / F.pow(places, levels)) + 1
+    steps = steps.select("id", "top", "t", (F.floor(F.col("leaf") / F.pow(places, t - 1)) + 1).alias("at")).distinct()
     is_top = t == top
+    under = F.floor((at - 1) / places) + 1
     tree = steps.select(
-        _vertex(id, t, under(t - 1)).alias("id"),
-        _vertex(id, F.when(is_top, zero).otherwise(t + 1), F.when(is_top, zero).otherwise(under(t))).alias("nbr"),
-    ).distinct()
+        _vertex(id, t, at).alias("id"),
+        _vertex(id, F.when(is_top, zero).otherwise(t + 1), F.when(is_top, zero).otherwise(under)).alias("nbr"),
+    )
     tree = tree.select(F.greatest("id", "nbr").alias("id"), F.least("id", "nbr").alias("nbr"))
     return links.unionByName(tree)
 
 
 def vertex_numbers(links: DataFrame) -> DataFrame:
     """``(vertex, number)``: a long for each vertex of ``links``; the frame has to be written before it is read twice."""
-    ends = links.select(F.explode(F.array("id", "nbr")).alias("vertex")).distinct()
-    return ends.select("vertex", F.monotonically_increasing_id().alias("number"))
+    ends = links.select(F.inline(F.array("id", "nbr"))).distinct()
+    vertex = F.struct("id", "level", "salt").alias("vertex")
+    return ends.select(vertex, F.monotonically_increasing_id().alias("number"))
 
 
 def numbered_links(links: DataFrame, numbers: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
     """``links`` between the numbers of their ends, larger number first."""
-    at_id = numbers.select(F.col("vertex").alias("id"), F.col("number").alias("a"))
-    at_nbr = numbers.select(F.col("vertex").alias("nbr"), F.col("number").alias("b"))
-    ends = lookup(lookup(links, at_id, "id", hubs).select("a", "nbr"), at_nbr, "nbr", hubs)
+
+    def at_end(rows: DataFrame, end: str, number: str) -> DataFrame:
+        table = numbers.select(F.col("vertex").alias(end), F.col("number").alias(number))
+        if hubs is not None:
+            return lookup(rows, table, end, hubs)
+        # columns are sorted and compared faster than structs
+        parts = {f"{end}_{part}": F.col(f"{end}.{part}") for part in ("id", "level", "salt")}
+        flat = lambda frame: frame.withColumns(parts).drop(end)
+        return flat(rows).join(flat(table), list(parts))
+
+    ends = at_end(at_end(links, "id", "a").select("a", "nbr"), "nbr", "b")
     return ends.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("nbr"))
 
 

@@ -71,6 +71,30 @@ def small_star(
     return sent.distinct() if dedup else sent
 
 
+def local_maxima(links: DataFrame) -> DataFrame:
+    """``(id, nbr)``: vertices without a larger neighbour and their least one; ``links`` have the larger end first."""
+    least = links.groupBy("id").agg(F.min("nbr").alias("nbr"))
+    return least.join(links.select(F.col("nbr").alias("id")).distinct(), "id", "left_anti")
+
+
+def without_maxima(links: DataFrame, maxima: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
+    """``links`` without the vertices of ``maxima``, whose other neighbours are linked to the least one instead.
+
+    This is :func:`small_star` at these vertices, less the links to them.  Links may come more than once.
+    """
+    id, nbr, m = F.col("id"), F.col("nbr"), F.col("m")
+    joined = lookup(links, maxima.select("id", nbr.alias("m")), "id", hubs, how="left")
+    left = joined.where(m.isNull() | (nbr != m))
+    return left.select(F.when(m.isNull(), id).otherwise(nbr).alias("id"), F.coalesce(m, nbr).alias("nbr"))
+
+
+def follow_links(links: DataFrame, stars: DataFrame, *, hubs: Hubs | None = SAFE) -> DataFrame:
+    """Lead each ``id`` of ``links``, which has one, on to the centre of ``stars`` that its ``nbr`` belongs to or is."""
+    above = stars.select(F.col("id").alias("nbr"), F.col("nbr").alias("centre"))
+    found = lookup(links, above, "nbr", hubs, how="left")
+    return found.select("id", F.coalesce("centre", "nbr").alias("nbr"))
+
+
 def split_hubs(
     edges: DataFrame,
     *,

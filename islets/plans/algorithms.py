@@ -39,11 +39,14 @@ from islets.operators.rows import local_minimum
 from islets.operators.stars import (
     as_vertex_pairs,
     drop_virtual,
+    follow_links,
     large_star,
+    local_maxima,
     orient,
     small_star,
     split_hubs,
     star_labels,
+    without_maxima,
 )
 from islets.operators.tree_pruning import (
     heard_minima,
@@ -295,6 +298,46 @@ def _alternate(run: Rounds, graph: Graph, frame: DataFrame, rows: int) -> Table:
             return state
 
 
+def _shrinking_stars(run: Rounds, frame: DataFrame, rows: int) -> list[Table]:
+    """Star links of all vertices: large-star and small-star alternate among ever fewer of them.
+
+    After each round, vertices without a larger neighbour are set aside: they hang on their least neighbour, to
+    which the others are linked in their place.  Stars kept whole would travel in each round.  Once no link is left,
+    those set aside are led to the centres, last round first.  They hang on smaller ones, so the least vertex of a
+    component is never set aside.
+    """
+    live: Table | None = None
+    aside: list[Table] = []
+    while rows:
+        run.next_round()
+        hubs = run.hubs(rows, frame, "nbr")
+        links = large_star(frame, hubs=hubs, dedup=False, oriented=True, loops=False)
+        large = run.step("large_star", links, about=2 * rows)
+        hubs = run.hubs(large.rows, large.frame, "id")
+        links = small_star(large.frame, hubs=hubs, dedup=False, oriented=True, loops=False)
+        small = run.step("small_star", links, about=2 * large.rows)
+        run.work.drop(large)
+        maxima = run.save("set_aside", local_maxima(small.frame))
+        aside.append(maxima)
+        hubs = run.hubs(small.rows, small.frame, "id")
+        left = run.save("live", without_maxima(small.frame, maxima.frame, hubs=hubs))
+        run.work.drop(small)
+        live = _replace(run, live, left)
+        frame, rows = live.frame, live.rows
+    run.work.drop(live)
+    stars = [aside.pop()]
+    while aside:
+        hanging = aside.pop()
+        hubs = run.hubs(hanging.rows, hanging.frame, "nbr")
+        stars.append(run.save("follow_links", follow_links(hanging.frame, _rows_of(stars), hubs=hubs)))
+        run.work.drop(hanging)
+    return stars
+
+
+def _rows_of(tables: list[Table]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (table.frame for table in tables))
+
+
 def alternating(run: Rounds, graph: Graph) -> DataFrame:
     graph.count = graph.linked_vertices().count()
     stars = _alternate(run, graph, graph.edges(), graph.links)
@@ -324,25 +367,24 @@ def alternating_hub_split(
     if degrees.counts["most"] <= degree:
         run.work.drop(degrees)
         return _labels_of_stars(_alternate(run, graph, graph.edges(), graph.links).frame)
-    hubs = run.hubs(2 * graph.links)
+    hubs = run.hubs(2 * graph.links) if degrees.counts["most"] > run.hub_rows else None
     split = split_hub_trees(
         graph.symmetric(), degree=degree, degrees=degrees.frame, hubs=hubs, keep=run.keep
     )
     table = run.save("split_hubs", split)
     run.work.drop(degrees)
-    # each virtual vertex adds itself and one link up
-    graph.count += table.rows - graph.links
     # the rounds run on longs: least structs are found by sorting, least longs by hashing
     numbers = run.work.save(vertex_numbers(table.frame), "numbers")
-    hubs = run.hubs(2 * table.rows)
+    # no vertex has more links than ``degree`` now
+    hubs = run.hubs(2 * table.rows) if degree > run.hub_rows else None
     links = run.save("number_vertices", numbered_links(table.frame, numbers.frame, hubs=hubs))
     run.work.drop(table)
-    stars = _alternate(run, graph, links.frame, links.rows)
+    stars = _shrinking_stars(run, links.frame, links.rows)
     run.work.drop(links)
-    trees = run.save("name_trees", named_trees(numbers.frame, _labels_of_stars(stars.frame)))
-    run.work.drop(numbers)
-    run.work.drop(stars)
-    return canonical_label(trees.frame, hubs=run.hubs(trees.rows))
+    trees = run.save("name_trees", named_trees(numbers.frame, _labels_of_stars(_rows_of(stars))))
+    for table in (numbers, *stars):
+        run.work.drop(table)
+    return canonical_label(trees.frame, hubs=run.hubs(trees.rows, trees.frame, "parent"))
 
 
 def _alternating_salted(run: Rounds, graph: Graph, hub_degree: int | None, salts: int | None) -> DataFrame:

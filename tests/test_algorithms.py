@@ -63,6 +63,15 @@ def test_hub_trees_give_the_same(spark, options):
     assert [r.name for r in run.steps][1:3] == ["degrees", "split_hubs"]
 
 
+def test_rounds_on_hub_trees_run_on_fewer_links_each_time(spark):
+    """Stars kept whole would travel in each round: never less than one link for each vertex but one."""
+    edges = powerlaw_graph()
+    run = run_components(frame(spark, edges), "alternating_hub_split", hub_degree=4, collect_stats=True)
+    links = [r.active_edges for r in run.steps if r.name == "large_star"]
+    assert len(links) > 2 and links == sorted(links, reverse=True) and links[-1] < links[0] / 4
+    assert as_dict(run.labels) == components(edges)
+
+
 def test_nothing_is_written_when_nothing_splits(spark):
     run = run_components(frame(spark, EXAMPLE), "alternating_hub_split", hub_degree=100)
     assert as_dict(run.labels) == components(EXAMPLE)

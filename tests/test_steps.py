@@ -14,11 +14,17 @@ from islets.operators.hooking import (
     star_detection,
     unconditional_star_hook,
 )
-from islets.operators.hub_trees import degree_histogram, degree_limit, split_hub_trees
+from islets.operators.hub_trees import (
+    degree_histogram,
+    degree_limit,
+    numbered_links,
+    split_hub_trees,
+    vertex_numbers,
+)
 from islets.operators.lookup import Hubs
 from islets.operators.min_label import hash_min_round
 from islets.operators.stars import as_vertex_pairs, drop_virtual, labels_changed, large_star, small_star
-from islets.operators.stars import split_hubs
+from islets.operators.stars import follow_links, local_maxima, split_hubs, without_maxima
 from islets.operators.tree_pruning import (
     merge_forest,
     min_selection,
@@ -170,6 +176,27 @@ def test_degree_limit(spark):
     assert degree_limit(degree_histogram(degrees)).first()["degree_limit"] == 32
 
 
+@pytest.mark.parametrize("hubs", [None, Hubs(1)])
+def test_local_maxima_are_set_aside_and_led_to_the_centres(spark, hubs):
+    links = spark.createDataFrame([(2, 1), (4, 3), (5, 2), (5, 3), (6, 5), (6, 1), (6, 2), (9, 8)], "id long, nbr long")
+    maxima = local_maxima(links)
+    assert rows(maxima) == [(4, 3), (6, 1), (9, 8)]
+    left = without_maxima(links, maxima, hubs=hubs)
+    assert rows(left) == [(2, 1), (2, 1), (5, 1), (5, 2), (5, 3)]
+    stars = spark.createDataFrame([(2, 1), (3, 1), (5, 1)], "id long, nbr long")
+    assert rows(follow_links(maxima, stars, hubs=hubs)) == [(4, 1), (6, 1), (9, 8)]
+
+
+@pytest.mark.parametrize("hubs", [None, Hubs(1)])
+def test_links_between_numbers_are_those_between_the_vertices(spark, hubs):
+    links = split_hub_trees(symmetric(spark, [(0, i) for i in range(1, 30)] + [(1, 2)]), degree=4, hubs=hubs)
+    numbers = {row.vertex: row.number for row in vertex_numbers(links).collect()}
+    assert len(set(numbers.values())) == len(numbers)
+    table = spark.createDataFrame(list(numbers.items()), "vertex struct<id: long, level: int, salt: long>, number long")
+    ends = [(numbers[a], numbers[b]) for a, b in links.collect()]
+    assert rows(numbered_links(links, table, hubs=hubs)) == sorted(((max(e), min(e)) for e in ends), key=repr)
+
+
 def test_drop_virtual(spark):
     split = spark.createDataFrame(
         [(2, 0, 1, 0), (2, 1, 2, 0)], "id long, salt int, nbr long, nbr_salt int"
